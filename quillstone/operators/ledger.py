@@ -140,11 +140,12 @@ def sweep(updates: DataFrame) -> DataFrame:
     earliest. Within a day the highest (instant, recorded_us, ident) counts. Repeated updates count as first recorded.
     """
     said = updates.where("entity_id is not null and attribute_name is not null and valid_day is not null and trim(value) <> ''")
-    said = said.withColumn("value_key", value_key(F.col("value"))).where("value_key <> ''")
+    said = said.where(value_key(F.col("value")) != "")
     said = said.withColumns({"instant": F.coalesce("instant", F.lit(0)), "recorded_us": F.coalesce("recorded_us", F.lit(0)), "ident": F.coalesce("ident", F.lit(""))})
-    once = said.groupBy(*KEY, "valid_day", "instant", "value_key").agg(F.min(F.struct("recorded_us", "ident", "value")).alias("x"))
-    once = once.select(*KEY, F.floor(F.col("valid_day") / STRETCH_DAYS).cast("int").alias("stretch"), "valid_day", "instant", "x.recorded_us", "x.ident", "x.value", "value_key")
+    once = said.groupBy(*KEY, "valid_day", "instant", "value").agg(F.min(F.struct("recorded_us", "ident")).alias("x"))
+    once = once.select(*KEY, F.floor(F.col("valid_day") / STRETCH_DAYS).cast("int").alias("stretch"), "valid_day", "instant", "x.recorded_us", "x.ident", "value")
     once = once.repartition(*KEY, "stretch").sortWithinPartitions(*KEY, "stretch", "recorded_us", "instant", "ident")
+    once = once.withColumn("value_key", value_key(F.col("value")))  # only here: it needn't be exchanged
     return once.mapInArrow(_sweep, SWEPT)
 
 
