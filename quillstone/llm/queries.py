@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, components, packing, survivor
+from quillstone.llm import abuse, bpe, components, packing, survivor
 from quillstone.session import Scratch
 from quillstone.tables import table
 
@@ -41,7 +41,24 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, d), packing.capacities_of(table(spark, d, "container_specs")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p7_found, p8_ids, p9_containers, p9_fill)}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents", "doc_id", "text")
+    return abuse.score(documents, abuse.fit_documents(documents, table(spark, d, "content_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("abusive").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents", "doc_id", "source"), _scored(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)}
 
 _DAY = """CASE WHEN regexp_matches(trim({c}), '^\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?$') THEN try_cast(left(trim({c}), 10) AS DATE)
  WHEN regexp_matches(trim({c}), '^\\d{{8}}$') THEN try_cast(left(trim({c}), 4) || '-' || substr(trim({c}), 5, 2) || '-' || substr(trim({c}), 7, 2) AS DATE)
