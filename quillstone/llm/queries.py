@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import abuse, bpe, components, packing, survivor
+from quillstone.llm import abuse, bpe, components, linkage, packing, survivor
 from quillstone.session import Scratch
 from quillstone.tables import table
 
@@ -23,6 +23,19 @@ def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(survivor.ranked_members(*_members(spark, d)))
 
 
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    registry = table(spark, d, "lei_entities", "lei", "legal_name", "legal_jurisdiction", "legal_address_city", "registration_number")
+    return registry, table(spark, d, "entity_candidates", "candidate_id", "legal_name", "other_names", "legal_address", "jurisdiction", "registration_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.found_links(*_sources(spark, d))
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(*_sources(spark, d)).select("lei", "candidate_id", F.round("confidence", 6).alias("confidence"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return components.found_groups(table(spark, d, "eval_packets", "candidate_a", "candidate_b", "deterministic_evaluation"))
 
@@ -58,7 +71,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(table(spark, d, "documents", "doc_id", "source"), _scored(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p5_found, p5_confidence, p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)}
 
 _DAY = """CASE WHEN regexp_matches(trim({c}), '^\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?$') THEN try_cast(left(trim({c}), 10) AS DATE)
  WHEN regexp_matches(trim({c}), '^\\d{{8}}$') THEN try_cast(left(trim({c}), 4) || '-' || substr(trim({c}), 5, 2) || '-' || substr(trim({c}), 7, 2) AS DATE)
