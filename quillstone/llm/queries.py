@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import abuse, bpe, components, linkage, packing, survivor
+from quillstone.llm import abuse, addresses, bpe, components, linkage, packing, survivor
 from quillstone.session import Scratch
 from quillstone.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.found_pairs(table(spark, d, "entity_candidates", "address_id", "headquarters_address"), table(spark, d, "edgar_subsidiaries", "address_id", "legal_address"))
+
+
 def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     records = table(spark, d, "entity_candidates", "candidate_id", "provider", "last_update_date", *survivor.FIELDS)
     return table(spark, d, "candidate_groups"), records, table(spark, d, "provider_trust")
@@ -71,7 +75,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(table(spark, d, "documents", "doc_id", "source"), _scored(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p5_found, p5_confidence, p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_survivors, p5_found, p5_confidence, p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)}
 
 _DAY = """CASE WHEN regexp_matches(trim({c}), '^\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?$') THEN try_cast(left(trim({c}), 10) AS DATE)
  WHEN regexp_matches(trim({c}), '^\\d{{8}}$') THEN try_cast(left(trim({c}), 4) || '-' || substr(trim({c}), 5, 2) || '-' || substr(trim({c}), 7, 2) AS DATE)
