@@ -27,8 +27,10 @@ def entities(lei_entities: DataFrame) -> DataFrame:
     return upsert_last(rows.where("lei <> ''"), ["lei"], "record_id").withColumn("name", T.fold_ascii(F.col("legal_name"))).drop("record_id")
 
 
-def links(relationships: DataFrame) -> DataFrame:
-    """(child, parent, direct, ultimate): one row a pair of the two consolidation types, whichever status."""
+def links(relationships: DataFrame, status: str | None = None) -> DataFrame:
+    """(child, parent, direct, ultimate): one row a pair of the two consolidation types; with ``status`` only rows of that relationship_status."""
+    if status:
+        relationships = relationships.where(F.upper(F.trim("relationship_status")) == status)
     rows = relationships.where(F.trim("relationship_type").isin(DIRECT, ULTIMATE)).select(lei("child_lei").alias("child"), lei("parent_lei").alias("parent"), F.trim("relationship_type").alias("t"))
     return rows.where("child <> '' and parent <> ''").groupBy("child", "parent").agg(F.bool_or(F.col("t") == DIRECT).alias("direct"), F.bool_or(F.col("t") == ULTIMATE).alias("ultimate"))
 

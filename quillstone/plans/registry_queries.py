@@ -53,7 +53,8 @@ def seed_phrase_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _walks(spark: SparkSession, d: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    known, edges = scratch.write(_known(spark, d)), scratch.write(_edges(spark, d))
+    active = R.links(table(spark, d, "relationships", "child_lei", "parent_lei", "relationship_type", "relationship_status"), "ACTIVE")
+    known, edges = scratch.write(_known(spark, d)), scratch.write(active)
     found = scratch.write(R.seeds(known, _queries(spark, d)))
     return known, found, R.walk_upward(found.select("query_id", F.col("lei").alias("seed")), edges, scratch)
 
@@ -144,7 +145,7 @@ _EDGES = f"""edges AS (SELECT upper(trim(child_lei)) AS child, upper(trim(parent
 _SEEDS = f"""q AS (SELECT company_id AS query_id, CASE WHEN company_id % 4 = 0 THEN {sql_fold('sector')} ELSE split_part({sql_fold('company')}, ' ', 1) END AS query FROM study_companies),
 hits AS (SELECT query_id, query, lei, legal_name, entity_status, name, name = query AS exact FROM known JOIN q ON contains(' ' || name || ' ', ' ' || query || ' ')),
 seeds AS (SELECT *, CASE WHEN exact THEN 1.0 WHEN starts_with(name || ' ', query || ' ') THEN 0.95 ELSE 0.9 END::DOUBLE AS likeness FROM hits QUALIFY exact OR NOT bool_or(exact) OVER (PARTITION BY query_id)),"""
-_WALK = _SEEDS + _EDGES + """,
+_WALK = _SEEDS + _EDGES.replace("WHERE", "WHERE upper(trim(relationship_status)) = 'ACTIVE' AND") + """,
 w AS (SELECT query_id, lei AS seed, lei AS node, 0::BIGINT AS depth FROM seeds UNION SELECT w.query_id, w.seed, edges.parent, w.depth + 1 FROM w JOIN edges ON edges.child = w.node WHERE w.depth < 12),
 s AS (SELECT query_id, seed, node, min(depth) AS depth FROM w GROUP BY 1, 2, 3),
 fl AS (SELECT s.query_id, s.seed, e.parent AS node, bool_or(e.direct) AS direct, bool_or(e.ultimate) AS ultimate FROM s JOIN edges e ON e.child = s.node WHERE s.depth < 12 GROUP BY 1, 2, 3),
