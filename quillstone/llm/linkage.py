@@ -221,7 +221,8 @@ def link(lei_entities: DataFrame, candidates: DataFrame) -> DataFrame:
     scratch = Scratch(lei_entities.sparkSession)
     registry, records = scratch.write(registry_side(lei_entities)), scratch.write(record_side(candidates))
     pairs = candidate_pairs(registry, records)
-    return infer(_rules(_evidence(pairs, registry, records)), scratch)
+    evidence = scratch.write(_evidence(pairs, registry, records))  # written, so that its long expressions run once
+    return infer(_rules(evidence), scratch)
 
 
 def found_links(lei_entities: DataFrame, candidates: DataFrame) -> DataFrame:
