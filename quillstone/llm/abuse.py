@@ -43,7 +43,7 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 
 _ALIKE = str.maketrans(LOOK_ALIKES)
 _SIGN = str.maketrans(SIGNS)
-_DROP = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xAD, 0xFEFF, 0xFFFD, *range(0x300, 0x370), *range(0xFE00, 0xFE10)])
+_DROP = re.compile("[\u200b-\u200f\u202a-\u202e\u2060-\u206f\u00ad\ufeff\ufffd\u0300-\u036f\ufe00-\ufe0f]+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W\d_])")
 _TAG = re.compile(r"<[^<>]{1,80}>|\[[A-Z]{2,5}\]")
 _EDGE = "\"'“”„«»‘’‚()[]{}<>,;:…—–-/\\#~^`=&%_"
@@ -58,7 +58,7 @@ def plain_text(text: str) -> str:
         text = html.unescape(text)
     text = re.sub(r"[\r\n  ]+", f" {_NEW} ", _TAG.sub(" ", text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_DROP)
+        text = _DROP.sub("", unicodedata.normalize("NFKD", text))
     text = text.lower()
     return _SPACED.sub(lambda m: " spaced " + re.sub(r"[ .\-_*]", "", m.group()) + " ", text)
 
@@ -91,7 +91,7 @@ def _words(chunk: str) -> tuple[list[int], bool]:
 
 
 class Featurizer:
-    """Texts to hashed features. ``features`` gives (feature ids, start of each passage, start of each document in passages)."""
+    """Texts to hashed features."""
 
     def __init__(self, bits: int = BITS):
         self.bits, self.known = bits, {}
@@ -119,15 +119,13 @@ class Featurizer:
             docs.append(len(passages))
         return np.array(ids, np.uint64), np.array(passages, np.int64), np.array(docs, np.int64)
 
-    def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        w, at, docs = self._rows(texts)
+    def _runs(self, w: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(feature ids, passage of each) by kind: words, runs of two and three, pairs that skip one and two."""
         n = len(w)
-        if not n:
-            return np.zeros(0, np.int32), at, docs
-        of = np.repeat(np.arange(len(at)), np.diff(np.append(at, n)))
         mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - self.bits)
-        parts, owner = [(w * mix) >> shift], [of]
-        for kind, gaps in ((2, (1,)), (3, (1, 2)), (4, (2,)), (5, (3,))):  # runs of two and three; pairs that skip one and two
+        if n:
+            yield (w * mix) >> shift, of
+        for kind, gaps in ((2, (1,)), (3, (1, 2)), (4, (2,)), (5, (3,))):
             far = gaps[-1]
             if n <= far:
                 continue
@@ -136,12 +134,27 @@ class Featurizer:
             for g in gaps:
                 h = (h ^ (h >> np.uint64(29))) * mix + w[g : n - far + g]
             h = (h ^ (h >> np.uint64(31))) * mix
-            parts.append(h[same] >> shift)
-            owner.append(of[:-far][same])
-        feature, passage = np.concatenate(parts).astype(np.int32), np.concatenate(owner)
+            yield h[same] >> shift, of[:-far][same]
+
+    def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature ids by passage, start of each passage, start of each document in passages)."""
+        w, at, docs = self._rows(texts)
+        runs = list(self._runs(w, np.repeat(np.arange(len(at)), np.diff(np.append(at, len(w))))))
+        if not runs:
+            return np.zeros(0, np.int32), at, docs
+        feature, passage = np.concatenate([f for f, _ in runs]).astype(np.int32), np.concatenate([p for _, p in runs])
         order = np.argsort(passage, kind="stable")
-        starts = np.searchsorted(passage[order], np.arange(len(at)))
-        return feature[order], starts, docs
+        return feature[order], np.searchsorted(passage[order], np.arange(len(at))), docs
+
+    def weighed(self, texts: list[str | None], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the weights of each passage's differing features, start of each document in passages)."""
+        w, at, docs = self._rows(texts)
+        keys = []
+        for feature, passage in self._runs(w, np.repeat(np.arange(len(at)), np.diff(np.append(at, len(w))))):
+            hit = np.flatnonzero(weight[feature])  # few: most weights are 0
+            keys.append(passage[hit].astype(np.int64) << 32 | feature[hit].astype(np.int64))
+        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        return np.bincount(key >> 32, weight[key & 0xFFFFFFFF], len(at)), docs
 
 
 @dataclass
@@ -188,11 +201,6 @@ class Ftrl:
         self.bn += g * g
 
 
-def _passage_scores(feature: np.ndarray, starts: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(w[feature], dtype=np.float64)])
-    return total[np.append(starts[1:], len(feature))] - total[starts] + bias
-
-
 def _worst(scores: np.ndarray, docs: np.ndarray, none: float) -> np.ndarray:
     out = np.full(len(docs) - 1, none)
     full = np.flatnonzero(np.diff(docs))
@@ -289,13 +297,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 while j < len(texts) and (j == i or size < CHARS_AT_ONCE):
                     size += len(texts[j] or "")
                     j += 1
-                feature, starts, docs = make.features(texts[i:j])
-                # a feature counts once a passage
-                passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(feature))))
-                hit = np.flatnonzero(w[feature])
-                key = np.unique(passage[hit].astype(np.int64) << 32 | feature[hit])
-                sums = np.bincount(key >> 32, w[(key & 0xFFFFFFFF)], len(starts)) + model.bias if len(starts) else np.zeros(0)
-                out.append(_worst(sums, docs, -60.0))
+                sums, docs = make.weighed(texts[i:j], w)
+                out.append(_worst(sums + model.bias, docs, -60.0))
                 i = j
             s = np.concatenate(out) if out else np.zeros(0)
             p = np.where(s <= -60, 0.0, 1 / (1 + np.exp(-np.clip(s, -30, 30))))
