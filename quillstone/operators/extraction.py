@@ -48,7 +48,7 @@ def _named_by(text: str, end: int) -> tuple[str, ...]:
 
 def is_organization(name: str) -> bool:
     low = name.lower().strip()
-    return low not in ("the company", "company", "the corporation", "corporation") and not any(x in low for x in NOT_ORGANIZATIONS)
+    return low not in ("the company", "company", "the corporation", "corporation") and not low.endswith((" the company", " the corporation")) and not any(x in low for x in NOT_ORGANIZATIONS)
 
 
 def by_grammar(text: str) -> Iterator[Mention]:
@@ -122,7 +122,7 @@ def _events(text: str) -> Iterator[tuple]:
     found = {m.name: m for m in by_grammar(text) if is_organization(m.name)}
     known = {n: n for n in found} | {a: n for n, m in found.items() for a in m.aliases}
     names = "|".join(re.escape(k) for k in sorted(known, key=len, reverse=True))
-    who = "|".join(x for x in (names, *(re.escape(s) for s in SELF)) if x)
+    who = "|".join(x for x in (names, *(f"(?i:{re.escape(s)})" for s in SELF)) if x)
     resolve = lambda s: known.get(s) or ("REGISTRANT_SELF_REFERENCE" if s and s.lower() in SELF else None)
     low = text.lower()
     for rule, kind, status, pattern in RULES:
