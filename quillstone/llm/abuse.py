@@ -49,7 +49,7 @@ _TAG = re.compile(r"<[^<>]{1,80}>|\[[A-Z]{2,5}\]")
 _EDGE = "\"'“”„«»‘’‚()[]{}<>,;:…—–-/\\#~^`=&%_"
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _PIECE = re.compile(r"[^\W\d_]+|\d+")
-_NEW = "\x01"  # stands for the end of a passage
+_NEW, _JOINED = "\x01", "\x02"  # stand for the end of a passage, and for a word that was spaced out
 
 
 def plain_text(text: str) -> str:
@@ -60,34 +60,41 @@ def plain_text(text: str) -> str:
     if not text.isascii():
         text = _DROP.sub("", unicodedata.normalize("NFKD", text))
     text = text.lower()
-    return _SPACED.sub(lambda m: " spaced " + re.sub(r"[ .\-_*]", "", m.group()) + " ", text)
+    return _SPACED.sub(lambda m: f" {_JOINED} " + re.sub(r"[ .\-_*]", "", m.group()) + " ", text)
 
 
-def _words(chunk: str) -> tuple[list[int], bool]:
-    """Hashes of the words of a piece of text without blanks, and whether it ends a passage."""
+def _words(chunk: str) -> tuple[list[int], bool, list[int]]:
+    """Hashes of the words of a piece of text without blanks, whether it ends a passage, and marks of disguise.
+
+    Marks don't stand between words, so that a disguised word keeps its neighbours.
+    """
+    hashes = lambda ws: [crc32(w.encode()) | 1 for w in ws]
     if chunk == _NEW:
-        return [], True
+        return [], True, []
+    if chunk == _JOINED:
+        return [], False, hashes(["\x02spaced"])
     core = chunk.strip(_EDGE)
     ends = core[-1:] in ".!?。！？"
     body = core.rstrip(".!?。！？")
     out: list[str] = []
+    marks: list[str] = []
     if not body:
-        return [], ends
+        return [], ends, []
     if _CJK.search(body):
         out = [c for c in body if c.isalnum()]
         ends = ends or "。" in body
     elif "*" in body and re.search(r"[^\W\d_]\*+", body):
-        out = ["starred", re.sub(r"\*+", "*", body), f"{body[0]}*{len(body)}*{body[-1]}"]
+        out, marks = [f"{body[0]}*{len(body)}*{body[-1]}"], ["\x02starred", re.sub(r"\*+", "*", body)]
     else:
         if not body.isascii():
             latin = body.translate(_ALIKE)
             if latin.isascii() and latin != body:
                 body = latin
         if not body.isalpha() and re.search(r"[^\W\d_]", body) and re.fullmatch(r"[^\W_@$!|+€'’-]*(?:[@$!|+€\d][^\W_'’-]*)+", body) and not re.fullmatch(r"[a-z]{0,2}\d+[a-z]{0,2}|[$€]?[\d.,]+[a-z]?", body):
-            out = ["signs", *_PIECE.findall(body.translate(_SIGN))]
+            out, marks = _PIECE.findall(body.translate(_SIGN)), ["\x02signs"]
         else:
             out = ["0" if p[0].isdigit() else p for p in _PIECE.findall(body)]
-    return [crc32(w.encode()) | 1 for w in out], ends
+    return hashes(out), ends, hashes(marks)
 
 
 class Featurizer:
@@ -104,17 +111,21 @@ class Featurizer:
             self.known = {}
         known = self.known
         for t in texts:
-            start = len(ids)
+            start, marks = len(ids), []
             for chunk in plain_text(t).split() if t else ():
                 w = known.get(chunk)
                 if w is None:
                     w = known[chunk] = _words(chunk)
                 if w[0]:
                     ids += w[0]
+                if w[2]:
+                    marks += w[2]
                 if w[1] and len(ids) > start:
+                    ids += marks
                     passages.append(start)
-                    start = len(ids)
+                    start, marks = len(ids), []
             if len(ids) > start:
+                ids += marks
                 passages.append(start)
             docs.append(len(passages))
         return np.array(ids, np.uint64), np.array(passages, np.int64), np.array(docs, np.int64)
@@ -273,7 +284,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "abusive") -> Mode
     held = _held_out(sets, y, np.arange(len(y)))
     kept = np.flatnonzero(~(((y == 1) & (held < DOUBT[0])) | ((y == 0) & (held > DOUBT[1]))))
     held = _held_out(sets, y, kept)[kept]
-    best = max(np.unique(np.round(held, 2)), key=lambda t: (2 * ((held >= t) & (y[kept] == 1)).sum() / max(1, (held >= t).sum() + (y[kept] == 1).sum()), -abs(t)))
+    best = max(np.arange(-60, 61) / 20, key=lambda t: (2 * ((held >= t) & (y[kept] == 1)).sum() / max(1, (held >= t).sum() + (y[kept] == 1).sum()), -abs(t)))
     m = _fit([sets[i] for i in kept], y[kept].tolist())
     w = m.weights(slice(None))
     index = np.flatnonzero(w).astype(np.int32)

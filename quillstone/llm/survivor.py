@@ -16,7 +16,7 @@ FIELDS = ("legal_name", "registration_id", "entity_status", "legal_form", "entit
 SALTS = 16
 UNTRUSTED = 2**31 - 1
 # Words that stand in for a missing value, letters only
-STAND_INS = ("unknown", "na", "none", "null", "nil", "tbd", "tba", "tbc", "notavailable", "notapplicable", "notknown", "notprovided", "notspecified", "unspecified", "undefined", "missing", "pending", "empty", "blank", "x", "xx", "xxx")
+STAND_INS = ("unknown", "na", "none", "null", "nil", "tbd", "tba", "tbc", "notavailable", "notapplicable", "notknown", "notprovided", "notspecified", "unspecified", "undefined", "missing", "pending", "empty", "blank")
 # Days that fill a date field
 FILLER_DAYS = ("9999-12-31", "9999-01-01", "0001-01-01", "1900-01-01", "1970-01-01")
 
