@@ -113,31 +113,40 @@ RULES = (
     ("SUBSIDIARY_RELATION", "SUBSIDIARY_OF", "TENSE", r"S (?:surviving|continuing|survived)[^.;]{0,160}?(?:wholly|direct|indirect)[\w -]*subsidiary of O"),
     ("ASSET_SALE_DIVESTITURE", "DIVESTED_BUSINESS", "TENSE", r"S (?:agreed to sell|sold|divested)[^.;]{2,120}? to O"),
     ("CORPORATE_CONVERSION", "CONVERTED_TO", "TENSE", r"S converted from an? [\w .-]{2,40}? to an? (?P<form>[\w .-]{2,40}? (?:corporation|company|partnership))"),
-    ("RENAMING", "RENAMED_TO", "COMPLETED", r"S changed its name (?:from O )?to (?P<new>[A-Z][^.;]{2,80})"),
+    ("RENAMING", "RENAMED_TO", "COMPLETED", r"S changed its name (?:from O )?to (?P<new>[A-Z\x02][^.;]{2,80})"),
 )
 SELF = ("we", "the registrant", "the company")
 
 
+_ANCHOR = re.compile(r"acqui|agreement|announced that|with and into|subsidiary of|converted from|changed its name|agreed to sell|\bsold\b|divested", re.I)
+_COMPILED = [(rule, kind, status, re.compile(re.sub(r"\bS\b", lambda _: "(?:[Tt]he )?\x02(?P<s>\\d+)\x03", re.sub(r"\bO\b", lambda _: "(?:[Tt]he )?\x02(?P<o>\\d+)\x03", pattern, count=1), count=1))) for rule, kind, status, pattern in RULES]
+
+
 def _events(text: str) -> Iterator[tuple]:
+    """Names, short names and words for the registrant become numbered marks; the rules then run over the marked text."""
+    if not _ANCHOR.search(text):
+        return
     found = {m.name: m for m in by_grammar(text) if is_organization(m.name)}
     known = {n: n for n in found} | {a: n for n, m in found.items() for a in m.aliases}
-    names = "|".join(re.escape(k) for k in sorted(known, key=len, reverse=True))
-    who = "|".join(x for x in (names, *(f"(?i:{re.escape(s)})" for s in SELF)) if x)
-    resolve = lambda s: known.get(s) or ("REGISTRANT_SELF_REFERENCE" if s and s.lower() in SELF else None)
-    low = text.lower()
-    for rule, kind, status, pattern in RULES:
-        anchor = {"MERGED_WITH_INTO": "with and into", "SUBSIDIARY_RELATION": "subsidiary of", "CORPORATE_CONVERSION": "converted from", "RENAMING": "changed its name", "ASSET_SALE_DIVESTITURE": " to "}.get(rule, "acqui" if "ACQ" in rule or "NARR" in rule else "agreement" if rule == "MERGER_AGREEMENT" else "announced that")
-        if anchor not in low:
-            continue
-        p = re.compile(r"(?:\b[Tt]he )?\b" + re.sub(r"\bS\b", lambda _: f"(?P<s>{who})", re.sub(r"\bO\b", lambda _: f"(?:the )?(?P<o>{who})", pattern, count=1), count=1))
-        for m in p.finditer(text):
+    words = sorted(known, key=len, reverse=True)
+    who = "|".join([*(re.escape(k) for k in words), *(f"(?i:{re.escape(s)})" for s in SELF)])
+    owners: list[str] = []
+
+    def mark(m: re.Match) -> str:
+        owners.append(known.get(m.group(0), "REGISTRANT_SELF_REFERENCE"))
+        return f"\x02{len(owners) - 1}\x03"
+
+    marked = re.sub(rf"(?<!\w)(?:{who})(?!\w)", mark, text.replace("\x02", " ").replace("\x03", " "))
+    name = lambda i: owners[int(i)] if i else None
+    undone = lambda t: _tidy(re.sub(r"\x02(\d+)\x03", lambda m: owners[int(m.group(1))], t))
+    for rule, kind, status, p in _COMPILED:
+        for m in p.finditer(marked):
             g = m.groupdict()
-            subject, other = resolve(g.get("s")), g.get("form") or g.get("new") or resolve(g.get("o"))
+            subject, other = name(g.get("s")), g.get("form") or g.get("new") or name(g.get("o"))
             if not subject or not other or subject == other:
                 continue
-            around = text[max(0, m.start() - 160) : m.end() + 160].lower()
             state = status if status != "TENSE" else "PROPOSED" if re.search(r"\bwill\b|\bwould\b|\bagreed to\b", m.group(0)) else "COMPLETED"
-            yield kind, _tidy(subject), _tidy(other), state, rule, around
+            yield kind, _tidy(subject), undone(other), state, rule
 
 
 def deal_events(docs: DataFrame, text: str) -> DataFrame:
@@ -151,7 +160,7 @@ def deal_events(docs: DataFrame, text: str) -> DataFrame:
         for b in batches:
             out: set[tuple] = set()
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = {e[:5] for e in _events(t or "")}
+                rows = set(_events(t or ""))
                 under = {(s, o) for k, s, o, _, _ in rows if k == "SUBSIDIARY_OF"}
                 gone = {s for k, s, _, st, _ in rows if k == "MERGED_INTO" and st == "COMPLETED"}
                 for k, s, o, st, rule in rows:
