@@ -56,56 +56,66 @@ def _name_keys(brand: tuple[str, ...], joined: str) -> list[str]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, names, number, place, city, address) to (id, names, number, place, city, address, keys), folded and split."""
+    """(id, names, numbers, places, city, address) to the same, folded and split, and keys; names, numbers and places are arrays."""
     plain = lambda t: _umlaut.sub(r"\1", "".join(c for c in fold(t) if c.isalnum())) if t else ""
     town = lambda t: plain(" ".join(w for w in re.sub(r",\s*[A-Za-z]{2}\s*$", "", t).split() if not any(c.isdigit() for c in w))) if t else ""
     for b in batches:
         ids, names, numbers, places, cities, lines = (c.to_pylist() for c in b.columns)
         split, keys, regs = [], [], []
-        for ns, number in zip(names, numbers):
+        for ns, raw in zip(names, numbers):
             row, ks = {}, set()
             for n in ns or ():
                 brand, business, ordinal, form = parse_name(n) if n else ((), "", "", "")
                 if brand:
                     joined = "".join(brand)
-                    row[n] = {"brand": " ".join(sorted(brand)), "joined": joined, "business": business, "ordinal": ordinal, "form": form}
+                    row[joined, business, ordinal, form] = {"brand": " ".join(sorted(brand)), "joined": joined, "business": business, "ordinal": ordinal, "form": form}
                     ks.update(_name_keys(brand, joined))
-            reg = registration_key(number)
-            if reg:
-                ks.add("R|" + reg.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            found = sorted({k for k in map(registration_key, raw or ()) if k})
+            ks.update("R|" + k.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for k in found)
             split.append(list(row.values()))
             keys.append(sorted(ks))
-            regs.append(reg)
-        out = [b.column(0), pa.array(split, pa.list_(_NAME)), pa.array(regs), pa.array([place_code(p) for p in places]), pa.array([town(c) for c in cities]), pa.array([plain(x) for x in lines]), pa.array(keys, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(out, ["id", "names", "number", "place", "city", "address", "keys"])
+            regs.append(found)
+        codes = [sorted({c for c in map(place_code, ps or ()) if c}) for ps in places]
+        text = pa.list_(pa.string())
+        out = [b.column(0), pa.array(split, pa.list_(_NAME)), pa.array(regs, text), pa.array(codes, text), pa.array([town(c) for c in cities], pa.string()), pa.array([plain(x) for x in lines], pa.string()), pa.array(keys, text)]
+        yield pa.RecordBatch.from_arrays(out, ["id", "names", "numbers", "places", "city", "address", "keys"])
 
 
 def _parsed(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.mapInArrow(_parse, f"id {kind}, names array<{_NAME_SQL}>, number string, place string, city string, address string, keys array<string>")
+    return rows.mapInArrow(_parse, f"id {kind}, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, city string, address string, keys array<string>")
 
 
 def registry_side(lei_entities: DataFrame) -> DataFrame:
-    """Distinct versions of each LEI, (id, names, number, place, city, address, keys); blanks and null LEIs left out."""
-    rows = lei_entities.select(lei("lei").alias("id"), F.trim("legal_name").alias("name"), "registration_number", "legal_jurisdiction", F.trim("legal_address_city").alias("city")).where("id <> ''")
-    rows = rows.groupBy("id", "name", "registration_number", "legal_jurisdiction").agg(F.collect_set(F.lower("city")).alias("cities"))
-    one = rows.select("id", F.array(F.when(is_value(F.col("name")), F.col("name"))).alias("names"), "registration_number", "legal_jurisdiction", F.lit(None).cast("string").alias("city"), F.array_join("cities", "|").alias("address"))
-    return _parsed(one.withColumn("address", F.lit(None).cast("string")), "string").drop("city", "address").join(_cities(lei_entities), "id", "left")
+    """One row a LEI with what any of its deliveries says: (id, names, numbers, places, cities, keys), folded; null and blank LEIs left out.
 
+    The sets are gathered before the exchange, so that a LEI delivered very often is no burden.
+    """
+    low = lambda c: F.nullif(F.trim(F.lower(F.col(c))), F.lit(""))
+    rows = lei_entities.select(lei("lei").alias("id"), F.when(is_value(F.col("legal_name")), F.regexp_replace(low("legal_name"), r"\s+", " ")).alias("name"), low("registration_number").alias("number"), low("legal_jurisdiction").alias("place"), low("legal_address_city").alias("city")).where("id <> ''")
+    one = rows.groupBy("id").agg(*(F.collect_set(c).alias(c) for c in ("name", "number", "place", "city")))
+    # the towns ride along as the address: one text, taken apart again after folding
+    flat = one.select("id", "name", "number", "place", F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("t"), "city")
+    return _parsed_registry(flat)
+
+
+def _parsed_registry(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda t: _umlaut.sub(r"\1", "".join(c for c in fold(t) if c.isalnum()))
+        for b in batches:
+            (out,) = _parse(iter([pa.RecordBatch.from_arrays(b.columns[:6], ["id", "n", "r", "p", "c", "t"])]))
+            cities = [sorted({x for x in map(plain, cs or ()) if len(x) >= 4}) for cs in b.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(out.column(i) for i in (0, 1, 2, 3)), pa.array(cities, pa.list_(pa.string())), out.column(6)], ["id", "names", "numbers", "places", "cities", "keys"])
 
-def _cities(lei_entities: DataFrame) -> DataFrame:
-    folded = F.regexp_replace(F.lower(F.translate(F.col("legal_address_city"), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "aaaaaaceeeeiiiinoooooouuuuyaaaaaaceeeeiiiinoooooouuuuy")), "[^a-z0-9]+", "")
-    folded = F.regexp_replace(folded, "([aou])e", "$1")
-    return lei_entities.select(lei("lei").alias("id"), folded.alias("c")).where("id <> '' and length(c) >= 4").groupBy("id").agg(F.collect_set("c").alias("cities"))
+    return rows.mapInArrow(run, f"id string, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, cities array<string>, keys array<string>")
 
 
 def record_side(candidates: DataFrame) -> DataFrame:
-    """Provider records, (id, names, number, place, city, address, keys): present and other names, stand-ins left out."""
+    """Provider records, (id, names, numbers, places, city, address, keys): present and other names, stand-ins left out."""
     real = lambda c: F.when(is_value(c), F.trim(c))
     names = F.array_compact(F.concat(F.array(real(F.col("legal_name"))), F.coalesce(F.transform("other_names", real), F.array().cast("array<string>"))))
     a = F.col("legal_address")
     text = F.concat_ws(" ", F.array_join(a["lines"], " "), a["city"])
-    place = F.coalesce(F.when(is_value(F.col("jurisdiction")), F.col("jurisdiction")), F.lit(""))
-    rows = candidates.select(F.col("candidate_id").alias("id"), F.struct(names.alias("names"), real(F.col("registration_id")).alias("n"), place.alias("p"), a["city"].alias("c"), text.alias("t")).alias("r")).where("id is not null")
+    rows = candidates.select(F.col("candidate_id").alias("id"), F.struct(names.alias("names"), F.array(real(F.col("registration_id"))).alias("n"), F.array(real(F.col("jurisdiction"))).alias("p"), a["city"].alias("c"), text.alias("t")).alias("r")).where("id is not null")
     once = rows.groupBy("id").agg(F.max("r").alias("r"))  # a repeated row would claim its share twice
     return _parsed(once.select("id", "r.*"), "bigint")
 
@@ -138,9 +148,9 @@ def _either(p: Column, q: Column) -> Column:
 
 def _evidence(pairs: DataFrame, registry: DataFrame, records: DataFrame) -> DataFrame:
     """Truth values of the rule bodies for every pair."""
-    some = lambda c: F.array_remove(F.collect_set(c), "")
-    side = registry.groupBy(F.col("id").alias("lei")).agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("l_names"), some("number").alias("l_numbers"), some("place").alias("l_places"), F.first("cities", True).alias("l_cities"))
-    both = pairs.join(records.select(F.col("id").alias("candidate_id"), F.col("names").alias("c_names"), "number", "place", "city", "address"), "candidate_id").join(side, "lei")
+    side = registry.select(F.col("id").alias("lei"), F.col("names").alias("l_names"), F.col("numbers").alias("l_numbers"), F.col("places").alias("l_places"), F.col("cities").alias("l_cities"))
+    first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit("")).alias(c[:-1])
+    both = pairs.join(records.select(F.col("id").alias("candidate_id"), F.col("names").alias("c_names"), first("numbers"), first("places"), "city", "address"), "candidate_id").join(side, "lei")
     name = F.coalesce(F.array_max(F.flatten(F.transform("l_names", lambda x: F.transform("c_names", lambda y: _name_score(x, y))))), F.lit(-1.0))
     digits = lambda c: F.regexp_replace(c, "^[A-Z]+", "")
     n = F.col("number")
@@ -197,7 +207,7 @@ _RULES = ("s_name", "s_number", "d_place", "d_number", "d_name")
 def infer(rules: DataFrame, scratch: Scratch) -> DataFrame:
     """(lei, candidate_id, confidence) by ``STEPS`` rounds of alternating directions from the single rules' minimum."""
     base = rules.withColumn("z", _single(F.lit(0.5), F.lit(0.01), *_RULES))
-    base = base.where("z > 0.05")  # a pair that its own rules put there stays there: exclusion only lowers it, likeness can't lift it to acceptance
+    base = base.where("z > 0.1")  # a pair that its own rules put there stays there: exclusion only lowers it, likeness can't lift it to acceptance
     state = scratch.write(base.withColumns({"u1": F.lit(0.0), "u2": F.lit(0.0), "u3": F.lit(0.0)}))
     by_record = Window.partitionBy("candidate_id")
     for step in range(STEPS):
