@@ -11,5 +11,16 @@ def queries() -> dict:
     return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
+def _plain_counts(sql: str) -> str:
+    """``count_if(x)`` as a count of cases: DuckDB's own gives a 128-bit sum."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 1, at + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + len('count_if(') : end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
 def oracle_sql() -> dict:
-    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
+    return {k: _plain_counts(v) for m in MODULES for k, v in m.ORACLE.items()}
