@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.dates import calendar_day, day_text, utc_micros
 from quillstone.operators.intervals import OPEN_END, _emit, lei
+from quillstone.session import Scratch
 
 STRETCH_DAYS = 2_922  # eight years
 NEVER = 253_402_300_799_000_000  # 9999-12-31T23:59:59Z in microseconds
@@ -95,16 +96,13 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a key together: gives those that run past their stretch the end that later stretches set, as it was on record."""
+    """Rows of a key that run past their stretch, and the stretches' first days: gives the rows the end that later stretches set, as it was on record."""
 
     def close(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         heads = sorted((r[0], r[6], r[7], r[4]) for r in rows if r[1])  # stretch, since, till, first day
         for stretch, is_head, value, vkey, first, last, since, till in rows:
             if is_head:
                 continue
-            if last is not None:
-                yield (*key, value, vkey, first, last, since, till)
-                continue
             later = [h for h in heads if h[0] > stretch]
             cuts = sorted({since, *(t for h in later for t in h[1:3] if since < t < till)})
             pending = None
@@ -155,8 +153,10 @@ def ledger(updates: DataFrame) -> DataFrame:
     At every recording time the rows on record cover an attribute's time from its first day without overlap; a confirmed
     value keeps its own row. ``recorded_to`` of the present rows is ``NEVER``. Each row ever on record stays.
     """
-    rows = sweep(updates).repartition(*KEY).sortWithinPartitions(*KEY)
-    return rows.mapInArrow(_join_stretches, "entity_id string, attribute_name string, value string, value_key string, valid_from int, valid_to int, recorded_from bigint, recorded_to bigint")
+    swept = Scratch(updates.sparkSession).write(sweep(updates))
+    bounds = swept.where("is_head or valid_to is null").repartition(*KEY).sortWithinPartitions(*KEY)  # few of the rows of a key
+    joined = bounds.mapInArrow(_join_stretches, "entity_id string, attribute_name string, value string, value_key string, valid_from int, valid_to int, recorded_from bigint, recorded_to bigint")
+    return joined.unionByName(swept.where("not is_head and valid_to is not null").select(*joined.columns))
 
 
 def versions(swept: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from quillstone.session import Scratch
 
 DIRECT, ULTIMATE = "IS_DIRECTLY_CONSOLIDATED_BY", "IS_ULTIMATELY_CONSOLIDATED_BY"
 MAX_DEPTH = 12
+PARTS = 32
 
 
 def upsert_last(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -43,8 +44,9 @@ def seeds(known: DataFrame, queries: DataFrame) -> DataFrame:
     named = known.where("name is not null").select("lei", "legal_name", "entity_status", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
     q = queries.where("query <> ''").withColumn("word", F.split("query", " ")[0])
     hits = named.join(q, "word").where(T.has_phrase(F.col("name"), F.col("query")))
-    exact = hits.withColumn("exact", F.col("name") == F.col("query")).withColumn("any_exact", F.max("exact").over(Window.partitionBy("query_id")))
-    return exact.where("exact or not any_exact").select("query_id", "query", "lei", "legal_name", "entity_status", T.name_likeness(F.col("query"), F.col("name")).alias("likeness"))
+    hits = hits.withColumn("exact", F.col("name") == F.col("query"))
+    sure = hits.groupBy("query_id").agg(F.bool_or("exact").alias("any_exact"))  # joined back: a word of very many names is no single task's
+    return hits.join(sure, "query_id").where("exact or not any_exact").select("query_id", "query", "lei", "legal_name", "entity_status", T.name_likeness(F.col("query"), F.col("name")).alias("likeness"))
 
 
 def walk_upward(start: DataFrame, edges: DataFrame, scratch: Scratch, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -87,8 +89,12 @@ def root_scores(walks: DataFrame, known: DataFrame, queries: DataFrame) -> DataF
 
 def decide_roots(scores: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, lei, score, margin, status, confidence): the best candidate of each query, and whether it can stand by itself."""
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("coverage"), F.desc("ultimate_votes"), F.desc("terminal_votes"), F.coalesce("legal_name", F.lit("")), "lei")
-    ranked = scores.withColumns({"place": F.row_number().over(rank), "second": F.lead("score").over(rank), "n": F.count(F.lit(1)).over(Window.partitionBy("query_id"))}).where("place = 1")
+    order = [F.desc("score"), F.desc("coverage"), F.desc("ultimate_votes"), F.desc("terminal_votes"), F.coalesce("legal_name", F.lit("")), F.col("lei")]
+    part = [F.col("query_id"), F.pmod(F.xxhash64("lei"), F.lit(PARTS))]  # first within parts of a query's candidates, then among the best two of each
+    few = scores.withColumns({"place": F.row_number().over(Window.partitionBy(*part).orderBy(*order)), "n": F.count(F.lit(1)).over(Window.partitionBy(*part))}).where("place <= 2")
+    few = few.withColumn("n", F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).over(Window.partitionBy("query_id")))
+    rank = Window.partitionBy("query_id").orderBy(*order)
+    ranked = few.withColumns({"place": F.row_number().over(rank), "second": F.lead("score").over(rank)}).where("place = 1")
     exact = found.where("likeness = 1.0 and entity_status = 'ACTIVE'").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.min("lei").alias("exact_lei"))
     top = ranked.join(exact, "query_id", "left").withColumn("margin", F.col("score") - F.coalesce("second", F.lit(0.0)))
     strong = (F.col("matched") >= 2) & (F.col("coverage") >= 0.6) & ((F.col("ultimate_votes") >= 1) | (F.col("terminal_votes") >= 2)) & (F.col("margin") >= 8)
