@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import adler32, crc32
 
 import numpy as np
 import pandas as pd
@@ -73,16 +74,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = sorted({k for k in map(registration_key, raw or ()) if k})
             ks.update("R|" + k.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for k in found)
             split.append(list(row.values()))
-            keys.append(sorted(ks))
+            keys.append(sorted({crc32(k.encode()) | adler32(k.encode()) << 31 for k in ks}))  # a collision only adds a pair to look at
             regs.append(found)
         codes = [sorted({c for c in map(place_code, ps or ()) if c}) for ps in places]
         text = pa.list_(pa.string())
-        out = [b.column(0), pa.array(split, pa.list_(_NAME)), pa.array(regs, text), pa.array(codes, text), pa.array([town(c) for c in cities], pa.string()), pa.array([plain(x) for x in lines], pa.string()), pa.array(keys, text)]
+        out = [b.column(0), pa.array(split, pa.list_(_NAME)), pa.array(regs, text), pa.array(codes, text), pa.array([town(c) for c in cities], pa.string()), pa.array([plain(x) for x in lines], pa.string()), pa.array(keys, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(out, ["id", "names", "numbers", "places", "city", "address", "keys"])
 
 
 def _parsed(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.mapInArrow(_parse, f"id {kind}, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, city string, address string, keys array<string>")
+    return rows.mapInArrow(_parse, f"id {kind}, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, city string, address string, keys array<bigint>")
 
 
 def registry_side(lei_entities: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def _parsed_registry(rows: DataFrame) -> DataFrame:
             cities = [sorted({x for x in map(plain, cs or ()) if len(x) >= 4}) for cs in b.column(6).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(out.column(i) for i in (0, 1, 2, 3)), pa.array(cities, pa.list_(pa.string())), out.column(6)], ["id", "names", "numbers", "places", "cities", "keys"])
 
-    return rows.mapInArrow(run, f"id string, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, cities array<string>, keys array<string>")
+    return rows.mapInArrow(run, f"id string, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, cities array<string>, keys array<bigint>")
 
 
 def record_side(candidates: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def record_side(candidates: DataFrame) -> DataFrame:
 
 def candidate_pairs(registry: DataFrame, records: DataFrame) -> DataFrame:
     """Distinct (lei, candidate_id) that share a key."""
-    keyed = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("k")).select(name, F.xxhash64("k").alias("k")).distinct()
+    keyed = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("k"))
     return keyed(registry, "lei").join(keyed(records, "candidate_id"), "k").select("lei", "candidate_id").distinct()
 
 
