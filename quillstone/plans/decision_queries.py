@@ -10,6 +10,8 @@ from quillstone.operators import adjudicate as A
 from quillstone.operators import disclosure as D
 from quillstone.operators import evidence as V
 from quillstone.operators import ledger as L
+from quillstone.operators import registrants as N
+from quillstone.operators import registry as R
 from quillstone.operators import temporal as G
 from quillstone.plans.data_queries import _DAY, _updates
 from quillstone.plans.name_queries import sql_base, sql_fold, sql_id, sql_place
@@ -124,7 +126,23 @@ def disclosure_change_counts(spark: SparkSession, d: str) -> DataFrame:
     return D.changes(_appearances(spark, d)).cube("cik", "change_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (pair_signals, pair_decision, decision_counts, evidence_bridge, evidence_unique, evidence_policy, shared_domain_conflict, evidence_gaps, temporal_nodes, temporal_edges, agreement_closure, temporal_asof_nodes, temporal_asof_edges, ledger_as_of, disclosure_timeline, disclosure_changes, disclosure_change_counts)}
+def _registrants(spark: SparkSession, d: str) -> DataFrame:
+    """Registration data's records against the registry."""
+    c = table(spark, d, "entity_candidates", "candidate_id", "provider", "legal_name", "other_names", "legal_address", "jurisdiction").where("lower(provider) = 'rdap'")
+    left = c.select(F.col("candidate_id").cast("string").alias("resource"), F.array_compact(F.concat(F.array("legal_name"), F.coalesce("other_names", F.array().cast("array<string>")))).alias("names"), F.concat_ws(" ", F.array_join("legal_address.lines", " "), "legal_address.city").alias("address"), T.jurisdiction_code(F.col("jurisdiction")).alias("country"))
+    known = R.entities(table(spark, d, "lei_entities", "record_id", "lei", "legal_name", "legal_jurisdiction", "entity_status"))
+    return N.match(left, known.select(F.col("lei").alias("entity_id"), F.array("legal_name").alias("names"), F.lit(None).cast("string").alias("address"), "jurisdiction"))
+
+
+def registrant_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _registrants(spark, d).where("decision <> 'reject'").select("resource", "entity_id", F.round("name_score", 6).alias("name_score"), "country_score", "decision")
+
+
+def registrant_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return N.attribution_evidence(_registrants(spark, d)).groupBy("evidence_type", "supports").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (registrant_matches, registrant_evidence, pair_signals, pair_decision, decision_counts, evidence_bridge, evidence_unique, evidence_policy, shared_domain_conflict, evidence_gaps, temporal_nodes, temporal_edges, agreement_closure, temporal_asof_nodes, temporal_asof_edges, ledger_as_of, disclosure_timeline, disclosure_changes, disclosure_change_counts)}
 
 _ADDR = "array_to_string([CASE w WHEN 'street' THEN 'st' WHEN 'road' THEN 'rd' WHEN 'avenue' THEN 'ave' WHEN 'boulevard' THEN 'blvd' WHEN 'suite' THEN 'ste' WHEN 'floor' THEN 'fl' ELSE w END FOR w IN string_split(trim(regexp_replace(lower(coalesce(concat_ws(' ', array_to_string(legal_address.lines, ' '), legal_address.city), '')), '[^a-z0-9]+', ' ', 'g')), ' ')], ' ')"
 _SIGNALS = f"""WITH r AS (SELECT candidate_id, {sql_fold('legal_name')} AS name, {sql_place('jurisdiction')} AS place,
