@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -27,7 +29,22 @@ def get_session(app: str = "quillstone", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for k, v in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives this package to the session's Python workers, wherever they run, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillstone_shipped", None) != sc.applicationId:
+        root = Path(__file__).resolve().parent
+        at = Path(tempfile.mkdtemp(prefix="quillstone-"), "quillstone.zip")
+        atexit.register(shutil.rmtree, str(at.parent), True)
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(at))
+        sc._quillstone_shipped = sc.applicationId
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
