@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.functions.dates import calendar_day
 from quillstone.operators import registry as R
 from quillstone.operators.intervals import lei
 from quillstone.plans.name_queries import sql_base, sql_fold
@@ -128,7 +129,7 @@ def state_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 def filings_before_document(spark: SparkSession, d: str) -> DataFrame:
     """Filings of the same issuer in the 365 days before a document: range join on the issuer and a yearly bucket, over days counted before."""
-    filings = table(spark, d, "edgar_subsidiaries", "cik", "accession", "filing_date").select("cik", "accession", F.expr("try_to_date(left(trim(filing_date), 10))").alias("day")).where("day is not null").distinct()
+    filings = table(spark, d, "edgar_subsidiaries", "cik", "accession", "filing_date").select("cik", "accession", calendar_day(F.col("filing_date")).alias("day")).where("day is not null").distinct()
     filings = filings.groupBy("cik", "day").agg(F.count(F.lit(1)).alias("n")).withColumn("n_day", F.unix_date("day")).withColumn("bucket", F.explode(F.array(F.floor(F.col("n_day") / 366), F.floor(F.col("n_day") / 366) + 1)))
     docs = table(spark, d, "documents", "doc_id", "cik", "published_at").where("published_at is not null").withColumn("p_day", F.unix_date(F.to_date("published_at"))).withColumn("bucket", F.floor(F.col("p_day") / 366))
     hits = docs.join(filings.drop("day"), ["cik", "bucket"]).where("n_day <= p_day and n_day > p_day - 365")

@@ -1,9 +1,12 @@
 """Queries do the whole job: cases that cuts once left out."""
 
+import datetime
+
 import pytest
 
 from quillstone.operators import expansion as X
-from quillstone.plans import expansion_queries
+from quillstone.plans import expansion_queries, registry_queries
+from tests.conftest import rows
 
 
 def saved(spark, at, **tables):
@@ -35,3 +38,12 @@ def test_expansion_tells_what_it_lacks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(X, "related_entities", lambda edges: broken)
     with pytest.raises(RuntimeError, match="registry.*no answer"):
         expansion_queries.fixpoint_expansion(spark, d)
+
+
+def test_filing_days_without_hyphens_count(spark, tmp_path):
+    day = datetime.datetime(2019, 6, 1)
+    d = saved(
+        spark, tmp_path, documents=([(1, "c", day), (2, "e", day)], "doc_id bigint, cik string, published_at timestamp"),
+        edgar_subsidiaries=([("c", "a1", "20190301"), ("c", "a2", " 2019-03-01 "), ("c", "a3", "2019-03-01T10:00:00Z"), ("c", "a4", "20170301"), ("e", "a5", "20190301")], "cik string, accession string, filing_date string"),
+    )
+    assert rows(registry_queries.filings_before_document(spark, d)) == [(1, 3), (2, 1)]
