@@ -5,7 +5,7 @@ building (floor, suite, room, its name, care-of lines) is dropped. Distinct form
 digits plus one rare word, the street's name by its first or its last letters, so that a slip leaves one of the two in
 common. A pair is accepted when number, kind and direction agree and the overlap of street and town, weighted by the
 rarity of their words, is high, where unmatched words count by their Levenshtein likeness. Without a town on
-one side the postal code decides, else a street name that belongs to few towns.
+one side the postal code decides, else that no other town competes for the same number and street.
 """
 
 from __future__ import annotations
@@ -149,7 +149,6 @@ def parse_address(lines: tuple[str, ...], city: str, region: str, country: str,
     return street[0], name, street[2], street[3], town, postal, nation.rstrip("?")
 
 
-FEW_TOWNS = 5  # a street name written with no more towns than that, slips included, tells the town
 FIELDS = ("number", "street", "kind", "direction", "town", "postal", "nation")
 
 
@@ -167,6 +166,34 @@ def parsed_addresses(rows: DataFrame, id_column: str, address: str) -> DataFrame
     return flat.mapInArrow(run, "address_id string, " + ", ".join(f"{f} string" for f in FIELDS))
 
 
+def _reached(towns: Column, start: Column) -> Column:
+    """Those of ``towns`` that steps within the slip tolerance reach from ``start``, an array of towns."""
+    return F.aggregate(towns, start, lambda got, _: F.filter(towns, lambda t: F.exists(got, lambda g: _slips(g, t))))
+
+
+def _one_place(towns: Column) -> Column:
+    """All towns are ways of writing one; there may be none."""
+    return F.size(_reached(towns, F.slice(towns, 1, 1))) == F.size(towns)
+
+
+def _settled(near: DataFrame) -> DataFrame:
+    """Pairs of ``near`` that are sure, or one of which lacks the town while nothing else competes for it.
+
+    What competes for a form without a town are the towns of the forms near it, those with an equal postal code first,
+    then those with one that is a slip away, then the rest. If they are all ways of writing one town, that is the form's.
+    """
+    lacks = near.where("town = '' or town_b = ''")
+    told = lacks.where("town = ''").select("form", F.col("town_b").alias("t"), "tier").unionByName(lacks.where("town_b = ''").select(F.col("form_b").alias("form"), F.col("town").alias("t"), "tier")).where("t <> ''")
+    best = told.groupBy("form").agg(F.collect_set(F.struct("tier", "t")).alias("x")).withColumn("least", F.array_min(F.transform("x", lambda v: v["tier"])))
+    towns = best.select("form", F.transform(F.filter("x", lambda v: v["tier"] == F.col("least")), lambda v: v["t"]).alias("towns"))
+    none = F.array().cast("array<string>")
+    open_ = lacks.where("not sure").join(towns, "form", "left").join(towns.select(F.col("form").alias("form_b"), F.col("towns").alias("towns_b")), "form_b", "left")
+    rivals, own = F.array_union(F.coalesce("towns", none), F.coalesce("towns_b", none)), F.greatest("town", "town_b")
+    fits = _one_place(F.col("rivals")) & ((F.col("own") == "") | F.exists("rivals", lambda t: _slips(t, F.col("own"))))
+    alone = open_.select("form", "form_b", rivals.alias("rivals"), own.alias("own")).where(fits)
+    return near.where("sure").select("form", "form_b").unionByName(alone.select("form", "form_b"))
+
+
 def address_pairs(addresses: DataFrame) -> DataFrame:
     """``(address_id_a, address_id_b)``, smaller id first: pairs of ``parsed_addresses`` rows that name the same place.
 
@@ -180,10 +207,12 @@ def address_pairs(addresses: DataFrame) -> DataFrame:
     town_use = forms.groupBy("town").agg(F.count(F.lit(1)).alias("town_forms"))
     forms, (n,) = scratch.write_counting(forms.join(towns, "street").join(town_use, "town"), F.count(F.lit(1)))
     ends = F.array_distinct(F.flatten(F.transform(F.when(F.length("street") > 8, F.array(F.lit(4))).when(F.length("street") == 8, F.array(F.lit(3), F.lit(4))).otherwise(F.array(F.lit(3))), lambda k: F.array(F.concat(F.lit("<"), k.cast("string"), F.substring("street", F.lit(1), k)), F.concat(F.lit(">"), k.cast("string"), F.right("street", k))))))
-    keyed = forms.withColumn("block", F.explode(ends)).select(F.xxhash64("number", "kind", "direction", "block").alias("block"), "form", "street", "town", "postal", "nation", "street_towns", "town_forms")
-    a, b = keyed, keyed.select(*(F.col(c).alias(f"{c}_b" if c != "block" else c) for c in keyed.columns))
-    close = a.join(b, "block").where("form < form_b").where(_same_place(n)).select("form", "form_b").distinct()
-    close = scratch.write(close)
+    keyed = forms.withColumn("block", F.explode(ends)).select(F.xxhash64("number", "kind", "direction", "block").alias("block"), "form")
+    met = keyed.join(keyed.withColumnRenamed("form", "form_b"), "block").where("form < form_b").select("form", "form_b").distinct()
+    a = forms.select("form", "street", "town", "postal", "nation", "street_towns", "town_forms")
+    b = a.select(*(F.col(c).alias(f"{c}_b") for c in a.columns))
+    near = scratch.write(_near(met.join(a, "form").join(b, "form_b"), n))
+    close = scratch.write(_settled(near))
     ids = known.select("form", "address_id")
     apart = close.join(ids, "form").select("form_b", F.col("address_id").alias("x")).join(ids.select(F.col("form").alias("form_b"), F.col("address_id").alias("y")), "form_b").select("x", "y")
     alike = ids.join(ids.select("form", F.col("address_id").alias("y")), "form").where("address_id < y").select(F.col("address_id").alias("x"), "y")
@@ -194,10 +223,19 @@ def _likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def _same_place(n: int) -> Column:
-    """Rarity-weighted overlap of street and town; number, kind and direction agree by the block."""
+def _slips(x: Column, y: Column) -> Column:
+    """At most two edits apart, or one where a word has less than six letters; two letters that changed places count as one."""
+    far = F.levenshtein(x, y)
+    return (far <= F.when(F.least(F.length(x), F.length(y)) >= 6, 2).otherwise(1)) | ((far == 2) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, ""))))
+
+
+def _near(pairs: DataFrame, n: int) -> DataFrame:
+    """(form, form_b, town, town_b, tier, sure) of pairs whose number, kind and direction agree by the block, and the street but for slips.
+
+    With towns on both sides the rarity-weighted overlap of street and town decides; else an equal postal code (tier 0).
+    A code that is a slip away (tier 1) or lacks (tier 2) leaves a pair that isn't ``sure``.
+    """
     c = F.col
-    slips = lambda x, y: (F.levenshtein(c(x), c(y)) <= F.when(F.least(F.length(x), F.length(y)) >= 6, 2).otherwise(1)) | ((F.levenshtein(c(x), c(y)) == 2) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, ""))))
     rare = lambda x: F.log(F.lit(float(max(n, 2))) / F.greatest(c(x), F.lit(1)) + 1)
     street, town = _likeness(c("street"), c("street_b")), _likeness(c("town"), c("town_b"))
     ws, wt = F.lit(0.5) * (rare("street_towns") + rare("street_towns_b")), F.lit(0.5) * (rare("town_forms") + rare("town_forms_b"))
@@ -205,10 +243,9 @@ def _same_place(n: int) -> Column:
     nation = (c("nation") == c("nation_b")) | (c("nation") == "") | (c("nation_b") == "")
     both = (c("town") != "") & (c("town_b") != "")
     postal = (c("postal") != "") & (c("postal_b") != "")
-    by_town = (slips("town", "town_b") & (overlap >= 0.7)) | (postal & (c("postal") == c("postal_b")) & (town >= 0.5))
-    only = F.greatest("street_towns", "street_towns_b") <= FEW_TOWNS
-    by_code = (postal & (c("postal") == c("postal_b"))) | (~postal & nation & only) | (postal & nation & only & (F.levenshtein("postal", "postal_b") <= 1))
-    return slips("street", "street_b") & F.when(both, by_town & nation).otherwise(by_code)
+    by_town = (_slips(c("town"), c("town_b")) & (overlap >= 0.7)) | (postal & (c("postal") == c("postal_b")) & (town >= 0.5))
+    tier = F.when(both, F.when(by_town & nation, 0)).when(postal & (c("postal") == c("postal_b")), 0).when(postal & nation & (F.levenshtein("postal", "postal_b") <= 1), 1).when(~postal & nation, 2)
+    return pairs.where(_slips(c("street"), c("street_b"))).select("form", "form_b", "town", "town_b", tier.alias("tier"), (tier == 0).alias("sure")).where("tier is not null")
 
 
 def found_pairs(candidates: DataFrame, subsidiaries: DataFrame) -> DataFrame:
