@@ -1,9 +1,9 @@
 """Address records that name the same place, however written: numbers first.
 
 An address is taken apart into house number, street name, kind of street, compass direction and town; what lies inside a
-building (floor, suite, room, its name, care-of lines) is dropped. Distinct forms are blocked on their sorted house
-digits plus one rare word, the street's name by its first or its last letters, so that a slip leaves one of the two in
-common. A pair is accepted when number, kind and direction agree and the overlap of street and town, weighted by the
+building (floor, suite, room, its name, care-of lines) is dropped. Distinct forms are blocked on their house number,
+kind and direction plus a third of the street's name, so that any two slips leave a block in common. A pair is accepted
+when number, kind and direction agree and the overlap of street and town, weighted by the
 rarity of their words, is high, where unmatched words count by their Levenshtein likeness. Without a town on
 one side the postal code decides, else that no other town competes for the same number and street.
 """
@@ -194,6 +194,37 @@ def _settled(near: DataFrame) -> DataFrame:
     return near.where("sure").select("form", "form_b").unionByName(alone.select("form", "form_b"))
 
 
+def _block(length: Column, piece: int, letters: Column) -> Column:
+    return F.xxhash64("number", "kind", "direction", length, F.lit(piece), letters)
+
+
+def _piece(length: Column, i: int) -> tuple[Column, Column]:
+    """(start, length) of the i-th third of a word, the later ones longer by a letter."""
+    base, first_long = F.floor(length / 3).cast("int"), F.lit(3) - length % 3
+    return 1 + i * base + F.greatest(F.lit(0), i - first_long), base + (i >= first_long).cast("int")
+
+
+# Where a third of a street may stand in one that is 0, 1 or 2 letters longer, by at most two edits, relative to its own place:
+# of three thirds two edits leave one as it was, moved by no more than the edits before it and so that those after it suffice
+MOVED = (((0,), (-1, 0, 1), (0,)), ((0,), (0, 1), (1,)), ((0,), (1,), (2,)))
+
+
+def kept_blocks() -> Column:
+    n = F.length("street")
+    return F.array_distinct(F.array(*(_block(n, i, F.substring("street", *_piece(n, i))) for i in range(3))))
+
+
+def sought_blocks() -> Column:
+    """Blocks of all streets that are as long or up to two letters shorter and at most two edits away."""
+    n, keys = F.length("street"), []
+    for shorter, by_piece in enumerate(MOVED):
+        m = n - shorter
+        for i, moves in enumerate(by_piece):
+            start, long = _piece(m, i)
+            keys += [F.when((m >= 1) & (start + k >= 1) & (start + k + long <= n + 1), _block(m, i, F.substring("street", start + k, long))) for k in moves]
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
 def address_pairs(addresses: DataFrame) -> DataFrame:
     """``(address_id_a, address_id_b)``, smaller id first: pairs of ``parsed_addresses`` rows that name the same place.
 
@@ -206,9 +237,10 @@ def address_pairs(addresses: DataFrame) -> DataFrame:
     towns = forms.groupBy("street").agg(F.count_distinct(F.when(F.col("town") != "", F.col("town"))).alias("street_towns"))
     town_use = forms.groupBy("town").agg(F.count(F.lit(1)).alias("town_forms"))
     forms, (n,) = scratch.write_counting(forms.join(towns, "street").join(town_use, "town"), F.count(F.lit(1)))
-    ends = F.array_distinct(F.flatten(F.transform(F.when(F.length("street") > 8, F.array(F.lit(4))).when(F.length("street") == 8, F.array(F.lit(3), F.lit(4))).otherwise(F.array(F.lit(3))), lambda k: F.array(F.concat(F.lit("<"), k.cast("string"), F.substring("street", F.lit(1), k)), F.concat(F.lit(">"), k.cast("string"), F.right("street", k))))))
-    keyed = forms.withColumn("block", F.explode(ends)).select(F.xxhash64("number", "kind", "direction", "block").alias("block"), "form")
-    met = keyed.join(keyed.withColumnRenamed("form", "form_b"), "block").where("form < form_b").select("form", "form_b").distinct()
+    size = F.length("street").alias("size")
+    kept = forms.select(F.explode(kept_blocks()).alias("block"), F.col("form").alias("x"), size)
+    sought = forms.select(F.explode(sought_blocks()).alias("block"), F.col("form").alias("y"), size.alias("size_y"))
+    met = kept.join(sought, "block").where("x <> y and (size < size_y or x < y)").select(F.least("x", "y").alias("form"), F.greatest("x", "y").alias("form_b")).distinct()
     a = forms.select("form", "street", "town", "postal", "nation", "street_towns", "town_forms")
     b = a.select(*(F.col(c).alias(f"{c}_b") for c in a.columns))
     near = scratch.write(_near(met.join(a, "form").join(b, "form_b"), n))

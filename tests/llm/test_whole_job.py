@@ -1,6 +1,9 @@
 """Queries do the whole job: cases that cuts once left out."""
 
 import itertools
+import random
+
+from pyspark.sql import functions as F
 
 from quillstone.llm import addresses as A
 from tests.conftest import rows
@@ -22,3 +25,25 @@ def test_competing_towns_leave_the_postal_code_to_decide(spark):
     here = ("112", "zalukys", "square", "", "zeiklyrt", "", "GB"), ("112", "zalukys", "square", "", "", "77120", "GB"), ("112", "zalukys", "square", "", "farawayville", "", "GB")
     assert pairs(spark, *here) == []
     assert pairs(spark, *here, ("112", "zalukys", "square", "", "zeiklyr", "77120", "GB")) == [("a0", "a1"), ("a0", "a3"), ("a1", "a3")]
+
+
+def test_slips_at_both_ends_of_a_street(spark):
+    streets = [("lyquavuponk", "lyyquavupolk"), ("gdathar", "godaathar"), ("tanyskand", "tapyskeand")]
+    got = pairs(spark, *((str(i), x, "street", "", "zeiklyrt", "", "GB") for i, both in enumerate(streets, 1) for x in both))
+    assert got == [("a0", "a1"), ("a2", "a3"), ("a4", "a5")]
+
+
+def test_streets_two_edits_apart_share_a_block(spark):
+    rng = random.Random(7)
+    made = []
+    for k in range(3000):
+        x = [rng.choice("abc") for _ in range(rng.randint(1, 14))]
+        y = list(x)
+        for _ in range(2):
+            i = rng.randrange(len(y))
+            y[i : i + rng.randint(0, 1)] = [rng.choice("abc")] * (rng.randint(0, 1) or len(y) == 1)
+        made.append((k, *sorted(("".join(x), "".join(y)), key=len)))
+    df = spark.createDataFrame(made, "k int, short string, long string").where(F.levenshtein("short", "long") <= 2)
+    block = lambda c, blocks, name: df.select("k", F.col(c).alias("street"), *(F.lit("1").alias(x) for x in ("number", "kind", "direction"))).select("k", blocks.alias(name))
+    met = block("short", A.kept_blocks(), "p").join(block("long", A.sought_blocks(), "q"), "k")
+    assert met.count() > 2900 and met.where(~F.arrays_overlap("p", "q")).count() == 0
