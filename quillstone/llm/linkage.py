@@ -1,8 +1,8 @@
 """Matching registry entities with provider records that share no key, by soft logic.
 
 Candidate pairs share a rare key: a registration number, or a brand word along with the first or last letters of another
-one (so that a slip in either word leaves a key in common), or the run-together brand. Each pair is a variable between 0
-and 1. Weighted rules say how far evidence speaks for or against it, each rule a squared hinge:
+one (so that a slip in either word leaves a key in common), or the run-together brand, or one of its halves (so that a slip
+anywhere in it does, wherever the blanks are), or halves of both of two words (slips in both). Each pair is a variable between 0 and 1. Weighted rules say how far evidence speaks for or against it, each rule a squared hinge:
 
     name(l, c) and place(l, c)        -> match(l, c)
     same_number(l, c) and support     -> match(l, c)
@@ -46,8 +46,25 @@ _NAME_SQL = "struct<brand string, joined string, business string, ordinal string
 _umlaut = re.compile("([aou])e")
 
 
-def _name_keys(brand: tuple[str, ...], joined: str) -> list[str]:
-    keys = [f"J|{joined}"] if joined else []
+def _halves(word: str, sought: bool, ends: bool = False) -> set[str]:
+    """Marked parts that one slip leaves whole: either half, or, where the letters at the middle changed places, all with those two sorted.
+
+    ``sought``: instead of the word's own, the halves of all words that are as long or a letter longer or shorter, as they would stand in this one.
+    ``ends``: each half along with the first or the last two letters of a longer other half, as a slip there leaves one of the two.
+    """
+    n, h = len(word), len(word) // 2
+    parts = {f"={word[: max(h - 1, 0)]}{''.join(sorted(word[max(h - 1, 0) : h + 1]))}{word[h + 1 :]}"}
+    for m in (n - 1, n, n + 1) if sought else (n,):
+        head, tail = m // 2, max(n - m + m // 2, 0)  # where the first half ends and the second begins, if the other one has the slip
+        for mark, half, other, size in (("<", word[:head], word[head:], m - head), (">", word[tail:], word[:tail], head)):
+            parts |= {f"{mark}{half}{x}" for x in ((f"|{other[:2]}", f"|-{other[-2:]}") if ends and size >= 5 else ("",))}
+    return parts
+
+
+def _name_keys(brand: tuple[str, ...], joined: str, sought: bool) -> list[str]:
+    keys = [f"J|{joined}", *(f"H|{x}" for x in _halves(joined, sought, ends=True))] if joined else []
+    if len(brand) == 2:
+        keys += [f"B|{x}|{y}" for x in _halves(brand[0], sought) for y in _halves(brand[1], sought)]
     for i, x in enumerate(brand):
         for j, y in enumerate(brand):
             if i != j:
@@ -56,8 +73,8 @@ def _name_keys(brand: tuple[str, ...], joined: str) -> list[str]:
     return keys
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, names, numbers, places, city, address) to the same, folded and split, and keys; names, numbers and places are arrays."""
+def _parse(batches: Iterator[pa.RecordBatch], sought: bool = True) -> Iterator[pa.RecordBatch]:
+    """(id, names, numbers, places, city, address) to the same, folded and split, and keys; names, numbers and places are arrays. ``sought``: as in ``_halves``."""
     plain = lambda t: _umlaut.sub(r"\1", "".join(c for c in fold(t) if c.isalnum())) if t else ""
     town = lambda t: plain(" ".join(w for w in re.sub(r",\s*[A-Za-z]{2}\s*$", "", t).split() if not any(c.isdigit() for c in w))) if t else ""
     for b in batches:
@@ -70,11 +87,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if brand:
                     joined = "".join(brand)
                     row[joined, business, ordinal, form] = {"brand": " ".join(sorted(brand)), "joined": joined, "business": business, "ordinal": ordinal, "form": form}
-                    ks.update(_name_keys(brand, joined))
+                    ks.update(_name_keys(brand, joined, sought))
             found = sorted({k for k in map(registration_key, raw or ()) if k})
             ks.update("R|" + k.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for k in found)
             split.append(list(row.values()))
-            keys.append(sorted({crc32(k.encode()) | adler32(k.encode()) << 31 for k in ks}))  # a collision only adds a pair to look at
+            keys.append(sorted({(crc32(k.encode()) | adler32(k.encode()) << 31) & -2 | (k[:2] in ("H|", "B|")) for k in ks}))  # a collision only adds a pair to look at; the last bit marks halves
             regs.append(found)
         codes = [sorted({c for c in map(place_code, ps or ()) if c}) for ps in places]
         text = pa.list_(pa.string())
@@ -103,7 +120,7 @@ def _parsed_registry(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = lambda t: _umlaut.sub(r"\1", "".join(c for c in fold(t) if c.isalnum()))
         for b in batches:
-            (out,) = _parse(iter([pa.RecordBatch.from_arrays(b.columns[:6], ["id", "n", "r", "p", "c", "t"])]))
+            (out,) = _parse(iter([pa.RecordBatch.from_arrays(b.columns[:6], ["id", "n", "r", "p", "c", "t"])]), sought=False)
             cities = [sorted({x for x in map(plain, cs or ()) if len(x) >= 4}) for cs in b.column(6).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(out.column(i) for i in (0, 1, 2, 3)), pa.array(cities, pa.list_(pa.string())), out.column(6)], ["id", "names", "numbers", "places", "cities", "keys"])
 
@@ -122,9 +139,15 @@ def record_side(candidates: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(registry: DataFrame, records: DataFrame) -> DataFrame:
-    """Distinct (lei, candidate_id) that share a key."""
+    """(lei, candidate_id, halves) that share a key, each once; ``halves``: none but those of halves."""
     keyed = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("k"))
-    return keyed(registry, "lei").join(keyed(records, "candidate_id"), "k").select("lei", "candidate_id").distinct()
+    return keyed(registry, "lei").join(keyed(records, "candidate_id"), "k").groupBy("lei", "candidate_id").agg((F.min(F.col("k").bitwiseAND(F.lit(1))) == 1).alias("halves"))
+
+
+def _slips(x: Column, y: Column) -> Column:
+    """No more apart than by a slip in each of two words; letters that changed places count as one slip."""
+    far = F.levenshtein(x, y)
+    return (far <= 3) | ((far == 4) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, ""))))
 
 
 def _likeness(a: Column, b: Column) -> Column:
@@ -152,6 +175,7 @@ def _evidence(pairs: DataFrame, registry: DataFrame, records: DataFrame) -> Data
     side = registry.select(F.col("id").alias("lei"), F.col("names").alias("l_names"), F.col("numbers").alias("l_numbers"), F.col("places").alias("l_places"), F.col("cities").alias("l_cities"))
     first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit("")).alias(c[:-1])
     both = pairs.join(records.select(F.col("id").alias("candidate_id"), F.col("names").alias("c_names"), first("numbers"), first("places"), "city", "address"), "candidate_id").join(side, "lei")
+    both = both.where(~F.col("halves") | F.exists("l_names", lambda x: F.exists("c_names", lambda y: _slips(x["joined"], y["joined"]))))
     name = F.coalesce(F.array_max(F.flatten(F.transform("l_names", lambda x: F.transform("c_names", lambda y: _name_score(x, y))))), F.lit(-1.0))
     digits = lambda c: F.regexp_replace(c, "^[A-Z]+", "")
     n = F.col("number")

@@ -6,7 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from quillstone.llm import addresses as A
+from quillstone.llm import linkage as L
 from tests.conftest import rows
+from tests.llm.test_linkage import CAND, LEI
 
 ADDRESS = "address_id string, " + ", ".join(f"{f} string" for f in A.FIELDS)
 
@@ -47,3 +49,24 @@ def test_streets_two_edits_apart_share_a_block(spark):
     block = lambda c, blocks, name: df.select("k", F.col(c).alias("street"), *(F.lit("1").alias(x) for x in ("number", "kind", "direction"))).select("k", blocks.alias(name))
     met = block("short", A.kept_blocks(), "p").join(block("long", A.sought_blocks(), "q"), "k")
     assert met.count() > 2900 and met.where(~F.arrays_overlap("p", "q")).count() == 0
+
+
+def test_slips_in_any_brand_meet_their_entity(spark):
+    lei = ["Haecerlupuzo Marine Ltd", "Wamynd Brimjebri Insurance AB", "Walkdrei Ljasy", "Grundavel Fosterin Foods Ltd", "Komujiva Tarpolen Media AB"]
+    cand = ["Haeerlupuzo Marine Ltd", "Wamyndbrimjberi Insurance AB", "Walkdreil Jsay", "Grudnavel Fostrein Foods Ltd", "Komjuiva Tarploen Media AB"]
+    registry = L.registry_side(spark.createDataFrame([(f"L{i}", x, None, None, None) for i, x in enumerate(lei)], LEI))
+    records = L.record_side(spark.createDataFrame([(i, x, [], None, None, None) for i, x in enumerate(cand)], CAND))
+    assert rows(L.candidate_pairs(registry, records).select("lei", "candidate_id")) == [(f"L{i}", i) for i in range(5)]
+
+
+def test_one_slip_leaves_a_half():
+    rng = random.Random(3)
+    for _ in range(5000):
+        x = [rng.choice("abc") for _ in range(rng.randint(1, 16))]
+        y, i = list(x), rng.randrange(len(x))
+        if rng.random() < 0.3:
+            y[i : i + 2] = reversed(y[i : i + 2])
+        else:
+            y[i : i + rng.randint(0, 1)] = rng.choice(([], ["a"], ["b"]))
+        for ends in (False, True):
+            assert L._halves("".join(x), False, ends) & L._halves("".join(y), True, ends), (x, y, ends)
