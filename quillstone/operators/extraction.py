@@ -85,6 +85,35 @@ def mentions(docs: DataFrame, text: str, recognizers: tuple[str, ...] = ("gramma
     return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, recognizer string, name string, alias string")
 
 
+_TOKEN = re.compile(r"&|[A-Za-z0-9\u212a](?:[’'`]*[A-Za-z0-9\u212a])*")
+_DOTTED = tuple(x for x in SUFFIXES if x.endswith("."))
+
+
+def registry_mentions(docs: DataFrame, text: str, found: DataFrame) -> DataFrame:
+    """Registry names standing in texts as mentions of the recognizer ``registry``, as the text writes them, along with their short names.
+
+    ``found``: (doc_id, position, n_words) of names in the folded words of a text, as ``regions.phrase_hits`` gives them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: set[tuple] = set()
+            for doc, t, hits in zip(*(c.to_pylist() for c in b.columns)):
+                t = t.replace("\u0130", "I\u0307")  # as lower case takes it apart
+                at = [m.span() for m in _TOKEN.finditer(t)]
+                for h in hits:
+                    start, end = at[h["position"] - 1][0], at[h["position"] + h["n_words"] - 2][1]
+                    if t[start : end + 1].endswith(_DOTTED):
+                        end += 1
+                    if is_organization(name := _tidy(t[start:end])):
+                        out |= {(doc, "registry", name, a) for a in _named_by(t, end) or (None,)}
+            cols = list(zip(*sorted(out, key=lambda x: (x[0], x[2], x[3] or "")))) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["doc_id", "recognizer", "name", "alias"])
+
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("position", "n_words")).alias("hits"))
+    return docs.select("doc_id", text).join(by_doc, "doc_id").mapInArrow(run, "doc_id bigint, recognizer string, name string, alias string")
+
+
 def fuse(votes: DataFrame, weights: dict[str, float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, name, votes): names whose recognizers' weights reach ``threshold``; an unknown recognizer counts 1. ``votes``: (doc_id, recognizer, name)."""
     w = F.create_map(*(F.lit(x) for kv in (weights or WEIGHTS).items() for x in kv))

@@ -80,10 +80,20 @@ def certificate_fields(spark: SparkSession, d: str) -> DataFrame:
     return made.select("s_suppkey", g(merge, 1).alias("merging"), F.trim(g(merge, 2)).alias("into_name"), g(r"name of the surviving corporation is ([A-Z][A-Za-z0-9&. -]+?), a").alias("survivor"), F.date_format(F.try_to_date(g(r"effective on ([A-Z][a-z]+ \d{1,2}, \d{4})"), "MMMM d, yyyy"), "yyyy-MM-dd").alias("effective_date"))
 
 
-def gazetteer_hits(spark: SparkSession, d: str) -> DataFrame:
+def _registry_hits(spark: SparkSession, d: str) -> DataFrame:
     known = registry.entities(table(spark, d, "lei_entities", "record_id", "lei", "legal_name", "legal_jurisdiction", "entity_status"))
     names = known.where("name is not null").groupBy("name").agg(F.min("lei").alias("name_id"))
-    return R.phrase_hits(table(spark, d, "documents", "doc_id", "text"), "text", names).select("doc_id", "position", "name_id")
+    return R.phrase_hits(table(spark, d, "documents", "doc_id", "text"), "text", names)
+
+
+def gazetteer_hits(spark: SparkSession, d: str) -> DataFrame:
+    return _registry_hits(spark, d).select("doc_id", "position", "name_id")
+
+
+def _all_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """What the text's own grammar finds and what the registry knows."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return Scratch(spark).write(X.mentions(docs, "text").unionByName(X.registry_mentions(docs, "text", _registry_hits(spark, d))))
 
 
 def organization_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -91,12 +101,12 @@ def organization_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def organization_vote(spark: SparkSession, d: str) -> DataFrame:
-    found = Scratch(spark).write(X.mentions(table(spark, d, "documents", "doc_id", "text"), "text"))
+    found = _all_mentions(spark, d)
     return X.fuse(found)
 
 
 def alias_vote(spark: SparkSession, d: str) -> DataFrame:
-    found = Scratch(spark).write(X.mentions(table(spark, d, "documents", "doc_id", "text"), "text"))
+    found = _all_mentions(spark, d)
     return X.fuse_aliases(found, X.fuse(found))
 
 

@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from quillstone.operators import expansion as X
-from quillstone.plans import expansion_queries, registry_queries
+from quillstone.plans import expansion_queries, registry_queries, text_queries
 from tests.conftest import rows
 
 
@@ -47,3 +47,15 @@ def test_filing_days_without_hyphens_count(spark, tmp_path):
         edgar_subsidiaries=([("c", "a1", "20190301"), ("c", "a2", " 2019-03-01 "), ("c", "a3", "2019-03-01T10:00:00Z"), ("c", "a4", "20170301"), ("e", "a5", "20190301")], "cik string, accession string, filing_date string"),
     )
     assert rows(registry_queries.filings_before_document(spark, d)) == [(1, 3), (2, 1)]
+
+
+def test_registry_names_vote_by_themselves(spark, tmp_path):
+    text = "then Alpha & Beta's Gamma S.A. (\u201cABG\u201d) paid. Delta Works Ltd. slept; Nobody Known Inc. woke. It is Epsilon Zeta."
+    names = ["ALPHA AND BETAS GAMMA S.A.", "Delta Works Ltd.", "Epsilon Zeta"]
+    d = saved(
+        spark, tmp_path, documents=([(1, text), (2, None)], "doc_id bigint, text string"),
+        lei_entities=([(i, f"L{i}", x, "US", "ACTIVE") for i, x in enumerate(names)], "record_id bigint, lei string, legal_name string, legal_jurisdiction string, entity_status string"),
+    )
+    got = rows(text_queries.organization_vote(spark, d))
+    assert [(r[1], r[2]) for r in got] == [("Alpha & Beta's Gamma S.A.", 3.25), ("Delta Works Ltd.", 2.0), ("Epsilon Zeta", 1.5)]
+    assert rows(text_queries.alias_vote(spark, d)) == [(1, "ABG", "Alpha & Beta's Gamma S.A.")]
