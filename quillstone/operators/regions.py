@@ -95,14 +95,14 @@ def phrase_hits(docs: DataFrame, text: str, names: DataFrame) -> DataFrame:
     """(doc_id, position, n_words, name_id, name) of names standing in texts as whole words; a hit inside a longer one is left out.
 
     ``names``: (name_id, name), folded, two words at least. Texts meet names on their first two words, so that no text is
-    compared with all names; the hits of one text are few.
+    compared with all names, and only a key goes along with each place; names of any length are then compared with as many words of the text.
     """
-    keyed = names.withColumn("w", F.split("name", " ")).where(F.size("w") >= 2).select("name_id", "name", F.size("w").alias("n_words"), F.array_join(F.slice("w", 1, 2), " ").alias("two"))
+    two = lambda at: F.xxhash64(F.array_join(F.slice("w", at, F.lit(2)), " "))
+    keyed = names.withColumn("w", F.split("name", " ")).where(F.size("w") >= 2).select("name_id", "name", F.size("w").alias("n_words"), two(F.lit(1)).alias("two"))
     words = docs.where(F.col(text).isNotNull()).select("doc_id", F.split(fold_ascii(F.col(text)), " ").alias("w")).where(F.size("w") >= 2)
-    pairs = words.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("position"))
-    longest = 12  # words that are compared at once; longer names are compared through their text
-    pairs = pairs.select("doc_id", "position", F.array_join(F.slice("w", F.col("position"), F.lit(2)), " ").alias("two"), F.array_join(F.slice("w", F.col("position"), F.lit(longest)), " ").alias("ahead"))
-    found = pairs.join(keyed, "two").where(F.startswith(F.concat("ahead", F.lit(" ")), F.concat("name", F.lit(" "))))
+    pairs = words.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("position")).select("doc_id", "position", two(F.col("position")).alias("two"))
+    maybe = pairs.join(keyed, "two").select("doc_id", "position", "n_words", "name_id", "name")
+    found = maybe.join(words, "doc_id").where(F.array_join(F.slice("w", F.col("position"), F.col("n_words")), " ") == F.col("name")).drop("w")
     e = F.col("position") + F.col("n_words")
     longer = Window.partitionBy("doc_id").orderBy("position", F.desc("n_words"), "name_id").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("reach", F.max(e).over(longer)).where((F.col("reach").isNull()) | (e > F.col("reach"))).select("doc_id", "position", "n_words", "name_id", "name")
