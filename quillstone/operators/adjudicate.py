@@ -71,14 +71,14 @@ def decide(p: Policy, have: dict[str, Column]) -> dict[str, Column]:
 
 def group_pairs(groups: DataFrame, records: DataFrame) -> DataFrame:
     """(dup_group, left, right): every member of a group with the group's smallest candidate, as structs of what signals need."""
-    name = T.fold_ascii(F.col("legal_name"))
+    name = T.fold_name(F.col("legal_name"))
     # What stands in for a missing number
     number = F.regexp_replace(F.upper("registration_id"), "[^A-Z0-9]+", "")
     known = F.length(F.regexp_replace(number, "[^0-9]+", "")) >= 5
     side = records.select("candidate_id", F.struct(
         "candidate_id", name.alias("name"), T.strip_suffixes(name).alias("base"), T.jurisdiction_code(F.col("jurisdiction")).alias("place"),
         F.when(known, F.array(number)).otherwise(F.array().cast("array<string>")).alias("ids"),
-        F.coalesce(F.filter(F.transform("other_names", T.fold_ascii), lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("aliases"),
+        F.coalesce(F.filter(F.transform("other_names", T.fold_name), lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("aliases"),
         F.when(F.col("legal_address").isNotNull(), F.array(T.address_key(F.concat_ws(" ", F.array_join("legal_address.lines", " "), "legal_address.city")))).otherwise(F.array().cast("array<string>")).alias("addresses"),
     ).alias("record"))
     members = groups.select("dup_group", "candidate_id").distinct()

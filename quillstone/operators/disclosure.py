@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.dates import calendar_day
-from quillstone.functions.text import fold_ascii
+from quillstone.functions.text import fold_name
 
 
 def appearances(subsidiaries: DataFrame) -> DataFrame:
     """(cik, identity, day, accession, name, country) of the rows of subsidiary lists with a name and a date; repeated rows once."""
-    rows = subsidiaries.select("cik", fold_ascii(F.col("subsidiary_name")).alias("identity"), F.date_format(calendar_day(F.col("filing_date")), "yyyy-MM-dd").alias("day"), "accession", F.trim("subsidiary_name").alias("name"), F.trim("country").alias("country"))
+    rows = subsidiaries.select("cik", fold_name(F.col("subsidiary_name")).alias("identity"), F.date_format(calendar_day(F.col("filing_date")), "yyyy-MM-dd").alias("day"), "accession", F.trim("subsidiary_name").alias("name"), F.trim("country").alias("country"))
     return rows.where("cik is not null and identity is not null and day is not null").distinct()
 
 

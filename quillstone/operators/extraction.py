@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import folded_letters
+
 # Corporate suffixes that end an organization's name in prose
 SUFFIXES = ("Incorporated", "Corporation", "Aktiengesellschaft", "Limited", "Company", "L.L.C.", "L.L.P.", "P.L.C.", "L.P.", "S.A.", "S.L.", "B.V.", "N.V.", "K.K.", "G.K.", "GmbH & Co. KG", "Pte. Ltd.", "S.a r.l.", "Corp.", "Inc.", "Ltd.", "Co.", "Ltda.", "Corp", "Inc", "LLC", "LLP", "PLC", "Ltd", "GmbH", "SARL", "SAS", "DAC", "AG", "AB", "LP", "SA")
 # What isn't an organization although it looks like one
@@ -85,10 +87,22 @@ def mentions(docs: DataFrame, text: str, recognizers: tuple[str, ...] = ("gramma
     return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, recognizer string, name string, alias string")
 
 
-_TOKEN = re.compile(r"&|[A-Za-z0-9\u212a](?:[’'`]*[A-Za-z0-9\u212a])*")
+_TOKEN = re.compile(r"&|[a-z0-9](?:[’'`]*[a-z0-9])*")
 _DOTTED = tuple(x for x in SUFFIXES if x.endswith("."))
 
 
+def _word_spans(text: str) -> list[tuple[int, int]]:
+    """Where the words of ``fold_name`` stand in the text itself."""
+    if text.isascii():
+        return [m.span() for m in _TOKEN.finditer(text.lower())]
+    letters, origin = [], []
+    for i, c in enumerate(text):
+        for f in c.lower() if c.isascii() else folded_letters(c):
+            letters.append(f)
+            origin.append(i)
+    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in _TOKEN.finditer("".join(letters))]
+
+
 def registry_mentions(docs: DataFrame, text: str, found: DataFrame) -> DataFrame:
     """Registry names standing in texts as mentions of the recognizer ``registry``, as the text writes them, along with their short names.
 
@@ -99,8 +113,7 @@ def registry_mentions(docs: DataFrame, text: str, found: DataFrame) -> DataFrame
         for b in batches:
             out: set[tuple] = set()
             for doc, t, hits in zip(*(c.to_pylist() for c in b.columns)):
-                t = t.replace("\u0130", "I\u0307")  # as lower case takes it apart
-                at = [m.span() for m in _TOKEN.finditer(t)]
+                at = _word_spans(t)
                 for h in hits:
                     start, end = at[h["position"] - 1][0], at[h["position"] + h["n_words"] - 2][1]
                     if t[start : end + 1].endswith(_DOTTED):

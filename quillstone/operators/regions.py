@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import fold_ascii
+from quillstone.functions.text import fold_name
 
 # Kinds of signals for mergers and acquisitions, on lower-case text
 SIGNALS = {
@@ -27,12 +27,14 @@ def ascii_text(text: Column) -> Column:
 def hits(docs: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """(doc_id, kind, start, end, n_chars) of every match; start counts from 0. A long text spreads over no more rows than it has matches."""
     rows = docs.where(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("_t"))
-    out = None
-    for kind, p in patterns.items():
-        found = rows.select("doc_id", F.length("_t").alias("n_chars"), F.split("_t", p, -1).alias("parts"), F.regexp_extract_all("_t", F.lit(p), 0).alias("m")).where(F.size("m") > 0)
-        one = found.select("doc_id", F.lit(kind).alias("kind"), "n_chars", F.posexplode(F.arrays_zip(F.transform(F.slice(F.col("parts"), F.lit(1), F.size("m")), F.length).alias("g"), F.transform("m", F.length).alias("l"))).alias("i", "x"))
-        one = one.select("doc_id", "kind", "n_chars", "i", F.col("x.g").alias("g"), F.col("x.l").alias("l"))
-        out = one if out is None else out.unionByName(one)
+
+    def found(kind: str, p: str) -> Column:
+        m = F.regexp_extract_all("_t", F.lit(p), 0)
+        return F.struct(F.lit(kind).alias("kind"), F.arrays_zip(F.transform(F.slice(F.split("_t", p, -1), F.lit(1), F.size(m)), F.length).alias("g"), F.transform(m, F.length).alias("l")).alias("at"))
+
+    every = F.explode(F.array(*(F.when(F.col("_t").rlike(p), found(kind, p)) for kind, p in patterns.items()))).alias("x")  # one scan for all kinds
+    out = rows.select("doc_id", F.length("_t").alias("n_chars"), every).where("x is not null").select("doc_id", "n_chars", F.col("x.kind").alias("kind"), F.posexplode("x.at").alias("i", "y"))
+    out = out.select("doc_id", "kind", "n_chars", "i", F.col("y.g").alias("g"), F.col("y.l").alias("l"))
     w = Window.partitionBy("doc_id", "kind").orderBy("i")
     end = F.sum(F.col("g") + F.col("l")).over(w)
     return out.select("doc_id", "kind", (end - F.col("l")).cast("int").alias("start"), end.cast("int").alias("end"), "n_chars")
@@ -91,18 +93,35 @@ def tense(fragment: Column) -> Column:
     return F.when(has(PROPOSED), F.when(done, "COMPLETED").otherwise("PROPOSED")).when(has(COMPLETED), "COMPLETED").otherwise("UNKNOWN")
 
 
+MOST_KEYS = 4_000_000  # keys of eight bytes each that may be broadcast; more of them are met by an exchange
+
+
 def phrase_hits(docs: DataFrame, text: str, names: DataFrame) -> DataFrame:
-    """(doc_id, position, n_words, name_id, name) of names standing in texts as whole words; a hit inside a longer one is left out.
+    """(doc_id, position, n_words, name_id, name) of names standing in texts as whole words; of hits that overlap the longest stays, the first among equals.
 
-    ``names``: (name_id, name), folded, two words at least. Texts meet names on their first two words, so that no text is
-    compared with all names, and only a key goes along with each place; names of any length are then compared with as many words of the text.
+    ``names``: (name_id, name), folded, two words at least. A text's places are first met with the distinct keys of the names'
+    first two words, broadcast up to ``MOST_KEYS`` of them, so that only places where a name may begin are exchanged; names of
+    any length are then compared with as many words of the text. Overlaps are settled within each run of overlapping hits.
     """
     two = lambda at: F.xxhash64(F.array_join(F.slice("w", at, F.lit(2)), " "))
     keyed = names.withColumn("w", F.split("name", " ")).where(F.size("w") >= 2).select("name_id", "name", F.size("w").alias("n_words"), two(F.lit(1)).alias("two"))
-    words = docs.where(F.col(text).isNotNull()).select("doc_id", F.split(fold_ascii(F.col(text)), " ").alias("w")).where(F.size("w") >= 2)
-    pairs = words.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("position")).select("doc_id", "position", two(F.col("position")).alias("two"))
-    maybe = pairs.join(keyed, "two").select("doc_id", "position", "n_words", "name_id", "name")
+    keys = keyed.select("two").distinct()
+    if keys.count() <= MOST_KEYS:
+        keys = F.broadcast(keys)
+    words = docs.where(F.col(text).isNotNull()).select("doc_id", F.split(fold_name(F.col(text)), " ").alias("w")).where(F.size("w") >= 2)
+    pairs = words.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), two)).alias("p", "two")).join(keys, "two", "left_semi")
+    maybe = pairs.join(keyed, "two").select("doc_id", (F.col("p") + 1).alias("position"), "n_words", "name_id", "name")
     found = maybe.join(words, "doc_id").where(F.array_join(F.slice("w", F.col("position"), F.col("n_words")), " ") == F.col("name")).drop("w")
-    e = F.col("position") + F.col("n_words")
-    longer = Window.partitionBy("doc_id").orderBy("position", F.desc("n_words"), "name_id").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("reach", F.max(e).over(longer)).where((F.col("reach").isNull()) | (e > F.col("reach"))).select("doc_id", "position", "n_words", "name_id", "name")
+    return _longest(found)
+
+
+def _longest(found: DataFrame) -> DataFrame:
+    """Hits that no longer one overlaps, nor an equally long one before; a hit that loses to a kept one hides nothing."""
+    order = Window.partitionBy("doc_id").orderBy("position", "n_words", "name_id")
+    reach = F.max(F.col("position") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("new", F.when(F.col("position") < reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    hit = F.struct((-F.length("name")).alias("order"), "position", "name_id", "n_words", "name")
+    by_run = runs.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    apart = lambda x, y: (x["position"] >= y["position"] + y["n_words"]) | (y["position"] >= x["position"] + x["n_words"])
+    kept = F.aggregate("hits", F.slice("hits", 1, 1), lambda got, x: F.when(F.forall(got, lambda y: apart(x, y)), F.concat(got, F.array(x))).otherwise(got))
+    return by_run.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.position", "x.n_words", "x.name_id", "x.name")

@@ -25,7 +25,7 @@ def upsert_last(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
 def entities(lei_entities: DataFrame) -> DataFrame:
     """(lei, legal_name, name, jurisdiction, entity_status): the last delivery of every LEI."""
     rows = lei_entities.select(lei("lei").alias("lei"), "record_id", F.trim("legal_name").alias("legal_name"), F.trim("legal_jurisdiction").alias("jurisdiction"), F.trim("entity_status").alias("entity_status"))
-    return upsert_last(rows.where("lei <> ''"), ["lei"], "record_id").withColumn("name", T.fold_ascii(F.col("legal_name"))).drop("record_id")
+    return upsert_last(rows.where("lei <> ''"), ["lei"], "record_id").withColumn("name", T.fold_name(F.col("legal_name"))).drop("record_id")
 
 
 def links(relationships: DataFrame, status: str | None = None) -> DataFrame:

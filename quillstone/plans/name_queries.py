@@ -14,11 +14,11 @@ def fold_name_ascii(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold_name_unicode(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lei_entities", "record_id", "legal_address_city").select("record_id", T.fold_unicode(F.col("legal_address_city")).alias("folded"))
+    return table(spark, d, "lei_entities", "record_id", "legal_address_city").select("record_id", T.fold_name(F.col("legal_address_city")).alias("folded"))
 
 
 def suffix_strip(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lei_entities", "record_id", "legal_name").select("record_id", T.strip_suffixes(T.fold_ascii(F.col("legal_name"))).alias("base_name"))
+    return table(spark, d, "lei_entities", "record_id", "legal_name").select("record_id", T.strip_suffixes(T.fold_name(F.col("legal_name"))).alias("base_name"))
 
 
 def resolver_name(spark: SparkSession, d: str) -> DataFrame:
@@ -41,8 +41,8 @@ def jurisdiction_alias(spark: SparkSession, d: str) -> DataFrame:
 def _normalized(spark: SparkSession, d: str) -> DataFrame:
     """Records with raw, normalized and base names, and the entity key: what resolution adds, nothing taken away."""
     rows = table(spark, d, "entity_candidates", "candidate_id", "legal_name", "other_names", "jurisdiction")
-    name, place = T.fold_ascii(F.col("legal_name")), T.jurisdiction_code(F.col("jurisdiction"))
-    rows = rows.withColumns({"name_normalized": name, "base_name": T.strip_suffixes(name), "place": place, "former": F.filter(F.transform("other_names", T.fold_ascii), lambda x: x.isNotNull())})
+    name, place = T.fold_name(F.col("legal_name")), T.jurisdiction_code(F.col("jurisdiction"))
+    rows = rows.withColumns({"name_normalized": name, "base_name": T.strip_suffixes(name), "place": place, "former": F.filter(F.transform("other_names", T.fold_name), lambda x: x.isNotNull())})
     return rows.withColumn("entity_key", T.stable_id("ent", F.col("name_normalized"), F.col("place")))
 
 
@@ -63,14 +63,14 @@ def relationship_key(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "eval_packets", "packet_id", "candidate_a", "candidate_b")
-    rows = rows.select("packet_id", T.fold_ascii(F.col("candidate_a.canonical_name")).alias("a"), T.fold_ascii(F.col("candidate_b.canonical_name")).alias("b"))
+    rows = rows.select("packet_id", T.fold_name(F.col("candidate_a.canonical_name")).alias("a"), T.fold_name(F.col("candidate_b.canonical_name")).alias("b"))
     return rows.select("packet_id", T.levenshtein_ratio(F.col("a"), F.col("b")).alias("levenshtein_ratio"), T.token_jaccard(F.col("a"), F.col("b")).alias("token_jaccard"))
 
 
 def name_similarity_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Registry names against the first word of a studied company, for names that share that word: blocked on it, not crossed."""
-    queries = table(spark, d, "study_companies", "company_id", "company").select("company_id", F.split(T.fold_ascii(F.col("company")), " ")[0].alias("query"))
-    names = table(spark, d, "lei_entities", "record_id", "legal_name").select("record_id", T.fold_ascii(F.col("legal_name")).alias("name")).where("name is not null")
+    queries = table(spark, d, "study_companies", "company_id", "company").select("company_id", F.split(T.fold_name(F.col("company")), " ")[0].alias("query"))
+    names = table(spark, d, "lei_entities", "record_id", "legal_name").select("record_id", T.fold_name(F.col("legal_name")).alias("name")).where("name is not null")
     hits = names.withColumn("query", F.explode(F.array_distinct(F.split("name", " ")))).join(queries, "query")
     return hits.select("company_id", "record_id", T.name_likeness(F.col("query"), F.col("name")).alias("likeness"))
 
@@ -85,8 +85,20 @@ def issuer_lookup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (fold_name_ascii, fold_name_unicode, suffix_strip, resolver_name, identity_key, address_normalize, jurisdiction_alias, normalize_entities, duplicate_groups, relationship_key, pair_similarity, name_similarity_tiers, issuer_lookup)}
 
 
+def _sql_words(lowered: str) -> str:
+    return f"nullif(trim(regexp_replace(regexp_replace(replace({lowered}, '&', ' and '), '[’''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')), '')"
+
+
+def sql_decomposed(c: str) -> str:
+    return f"replace(lower(strip_accents({c})), 'ß', 'ss')"
+
+
 def sql_fold(c: str) -> str:
-    return f"nullif(trim(regexp_replace(regexp_replace(replace(lower({c}), '&', ' and '), '[’''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')), '')"
+    return _sql_words(sql_decomposed(c))
+
+
+def sql_fold_ascii(c: str) -> str:
+    return _sql_words(f"lower({c})")
 
 
 def sql_base(c: str) -> str:
@@ -98,7 +110,7 @@ def _sql_map(values: dict, key: str) -> str:
 
 
 def sql_place(c: str) -> str:
-    return f"CASE WHEN length({c}) > 0 THEN coalesce({_sql_map(T.JURISDICTIONS, f'''trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))''')}, trim({c})) END"
+    return f"CASE WHEN length({c}) > 0 THEN coalesce({_sql_map(T.JURISDICTIONS, f'''trim(regexp_replace({sql_decomposed(c)}, '[^a-z0-9]+', ' ', 'g'))''')}, trim({c})) END"
 
 
 def sql_identity(c: str) -> str:
@@ -119,7 +131,8 @@ _RATIO = "CASE WHEN length(a) > 0 AND length(b) > 0 THEN 1.0::DOUBLE - levenshte
 _JACCARD = "CASE WHEN length(trim(a)) > 0 AND length(trim(b)) > 0 THEN len(list_intersect(list_distinct(regexp_split_to_array(trim(a), '\\s+')), list_distinct(regexp_split_to_array(trim(b), '\\s+'))))::DOUBLE / len(list_distinct(list_concat(regexp_split_to_array(trim(a), '\\s+'), regexp_split_to_array(trim(b), '\\s+')))) END"
 
 ORACLE = {
-    "fold_name_ascii": f"SELECT record_id, {sql_fold('legal_name')} AS folded FROM lei_entities",
+    "fold_name_ascii": f"SELECT record_id, {sql_fold_ascii('legal_name')} AS folded FROM lei_entities",
+    "fold_name_unicode": f"SELECT record_id, {sql_fold('legal_address_city')} AS folded FROM lei_entities",
     "suffix_strip": f"SELECT record_id, {sql_base(sql_fold('legal_name'))} AS base_name FROM lei_entities",
     "resolver_name": f"""SELECT candidate_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(coalesce(legal_name, '')), '&', ' and '), '\\([^)]*(?:dormant|non[- ]operational)[^)]*\\)', ' ', 'g'), '\\(fka\\s+[^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '(?:(?:^| )(?:{_FORMS}))+$', '')) AS compared FROM entity_candidates""",
     "identity_key": f"SELECT row_id, {sql_identity('subsidiary_name')} AS identity FROM edgar_subsidiaries",

@@ -24,7 +24,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     """The first word of every studied company's name; for every fourth company its sector, which many names hold."""
-    word = F.when(F.col("company_id") % 4 == 0, T.fold_ascii(F.col("sector"))).otherwise(F.split(T.fold_ascii(F.col("company")), " ")[0])
+    word = F.when(F.col("company_id") % 4 == 0, T.fold_name(F.col("sector"))).otherwise(F.split(T.fold_name(F.col("company")), " ")[0])
     return table(spark, d, "study_companies", "company_id", "company", "sector").select(F.col("company_id").alias("query_id"), word.alias("query"))
 
 

@@ -120,13 +120,13 @@ def completed_events(spark: SparkSession, d: str) -> DataFrame:
 
 def ensemble_vote(spark: SparkSession, d: str) -> DataFrame:
     """Names of subsidiary lists by the weighted vote of the forms that hold them."""
-    rows = table(spark, d, "edgar_subsidiaries", "cik", "form_type", "subsidiary_name").select(F.col("cik").alias("doc_id"), F.col("form_type").alias("recognizer"), T.fold_ascii(F.col("subsidiary_name")).alias("name")).where("name is not null and doc_id is not null")
+    rows = table(spark, d, "edgar_subsidiaries", "cik", "form_type", "subsidiary_name").select(F.col("cik").alias("doc_id"), F.col("form_type").alias("recognizer"), T.fold_name(F.col("subsidiary_name")).alias("name")).where("name is not null and doc_id is not null")
     return X.fuse(rows, {"10-K": 1.0, "10-K/A": 0.5, "20-F": 0.75, "20-F/A": 0.25}, 1.0).select(F.col("doc_id").alias("cik"), "name", "votes")
 
 
 def alias_argmax(spark: SparkSession, d: str) -> DataFrame:
     """The way of writing each subsidiary that most rows have, the last in order among equals."""
-    rows = table(spark, d, "edgar_subsidiaries", "cik", "subsidiary_name").select("cik", T.fold_ascii(F.col("subsidiary_name")).alias("k"), F.trim("subsidiary_name").alias("name")).where("k is not null and cik is not null")
+    rows = table(spark, d, "edgar_subsidiaries", "cik", "subsidiary_name").select("cik", T.fold_name(F.col("subsidiary_name")).alias("k"), F.trim("subsidiary_name").alias("name")).where("k is not null and cik is not null")
     return rows.groupBy("cik", "k", "name").agg(F.count(F.lit(1)).alias("n")).groupBy("cik", "k").agg(F.max_by("name", F.struct("n", "name")).alias("name"), F.max("n").alias("n"))
 
 
