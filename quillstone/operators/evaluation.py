@@ -55,7 +55,7 @@ def novelty(rows: DataFrame, order: str, label: str) -> DataFrame:
 # Forms by what is done with them
 ITEMIZED = ("8-K", "8-K/A")
 LONG = ("10-K", "10-K/A", "20-F", "20-F/A", "40-F", "40-F/A", "6-K", "6-K/A")
-DEAL_FORMS = ("10-Q", "10-Q/A", "S-4", "S-4/A", "F-4", "F-4/A", "425", "DEFM14A", "PREM14A", "SC TO-T", "SC TO-I", "SC 14D9", "SC 13E3")
+DEAL_FORMS = ("10-Q", "10-Q/A", "10-QT", "10-KT", "10-KT/A", "10-K405", "S-4", "S-4/A", "F-4", "F-4/A", "425", "DEFM14A", "PREM14A", "DEFA14A", "SC TO-T", "SC TO-T/A", "SC TO-I", "SC 14D9", "SC 14D9/A", "SC 13E3")
 
 
 def disposition(form: Column, items: Column) -> Column:

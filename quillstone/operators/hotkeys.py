@@ -29,19 +29,42 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", ro
     return apart.unionByName(left.where(~F.coalesce(is_hot, F.lit(False))).join(right, key, how))
 
 
-def prefix_sum(df: DataFrame, order: list[str], value: Column, name: str, scratch) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` (bigint) over all rows before this one in the total order ``order``.
+def prefix_sum(df: DataFrame, order: list[str], value: Column | None, name: str, scratch) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` (bigint) over all rows before this one in the total order ``order``; without a value their number.
 
-    Rows are range-partitioned, so that a key that leads ``order`` may spread over many tasks; only one sum a partition
-    comes to the driver. ``order`` must tell all rows apart. Nulls in ``value`` count as 0.
+    Rows are range-partitioned once and summed in the pass that sorts them, so that a key that leads ``order`` may spread over
+    many tasks and no second exchange follows. One sum a partition comes to the driver and goes back as a broadcast table of as
+    many rows. ``order`` must tell all rows apart. Nulls in ``value`` count as 0.
     """
-    from pyspark.sql import Window
-
-    at = scratch.write(df.withColumn("_v", F.coalesce(value.cast("bigint"), F.lit(0))).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
-    sums = sorted((r[0], r[1]) for r in at.groupBy("_p").agg(F.sum("_v")).collect())
-    before, total = {}, 0
-    for p, s in sums:
-        before[p], total = total, total + s
-    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.element_at(F.create_map(*(F.lit(x).cast("bigint") for kv in before.items() for x in kv)), F.col("_p").cast("bigint")) if before else F.lit(0).cast("bigint")
-    return at.withColumn(name, offset + F.coalesce(F.sum("_v").over(w), F.lit(0))).drop("_v", "_p")
+    spark = df.sparkSession
+    rows = df if value is None else df.withColumn("_v", F.coalesce(value.cast("bigint"), F.lit(0)))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    if value is None:
+        at = scratch.write(ordered.withColumn("_at", F.monotonically_increasing_id()))
+        at = at.select("*", F.shiftright("_at", 33).cast("int").alias("_p"), F.col("_at").bitwiseAND(F.lit(2**33 - 1)).alias("_before"))
+        sums = at.groupBy("_p").agg(F.count(F.lit(1)).alias("s")).collect()
+    else:
+        at = scratch.write(_running(ordered).withColumn("_p", F.spark_partition_id()))
+        sums = at.groupBy("_p").agg(F.sum("_v").alias("s")).collect()
+    before, total = [], 0
+    for p, s in sorted((r[0], r[1]) for r in sums):
+        before.append((p, total))
+        total += s
+    offsets = F.broadcast(spark.createDataFrame(before or [(0, 0)], "_p int, _offset bigint"))  # as many rows as partitions
+    return at.join(offsets, "_p").select(*df.columns, (F.col("_offset") + F.col("_before")).alias(name))
+
+
+def _running(ordered: DataFrame) -> DataFrame:
+    """With ``_before``: the sum of ``_v`` over the rows before in the partition."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        total = 0
+        for b in batches:
+            v = b.column("_v").to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(v)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total + upto - v)], [*b.schema.names, "_before"])
+            total += int(upto[-1]) if len(upto) else 0
+
+    return ordered.mapInArrow(run, ordered.limit(0).withColumn("_before", F.lit(0).cast("bigint")).schema)

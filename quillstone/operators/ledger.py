@@ -5,13 +5,14 @@ into a valid interval already on record: that row is closed at the recording tim
 parts, never overwritten. The rows not superseded are the present knowledge.
 
 Hot keys: repeated deliveries are combined before the exchange, and the sweep is split by stretches of valid
-time (``STRETCH_DAYS``). A stretch leaves open what runs past its end; those rows and the stretch's first day
-over recorded time, both at most one for each day and correction, are put together in a second pass.
+time (``STRETCH_DAYS``). A stretch leaves open what ran past its end while it was on record. A second pass gives those rows the
+end that later stretches set: it holds the first days of the later stretches over recorded time, which change only by an update
+before all others of a stretch, and looks each row up in them by binary search as it streams by.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,37 +96,47 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _emit(rows(), [f.split()[0] for f in SWEPT.split(", ")], SWEPT_TYPES)
 
 
+def _next_days(heads: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """(since, day) of the first day known after a stretch, over recorded time, from (since, stretch, day) of the later stretches' first days.
+
+    A stretch once known stays known, so that only the same or a nearer one changes what comes next.
+    """
+    since: list[int] = []
+    days: list[int] = []
+    nearest = None
+    for at, stretch, day in sorted(heads):
+        if nearest is not None and stretch > nearest:
+            continue
+        nearest = stretch
+        if since and since[-1] == at:
+            days[-1] = day
+        else:
+            since.append(at)
+            days.append(day)
+    return since, days
+
+
 def _join_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a key that run past their stretch, and the stretches' first days: gives the rows the end that later stretches set, as it was on record."""
-
-    def close(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        heads = sorted((r[0], r[6], r[7], r[4]) for r in rows if r[1])  # stretch, since, till, first day
-        for stretch, is_head, value, vkey, first, last, since, till in rows:
-            if is_head:
-                continue
-            later = [h for h in heads if h[0] > stretch]
-            cuts = sorted({since, *(t for h in later for t in h[1:3] if since < t < till)})
-            pending = None
-            for t in cuts:
-                end = next((h[3] for h in later if h[1] <= t < h[2]), OPEN_END)
-                if pending and pending[0] == end:
-                    continue
-                if pending:
-                    yield (*key, value, vkey, first, pending[0], pending[1], t)
-                pending = (end, t)
-            yield (*key, value, vkey, first, pending[0], pending[1], till)
+    """By key and stretch the later stretches' first days (no ``value_key``), then the rows left open, which get their end as it was on record."""
 
     def rows():
-        present, held = None, []
+        present, heads, known = None, [], None
         for b in batches:
-            for e, a, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if (e, a) != present:
-                    if present:
-                        yield from close(present, held)
-                    present, held = (e, a), []
-                held.append(tuple(row))
-        if present:
-            yield from close(present, held)
+            for e, a, s, head, value, vkey, first, since, till in zip(*(c.to_pylist() for c in b.columns)):
+                if (e, a, s) != present:
+                    present, heads, known = (e, a, s), [], None
+                if head is not None:
+                    heads.append((since, head, first))
+                    continue
+                known = known or _next_days(heads)
+                i = bisect_right(known[0], since)
+                start, end = since, known[1][i - 1] if i else OPEN_END
+                while i < len(known[0]) and known[0][i] < till:
+                    if known[1][i] != end:
+                        yield e, a, value, vkey, first, end, start, known[0][i]
+                        start, end = known[0][i], known[1][i]
+                    i += 1
+                yield e, a, value, vkey, first, end, start, till
 
     names = [*KEY, "value", "value_key", "valid_from", "valid_to", "recorded_from", "recorded_to"]
     return _emit(rows(), names, [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])
@@ -154,7 +165,12 @@ def ledger(updates: DataFrame) -> DataFrame:
     value keeps its own row. ``recorded_to`` of the present rows is ``NEVER``. Each row ever on record stays.
     """
     swept = Scratch(updates.sparkSession).write(sweep(updates))
-    bounds = swept.where("is_head or valid_to is null").repartition(*KEY).sortWithinPartitions(*KEY)  # few of the rows of a key
+    heads = swept.where("is_head").select(*KEY, F.col("stretch").alias("head"), "valid_from", "recorded_from", "recorded_to")
+    stretches = swept.where(f"is_head and recorded_to = {NEVER}").select(*KEY, "stretch")  # one row each
+    none = F.lit(None).cast("string")
+    later = stretches.join(heads, KEY).where("head > stretch").select(*KEY, "stretch", "head", none.alias("value"), none.alias("value_key"), "valid_from", "recorded_from", "recorded_to")
+    left = swept.where("not is_head and valid_to is null").select(*KEY, "stretch", F.lit(None).cast("int").alias("head"), "value", "value_key", "valid_from", "recorded_from", "recorded_to")
+    bounds = later.unionByName(left).repartition(*KEY, "stretch").sortWithinPartitions(*KEY, "stretch", F.col("head").desc_nulls_last())
     joined = bounds.mapInArrow(_join_stretches, "entity_id string, attribute_name string, value string, value_key string, valid_from int, valid_to int, recorded_from bigint, recorded_to bigint")
     return joined.unionByName(swept.where("not is_head and valid_to is not null").select(*joined.columns))
 

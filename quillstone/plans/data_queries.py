@@ -107,7 +107,35 @@ f AS (SELECT *, lag(vk) OVER (PARTITION BY entity_id, attribute_name ORDER BY d)
 w AS (SELECT entity_id, attribute_name, d, lead(d) OVER (PARTITION BY entity_id, attribute_name ORDER BY d) AS nxt, count(*) OVER (PARTITION BY entity_id, attribute_name) AS n FROM f WHERE b IS NULL OR b <> vk)
 """
 
+# Every row ever on record: at each recording time of a key the winner of every day and the next day known
+_LEDGER = _UPDATES + """,
+o1 AS (SELECT entity_id, attribute_name, d, coalesce(ord, 0) AS ord, v, vk, min((coalesce(rec, 0), coalesce(ident, ''))) AS x FROM k WHERE vk <> '' GROUP BY ALL),
+o2 AS (SELECT entity_id, attribute_name, d, v, vk, x[1] AS rec, x[2] AS ident, ord, (ord, x[1], x[2]) AS rk FROM o1),
+o3 AS (SELECT *, max(rk) OVER (PARTITION BY entity_id, attribute_name, d ORDER BY rec, ord, ident ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o2),
+o4 AS (SELECT *, lag(vk) OVER w AS b, row_number() OVER w AS i FROM o3 WHERE top IS NULL OR rk > top WINDOW w AS (PARTITION BY entity_id, attribute_name, d ORDER BY rec, ord, ident)),
+o5 AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> vk THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, attribute_name, d ORDER BY i) AS run FROM o4),
+o6 AS (SELECT *, first_value(v) OVER (PARTITION BY entity_id, attribute_name, d, run ORDER BY i) AS value FROM o5),
+tm AS (SELECT DISTINCT entity_id, attribute_name, rec AS t FROM o6), dd AS (SELECT entity_id, attribute_name, d, min(rec) AS since FROM o6 GROUP BY ALL),
+st AS (SELECT tm.entity_id, tm.attribute_name, dd.d, t, lead(dd.d) OVER (PARTITION BY tm.entity_id, tm.attribute_name, t ORDER BY dd.d) AS nxt FROM tm JOIN dd ON dd.entity_id = tm.entity_id AND dd.attribute_name = tm.attribute_name AND dd.since <= t),
+sv AS (SELECT st.entity_id, st.attribute_name, st.d, st.t, st.nxt, arg_max(struct_pack(r := run, v := value, vk := vk), (rec, i)) AS z FROM st JOIN o6 ON o6.entity_id = st.entity_id AND o6.attribute_name = st.attribute_name AND o6.d = st.d AND o6.rec <= st.t GROUP BY ALL),
+sl AS (SELECT *, lag((z.r, nxt)) OVER (PARTITION BY entity_id, attribute_name, d ORDER BY t) AS before FROM sv),
+ch AS (SELECT * FROM sl WHERE before IS NULL OR before IS DISTINCT FROM (z.r, nxt)),
+lg AS (SELECT entity_id, attribute_name, z.v AS value, z.vk AS value_key, d AS vf, coalesce(nxt, DATE '9999-12-31') AS vt, t AS rf, coalesce(lead(t) OVER (PARTITION BY entity_id, attribute_name, d ORDER BY t), 253402300799000000) AS rt FROM ch)
+"""
+
+# Sizes by all pairs of node and ancestor; siblings in order with the heavy one first
+_ENTRIES = _TREE.rstrip() + """,
+tp AS (SELECT t.v, l.p AS parent, t.root, t.depth FROM t LEFT JOIN l ON l.c = t.v),
+up AS (SELECT v, v AS a FROM t UNION ALL SELECT up.v, tp.parent FROM up JOIN tp ON tp.v = up.a WHERE tp.parent IS NOT NULL),
+sz AS (SELECT a AS v, count(*) AS size FROM up GROUP BY 1),
+hv AS (SELECT tp.parent, arg_max(tp.v, (sz.size, tp.v)) AS heavy FROM tp JOIN sz USING (v) WHERE tp.parent IS NOT NULL GROUP BY 1),
+sb AS (SELECT tp.v, tp.parent, coalesce(1 + sum(sz.size) OVER (PARTITION BY tp.parent ORDER BY tp.v <> hv.heavy, tp.v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS off FROM tp JOIN sz USING (v) JOIN hv ON hv.parent = tp.parent),
+en AS (SELECT up.v, sum(coalesce(sb.off, 0))::BIGINT AS entry FROM up LEFT JOIN sb ON sb.v = up.a GROUP BY 1)
+"""
+
 ORACLE = {
+    "p3_ledger": _LEDGER + """SELECT entity_id, attribute_name, value, strftime(vf, '%Y-%m-%d') AS valid_from, strftime(vt, '%Y-%m-%d') AS valid_to, strftime(make_timestamp(rf), '%Y-%m-%d %H:%M:%S') AS recorded_from, strftime(make_timestamp(rt), '%Y-%m-%d %H:%M:%S') AS recorded_to FROM lg""",
+    "p6_descendants": _ENTRIES + """SELECT t.v AS lei, t.root AS root_lei, entry, entry + size - 1 AS last_entry, size - 1 AS n_descendants FROM t JOIN en USING (v) JOIN sz USING (v)""",
     "p1_found": _PERIODS + """SELECT k AS child_lei, 'PERIOD' AS kind, strftime(s, '%Y-%m-%d') AS period_start, strftime(e, '%Y-%m-%d') AS period_end FROM q WHERE n >= 2
 UNION ALL SELECT k, 'GAP', strftime(e, '%Y-%m-%d'), strftime(nxt, '%Y-%m-%d') FROM q WHERE nxt IS NOT NULL""",
     "p1_coverage": _PERIODS + """SELECT k AS child_lei, count(*) AS n_periods, count(nxt) AS n_gaps, sum(CASE WHEN e < DATE '9999-12-31' THEN e - s ELSE 0 END)::BIGINT AS closed_days FROM q GROUP BY k""",

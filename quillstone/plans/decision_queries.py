@@ -13,7 +13,7 @@ from quillstone.operators import ledger as L
 from quillstone.operators import registrants as N
 from quillstone.operators import registry as R
 from quillstone.operators import temporal as G
-from quillstone.plans.data_queries import _DAY, _updates
+from quillstone.plans.data_queries import _DAY, _LEDGER, _updates
 from quillstone.plans.name_queries import sql_base, sql_fold, sql_id, sql_place
 from quillstone.tables import table
 
@@ -201,6 +201,7 @@ SELECT entity, domain, registrable, CASE WHEN disposition = 'AUTO' AND registrab
     "evidence_gaps": _OBS + """, su AS (SELECT DISTINCT entity, domain FROM o), rq AS (SELECT unnest(['RDAP_WHOIS', 'IP_ASN_OWNERSHIP', 'TLS_CERTIFICATE', 'HTTP_LEGAL_PRIVACY']) AS capability, unnest([1, 2, 3, 4]) AS priority),
 h AS (SELECT entity, domain, capability, bool_or(availability IN ('PROVIDED', 'CONTRADICTORY')) AS closed, bool_or(availability = 'INCONCLUSIVE') AS inc FROM o GROUP BY 1, 2, 3)
 SELECT su.entity, su.domain, rq.capability, priority, CASE WHEN closed IS NULL THEN 'NOT_PROVIDED' WHEN inc THEN 'INCONCLUSIVE' ELSE 'MARKED_MISSING' END AS reason FROM su CROSS JOIN rq LEFT JOIN h ON h.entity = su.entity AND h.domain = su.domain AND h.capability = rq.capability WHERE closed IS NULL OR NOT closed""",
+    "ledger_as_of": _LEDGER + " SELECT attribute_name, count(*) AS n, count(DISTINCT value_key) AS n_values FROM lg WHERE vf <= DATE '2018-07-01' AND vt > DATE '2018-07-01' AND rf <= 1577836800000000 AND rt > 1577836800000000 GROUP BY 1",
     "temporal_nodes": _EVENTS + " SELECT * FROM nodes",
     "temporal_edges": _EVENTS + " SELECT * FROM ed",
     "agreement_closure": _EVENTS + " SELECT subject, object, day, end_day FROM ed WHERE edge_type = 'AGREED_TO_ACQUIRE' AND end_day IS NOT NULL",

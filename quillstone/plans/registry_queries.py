@@ -9,6 +9,7 @@ from quillstone.functions import text as T
 from quillstone.functions.dates import calendar_day
 from quillstone.operators import registry as R
 from quillstone.operators.intervals import lei
+from quillstone.plans.data_queries import _DAY
 from quillstone.plans.name_queries import sql_base, sql_fold
 from quillstone.session import Scratch
 from quillstone.tables import table
@@ -191,6 +192,6 @@ SELECT root, x.lei, coalesce(k.legal_name, x.lei) AS name, relations, CASE WHEN
 a AS (SELECT lei, s FROM r WHERE delivered_at < TIMESTAMP '2020-01-01' QUALIFY row_number() OVER (PARTITION BY lei ORDER BY record_id DESC) = 1), b AS (SELECT lei, s FROM r QUALIFY row_number() OVER (PARTITION BY lei ORDER BY record_id DESC) = 1)
 SELECT coalesce(a.lei, b.lei) AS lei, a.s AS value_before, b.s AS value_after, CASE WHEN a.lei IS NULL THEN 'ADDED' WHEN b.lei IS NULL THEN 'REMOVED' WHEN a.s IS NOT DISTINCT FROM b.s THEN 'SAME' ELSE 'CHANGED' END AS movement FROM a FULL JOIN b ON a.lei = b.lei""",
     "state_as_of": """SELECT lower(trim(node_id)) AS node_id, state_type, arg_max(state_value.to_value, (recorded_at, source_event_id)) AS value FROM graph_states WHERE recorded_at < TIMESTAMP '2018-01-01' AND state_value.to_value IS NOT NULL GROUP BY 1, 2""",
-    "filings_before_document": """WITH f AS (SELECT DISTINCT cik, accession, try_cast(left(trim(filing_date), 10) AS DATE) AS day FROM edgar_subsidiaries)
+    "filings_before_document": f"""WITH f AS (SELECT DISTINCT cik, accession, {_DAY.format(c='filing_date')} AS day FROM edgar_subsidiaries)
 SELECT doc_id, count(*) AS n_filings FROM documents d JOIN f ON f.cik = d.cik AND f.day <= d.published_at::DATE AND f.day > d.published_at::DATE - 365 GROUP BY doc_id""",
 }

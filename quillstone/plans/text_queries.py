@@ -137,12 +137,15 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prf_macro_micro(spark: SparkSession, d: str) -> DataFrame:
-    """Every reviewer's labels against the majority, and all together."""
+    """Every reviewer's labels against the majority, all together (micro), and the mean over reviewers (macro)."""
     y = F.col("abusive") == 1
     per = _labels(spark, d).groupBy("reviewer").agg(F.count_if(y & F.col("truth")).alias("tp"), F.count_if(y & ~F.col("truth")).alias("fp"), F.count_if(~y & F.col("truth")).alias("fn"))
     both = per.unionByName(per.agg(F.lit("micro").alias("reviewer"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")))
     p, r, f = E.precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))
-    return both.select("reviewer", "tp", "fp", "fn", F.round(p, 9).alias("precision"), F.round(r, 9).alias("recall"), F.round(f, 9).alias("f1"))
+    scored = both.select("reviewer", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    none = F.lit(None).cast("bigint")
+    macro = scored.where("reviewer <> 'micro'").agg(F.lit("macro").alias("reviewer"), none.alias("tp"), none.alias("fp"), none.alias("fn"), *(F.avg(c).alias(c) for c in ("precision", "recall", "f1")))
+    return scored.unionByName(macro).select("reviewer", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def wilson_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -243,13 +246,15 @@ SELECT doc_id, host, regexp_replace(host, '^www\.', '') AS domain FROM u""",
     "certificate_fields": _CERT + f""" SELECT s_suppkey, regexp_extract(t, '{_MERGE}', 1) AS merging, trim(regexp_extract(t, '{_MERGE}', 2)) AS into_name, regexp_extract(t, 'name of the surviving corporation is ([A-Z][A-Za-z0-9&. -]+?), a', 1) AS survivor, strftime(strptime(regexp_extract(t, 'effective on ([A-Z][a-z]+ \\d{{1,2}}, \\d{{4}})', 1), '%B %d, %Y'), '%Y-%m-%d') AS effective_date FROM m""",
     "gazetteer_hits": f"""WITH k AS (SELECT {sql_fold('legal_name')} AS name, min(lei) AS name_id FROM (SELECT upper(trim(lei)) AS lei, trim(legal_name) AS legal_name FROM lei_entities WHERE trim(lei) <> '' QUALIFY row_number() OVER (PARTITION BY upper(trim(lei)) ORDER BY record_id DESC) = 1) GROUP BY 1),
 k2 AS (SELECT *, len(string_split(name, ' ')) AS n, array_to_string(string_split(name, ' ')[1:2], ' ') AS two FROM k WHERE len(string_split(name, ' ')) >= 2), w AS (SELECT doc_id, string_split({sql_fold('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2), f AS (SELECT doc_id, i AS position, n, name_id FROM p JOIN k2 ON array_to_string(w[i:i + 1], ' ') = two AND array_to_string(w[i:i + n - 1], ' ') = name),
-g AS (SELECT *, max(position + n) OVER (PARTITION BY doc_id ORDER BY position, n DESC, name_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f) SELECT doc_id, position::INT AS position, name_id FROM g WHERE reach IS NULL OR position + n > reach""",
+p AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2), f AS (SELECT doc_id, i AS position, n, name_id, name FROM p JOIN k2 ON array_to_string(w[i:i + 1], ' ') = two AND array_to_string(w[i:i + n - 1], ' ') = name),
+g AS (SELECT *, max(position + n) OVER (PARTITION BY doc_id ORDER BY position, n, name_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f), g2 AS (SELECT *, sum(CASE WHEN position < reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY position, n, name_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+g3 AS (SELECT doc_id, run, list_sort(list(struct_pack(o := -length(name), p := position, k := name_id, n := n))) AS hs FROM g2 GROUP BY 1, 2),
+g4 AS (SELECT doc_id, unnest(list_reduce(hs, lambda got, x: CASE WHEN len([y FOR y IN got IF x[1].p < y.p + y.n AND y.p < x[1].p + x[1].n]) = 0 THEN list_concat(got, x) ELSE got END, [])) AS z FROM (SELECT doc_id, [[h] FOR h IN hs] AS hs FROM g3)) SELECT doc_id, z.p::INT AS position, z.k AS name_id FROM g4""",
     "ensemble_vote": f"WITH v AS (SELECT DISTINCT cik, form_type, {sql_fold('subsidiary_name')} AS name FROM edgar_subsidiaries) SELECT cik, name, sum({_FORM_W}) AS votes FROM v WHERE cik IS NOT NULL AND name IS NOT NULL GROUP BY 1, 2 HAVING sum({_FORM_W}) >= 1.0",
     "alias_argmax": f"WITH v AS (SELECT cik, {sql_fold('subsidiary_name')} AS k, trim(subsidiary_name) AS name, count(*) AS n FROM edgar_subsidiaries GROUP BY 1, 2, 3) SELECT cik, k, arg_max(name, (n, name)) AS name, max(n) AS n FROM v WHERE k IS NOT NULL AND cik IS NOT NULL GROUP BY 1, 2",
     "prf_macro_micro": _LABELS + """, p AS (SELECT reviewer, count_if(abusive = 1 AND truth) AS tp, count_if(abusive = 1 AND NOT truth) AS fp, count_if(abusive <> 1 AND truth) AS fn FROM r GROUP BY 1), b AS (SELECT * FROM p UNION ALL SELECT 'micro', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM p),
-z AS (SELECT *, CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END AS r FROM b)
-SELECT reviewer, tp, fp, fn, round(p, 9) AS "precision", round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM z""",
+z AS (SELECT *, CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END AS r FROM b), y AS (SELECT reviewer, tp, fp, fn, p, r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f FROM z)
+SELECT reviewer, tp, fp, fn, round(p, 9) AS "precision", round(r, 9) AS recall, round(f, 9) AS f1 FROM y UNION ALL SELECT 'macro', NULL, NULL, NULL, round(avg(p), 9), round(avg(r), 9), round(avg(f), 9) FROM y WHERE reviewer <> 'micro'""",
     "wilson_recall": _LABELS + """, p AS (SELECT reviewer, count_if(truth)::DOUBLE AS n, count_if(truth AND abusive = 1)::DOUBLE AS hits FROM r GROUP BY 1), z AS (SELECT *, 1.96::DOUBLE AS z, hits / n AS q FROM p)
 SELECT reviewer, hits, n, round(CASE WHEN n > 0 THEN greatest(0.0, (q + z * z / (2 * n) - sqrt(q * (1 - q) / n + z * z / (4 * n * n)) * z) / (1 + z * z / n)) ELSE 0.0 END, 9) AS low, round(CASE WHEN n > 0 THEN least(1.0, (q + z * z / (2 * n) + sqrt(q * (1 - q) / n + z * z / (4 * n * n)) * z) / (1 + z * z / n)) ELSE 1.0 END, 9) AS high FROM z""",
     "stage_counts": _FUNNEL + " " + " UNION ALL ".join(f"SELECT '{s}' AS stage, count_if({s}) AS n_true, count_if(NOT {s}) AS n_false, count_if({s} IS NULL) AS n_unknown FROM f" for s in STAGES),
