@@ -90,7 +90,10 @@ def _sql_words(lowered: str) -> str:
 
 
 def sql_decomposed(c: str) -> str:
-    return f"replace(lower(strip_accents({c})), 'ß', 'ss')"
+    out = f"lower(strip_accents({c}))"
+    for joined, letters in {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "™": "tm"}.items():  # strip_accents takes no joined forms apart
+        out = f"replace({out}, '{joined}', '{letters}')"
+    return out
 
 
 def sql_fold(c: str) -> str:
