@@ -26,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.bpe import spread
-
 MAX_LABELLED = 8_000  # labelled documents that the fit sees at most
 BITS = 21
 DOUBT = (-1.0, 1.5)  # a positive label below, a negative label above this held-out score is taken for a reviewer's slip
@@ -297,7 +295,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     The score is the probability of the worst passage; repeated rows are scored each.
     """
 
-    source = spread(documents.select("doc_id", "text"), "doc_id")
+    source = documents.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, w = Featurizer(model.bits), model.dense()

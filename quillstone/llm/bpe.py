@@ -140,16 +140,10 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over at least two tasks a core; a scan with as many splits stays as it is."""
-    want = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
-
-
 def token_ids(documents: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``(id_column, ids array<int>)`` of every row, repeated ones included."""
     path = path or f"{TOKENIZERS}/{BYTE_BPE}"
-    source = spread(documents.select(id_column, text), id_column)
+    source = documents.select(id_column, text)
     kind = source.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +163,7 @@ def token_ids(documents: DataFrame, id_column: str = "doc_id", text: str = "text
 def token_counts(documents: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``(id_column, n_tokens int)`` of every row."""
     path = path or f"{TOKENIZERS}/{BYTE_BPE}"
-    source = spread(documents.select(id_column, text), id_column)
+    source = documents.select(id_column, text)
     kind = source.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

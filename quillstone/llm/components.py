@@ -3,8 +3,8 @@
 Every vertex draws an exponentially distributed shift from a hash of its id, so that a lost task draws the same again.
 A vertex joins the cluster whose centre reaches it first when centres start at their shifted times: the least of
 distance minus shift, found by a few rounds of passing labels along the links. Clusters become the vertices of
-the next level, links between clusters its links, until no link is left or so few that one task unites them. Long chains shrink by a factor at every
-level, stars at once. A label always comes from the same component, so that cutting a round short costs another
+the next level, links between clusters its links, until no link is left. Long chains shrink by a factor at every level, stars
+at once. A label always comes from the same component, so that cutting a round short costs another
 level, never a link. The assignments of the levels are composed from the last to the first.
 
 A vertex may have a third of all links: labels of such vertices are joined apart (``join_hot``), what arrives at them
@@ -13,16 +13,12 @@ is aggregated before the exchange. Links are never brought to the driver; it see
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.hotkeys import join_hot
 from quillstone.session import Scratch
 
-BASE_LINKS = 5_000  # what is left of the links after a level or more is solved by one task when it is no more than that
 RATE = 0.4  # of the exponential shifts: smaller clusters and more levels with a higher rate
 ROUNDS = 3  # of label passing in a level
 
@@ -42,27 +38,6 @@ def _clusters(links: DataFrame, level: int, rows: int) -> DataFrame:
     return label.select("v", F.col("l.centre").alias("label"))
 
 
-def _last_level(links: DataFrame) -> DataFrame:
-    """(v, label) of the base case of the recursion: at most ``BASE_LINKS`` links between super-vertices, in one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[str, str] = {}
-
-        def top(v: str) -> str:
-            while up.setdefault(v, v) != v:
-                up[v] = v = up[up[v]]
-            return v
-
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, y = sorted((top(x), top(y)))
-                up[y] = x
-        ends = list(up)
-        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.string()), pa.array([top(v) for v in ends], pa.string())], ["v", "label"])
-
-    return links.select("a", "b").coalesce(1).mapInArrow(run, "v string, label string")
-
-
 def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     """``(node string, group string)``: every node with at least one link to another node; group is the smallest node of its component.
 
@@ -74,9 +49,6 @@ def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     level_links, (rows,) = scratch.write_counting(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), F.count(F.lit(1)))
     assignments: list[tuple[DataFrame, int]] = []
     while rows:
-        if assignments and rows <= BASE_LINKS:
-            assignments.append((scratch.write(_last_level(level_links)), 2 * rows))
-            break
         mapped, (vertices,) = scratch.write_counting(_clusters(level_links, len(assignments), rows), F.count(F.lit(1)))
         assignments.append((mapped, vertices))
         left = join_hot(level_links, mapped.select(F.col("v").alias("a"), F.col("label").alias("la")), "a", rows=rows)
@@ -87,6 +59,7 @@ def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     if not assignments:
         return level_links.select(F.col("a").alias("node"), F.col("b").alias("group"))
     top = assignments[-1][0]
+    scratch.drop(level_links)
     for mapped, vertices in reversed(assignments[:-1]):
         top = scratch.write(join_hot(mapped, top.select(F.col("v").alias("label"), F.col("label").alias("last")), "label", "left", rows=vertices).select("v", F.coalesce("last", "label").alias("label")))
     names = top.groupBy("label").agg(F.min("v").alias("group"))

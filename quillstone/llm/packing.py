@@ -23,6 +23,8 @@ from quillstone.operators.hotkeys import prefix_sum
 from quillstone.session import Scratch
 
 MAX_KINDS = 10_000  # kinds of containers that the driver plans for
+MAX_CAPACITY = 4_000_000  # of all kinds together: the driver holds a count for each size
+MAX_PLAN_BYTES = 128 * 2**20  # of the steps that go to the workers
 
 
 class RemainingTree:
@@ -91,6 +93,17 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return steps
 
 
+def _histogram(sizes: DataFrame, caps) -> dict[int, dict[int, int]]:
+    """By kind, how many parts have each size: counted by size of the items first, then by size of their parts; at most the sum of the capacities."""
+    by_size = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("items")).withColumn("k", F.explode(caps)).select("n", "items", "k.*")
+    full = F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / F.col("cap"))
+    part = F.explode(F.array(F.struct(F.col("cap").alias("size"), (full * F.col("items")).alias("parts")), F.struct((F.col("n") - full * F.col("cap")).cast("int").alias("size"), F.col("items").alias("parts")))).alias("p")
+    counts: dict[int, dict[int, int]] = {}
+    for kind, size, n in by_size.select("kind", part).groupBy("kind", "p.size").agg(F.sum("p.parts").cast("bigint").alias("n")).where("n > 0").collect():
+        counts.setdefault(kind, {})[size] = n
+    return counts
+
+
 def pack(items: DataFrame, capacities: dict[str, int], scratch: Scratch | None = None) -> DataFrame:
     """``items`` (doc_id, n_tokens) of every kind in containers: ``(container_kind, container_id, doc_id, part, token_from, n_tokens)``.
 
@@ -100,28 +113,29 @@ def pack(items: DataFrame, capacities: dict[str, int], scratch: Scratch | None =
     """
     spark = items.sparkSession
     scratch = scratch or Scratch(spark)
-    if len(capacities) > MAX_KINDS or any(c is None or c < 1 for c in capacities.values()):
-        raise ValueError("capacities must be positive, for at most 10,000 kinds")
+    if len(capacities) > MAX_KINDS or any(c is None or c < 1 for c in capacities.values()) or sum(capacities.values()) > MAX_CAPACITY:
+        raise ValueError(f"capacities must be positive, for at most {MAX_KINDS} kinds, and at most {MAX_CAPACITY} together")
     kinds = sorted(capacities)
     schema = "container_kind string, container_id bigint, doc_id bigint, part int, token_from bigint, n_tokens int"
     if not kinds:
         return spark.createDataFrame([], schema)
     caps = F.array(*(F.struct(F.lit(i).alias("kind"), F.lit(capacities[k]).alias("cap")) for i, k in enumerate(kinds)))
-    sized = items.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).alias("n")).withColumn("k", F.explode(caps)).select("doc_id", "n", "k.*")
+    sizes = items.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).alias("n"))
+    sized = sizes.withColumn("k", F.explode(caps)).select("doc_id", "n", "k.*")
     last = F.greatest(F.ceil(F.col("n") / F.col("cap")).cast("int"), F.lit(1)) - 1
     parts = sized.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
     parts = parts.select("kind", F.least(F.col("n") - F.col("part") * F.col("cap"), F.col("cap")).alias("size"), "doc_id", "part", (F.col("part").cast("bigint") * F.col("cap")).alias("token_from"))
-    numbered = prefix_sum(parts.withColumn("falling", -F.col("size")), ["kind", "falling", "doc_id", "part"], F.lit(1), "number", scratch)
+    numbered = prefix_sum(parts.withColumn("falling", -F.col("size")), ["kind", "falling", "doc_id", "part"], None, "number", scratch)
     steps: list[tuple[int, int, int, int]] = []
     base = 0
-    counts: dict[int, dict[int, int]] = {}
-    for kind, size, n in parts.groupBy("kind", "size").count().collect():  # at most the sum of the capacities
-        counts.setdefault(kind, {})[size] = n
+    counts = _histogram(sizes, caps)
     for i, k in enumerate(kinds):
         plan = best_fit_plan(counts.get(i, {}), capacities[k])
         steps += [(base + a, n, each, first) for a, n, each, first in plan]
         base += sum(counts.get(i, {}).values())
     table = np.array(steps or [(0, 0, 1, 0)], np.int64)
+    if table.nbytes > MAX_PLAN_BYTES:
+        raise ValueError(f"the plan takes {table.nbytes} bytes: pack the kinds of containers one by one")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,6 +157,11 @@ def fill_report(packed: DataFrame, capacities: dict[str, int]) -> DataFrame:
 
 
 def capacities_of(specs: DataFrame) -> dict[str, int]:
-    """Kinds and capacities; the table is fixed in size, which is checked."""
-    rows = specs.select("container_kind", "capacity_tokens").limit(MAX_KINDS + 1).collect()
-    return {r[0]: r[1] for r in rows}
+    """Kinds and capacities, repeated rows once. More than ``MAX_KINDS`` kinds, or one with two capacities, raise. A null kind or capacity says nothing."""
+    rows = specs.select("container_kind", "capacity_tokens").where("container_kind is not null and capacity_tokens is not null").groupBy("container_kind").agg(F.min("capacity_tokens").alias("least"), F.max("capacity_tokens").alias("most"))
+    got = rows.limit(MAX_KINDS + 1).collect()
+    if len(got) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    if two := sorted(r[0] for r in got if r[1] != r[2]):
+        raise ValueError(f"more than one capacity for {', '.join(two[:5])}")
+    return {r[0]: r[1] for r in got}

@@ -82,3 +82,22 @@ def test_empty_and_bad(spark):
     assert P.pack(items, {"a": 4}).count() == 0 and P.pack(items, {}).count() == 0
     with pytest.raises(ValueError):
         P.pack(items, {"a": 0})
+
+
+def test_capacities_are_whole_or_raise(spark, monkeypatch):
+    specs = lambda *r: spark.createDataFrame(list(r), "container_kind string, capacity_tokens int")
+    assert P.capacities_of(specs(("a", 4), ("a", 4), ("b", 5), (None, 3), ("c", None))) == {"a": 4, "b": 5}
+    with pytest.raises(ValueError, match="more than one capacity for a"):
+        P.capacities_of(specs(("a", 4), ("a", 5)))
+    monkeypatch.setattr(P, "MAX_KINDS", 1)
+    with pytest.raises(ValueError, match="more than 1 kinds"):
+        P.capacities_of(specs(("a", 4), ("b", 5)))
+
+
+def test_bounds_of_the_plan_raise(spark, monkeypatch):
+    items = spark.createDataFrame([(1, 3)], "doc_id bigint, n_tokens int")
+    with pytest.raises(ValueError):
+        P.pack(items, {"a": P.MAX_CAPACITY, "b": 1})
+    monkeypatch.setattr(P, "MAX_PLAN_BYTES", 1)
+    with pytest.raises(ValueError, match="one by one"):
+        P.pack(items, {"a": 4})
