@@ -7,14 +7,15 @@ its worst passage, so that long texts score like short ones. Labels say only tha
 abusive: training runs over passages, taking the worst one by the present weights of every document each round.
 
 Reviewers err: labels that a model fitted on the other folds contradicts strongly are left out of the final fit.
-Fitted on at most ``MAX_LABELLED`` labelled documents, chosen by a hash of their id, and the threshold by
-cross-validation on the same; scores cover all documents. L1 leaves a few thousand weights other than 0, which
-alone are sent to the workers.
+Fitted on at most ``MAX_LABELLED`` labelled documents of at most ``MAX_CHARS`` characters together, whole texts chosen by a
+hash of their id, and the threshold by cross-validation on the same; scores cover all documents. The fit runs in one task of an
+executor. L1 leaves a few thousand weights other than 0; they alone come back and are sent to the workers.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,11 +24,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 8_000  # labelled documents that the fit sees at most
+MAX_CHARS = 64_000_000  # and their characters together
 BITS = 21
+RATE = 0.05  # of abusive documents for which the threshold is chosen, where labels are an enriched sample; a higher share of the labels stands
 DOUBT = (-1.0, 1.5)  # a positive label below, a negative label above this held-out score is taken for a reviewer's slip
 CHARS_AT_ONCE = 1_000_000
 KEPT_WORDS = 300_000
@@ -162,7 +165,9 @@ class Featurizer:
         for feature, passage in self._runs(w, np.repeat(np.arange(len(at)), np.diff(np.append(at, len(w))))):
             hit = np.flatnonzero(weight[feature])  # few: most weights are 0
             keys.append(passage[hit].astype(np.int64) << 32 | feature[hit].astype(np.int64))
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key  # a passage's feature counts once
         return np.bincount(key >> 32, weight[key & 0xFFFFFFFF], len(at)), docs
 
 
@@ -182,32 +187,42 @@ class Model:
         return w
 
 
-class Ftrl:
-    """FTRL-proximal with rates for each coordinate and L1, over sets of features."""
+class Passages:
+    """Feature sets of the passages of documents, end to end, over the features that occur at all."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 4.0):
-        self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.bz = self.bn = 0.0
+    def __init__(self, features: np.ndarray, starts: np.ndarray, docs: np.ndarray):
+        """``starts``: where each passage's features begin; ``docs``: where each document's passages begin, and their number at the end."""
+        self.index, self.at = np.unique(features, return_inverse=True)
+        self.starts, self.docs = starts, docs
+        self.ends = np.append(starts[1:], len(features))
+
+    def of(self, passage: int) -> np.ndarray:
+        return self.at[self.starts[passage] : self.ends[passage]]
 
-    def weights(self, f: np.ndarray | slice) -> np.ndarray:
-        z = self.z[f]
-        w = (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[f])) / self.alpha + self.l2)
-        return np.where(np.abs(z) <= self.l1, 0.0, w)
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.at], self.starts) if len(self.starts) else np.zeros(0)
 
-    def bias(self) -> float:
-        return -self.bz / ((self.beta + self.bn**0.5) / self.alpha)
+
+class Ftrl:
+    """FTRL-proximal with rates for each coordinate and L1, over sets of features. Weights and roots are kept up to date with what they follow from."""
+
+    def __init__(self, n: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 4.0):
+        self.z, self.n, self.root, self.w = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.bias = self.bz = self.bn = 0.0
 
     def update(self, f: np.ndarray, label: int, weight: float = 1.0) -> None:
-        w, b = self.weights(f), self.bias()
-        p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -30, 30)))
+        w = self.w[f]
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w.sum() + self.bias))))
         g = (p - label) * weight
-        n = self.n[f]
-        s = (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha
-        self.z[f] += g - s * w
-        self.n[f] = n + g * g
-        self.bz += g - ((self.bn + g * g) ** 0.5 - self.bn**0.5) / self.alpha * b
+        n = self.n[f] + g * g
+        root = np.sqrt(n)
+        z = self.z[f] + (g - (root - self.root[f]) / self.alpha * w)
+        self.z[f], self.n[f], self.root[f] = z, n, root
+        self.w[f] = (np.clip(z, -self.l1, self.l1) - z) / ((self.beta + root) / self.alpha + self.l2)
+        self.bz += g - ((self.bn + g * g) ** 0.5 - self.bn**0.5) / self.alpha * self.bias
         self.bn += g * g
+        self.bias = -self.bz / ((self.beta + self.bn**0.5) / self.alpha)
 
 
 def _worst(scores: np.ndarray, docs: np.ndarray, none: float) -> np.ndarray:
@@ -218,75 +233,106 @@ def _worst(scores: np.ndarray, docs: np.ndarray, none: float) -> np.ndarray:
     return out
 
 
-def _fit(sets: list[list[np.ndarray]], labels: list[int], rounds: int = 6) -> Ftrl:
-    """``sets``: the feature sets of the passages of each document."""
-    m = Ftrl()
-    order = np.random.default_rng(7).permutation(len(sets))
-    positive = max(1, sum(labels))
-    up = min(3.0, max(1.0, (len(labels) - positive) / positive))
+def _fit(p: Passages, y: np.ndarray, use: np.ndarray, rounds: int = 6) -> Ftrl:
+    """A model of the documents ``use``. Each round takes a document's worst passage by the weights at the round's start, of a negative one the second worst too, for a margin."""
+    m = Ftrl(len(p.index))
+    positive = max(1, int(y[use].sum()))
+    up = min(3.0, max(1.0, (len(use) - positive) / positive))
     for r in range(rounds):
-        w = m.weights(slice(None)) if r else None
-        for i in order:
-            s = sets[i]
-            if not s:
+        sums = p.sums(m.w) if r else None
+        for i in use[np.random.default_rng(7 + r).permutation(len(use))]:
+            a, z = p.docs[i], p.docs[i + 1]
+            if a == z:
                 continue
             if r == 0:  # no weights yet: every passage carries the label of its document, a positive one in part
-                share = 1.0 if not labels[i] else up / len(s)
-                for f in s:
-                    m.update(f, labels[i], share)
+                share = up / (z - a) if y[i] else 1.0
+                for k in range(a, z):
+                    m.update(p.of(k), y[i], share)
                 continue
-            scores = [float(w[f].sum()) for f in s]
-            m.update(s[int(np.argmax(scores))], labels[i], up if labels[i] else 1.0)
-            if not labels[i] and len(s) > 1:  # the second worst as well, for a margin
-                m.update(s[int(np.argsort(scores)[-2])], 0)
+            order = a + np.argsort(sums[a:z])
+            m.update(p.of(order[-1]), y[i], up if y[i] else 1.0)
+            if not y[i] and z - a > 1:
+                m.update(p.of(order[-2]), 0)
     return m
 
 
-def _scores(m: Ftrl, sets: list[list[np.ndarray]]) -> np.ndarray:
-    w, b = m.weights(slice(None)), m.bias()
-    return np.array([max((float(w[f].sum()) for f in s), default=-30.0) + b for s in sets])
-
-
-def _held_out(sets: list[list[np.ndarray]], y: np.ndarray, use: np.ndarray, folds: int = 3) -> np.ndarray:
+def _held_out(p: Passages, y: np.ndarray, use: np.ndarray, folds: int = 3) -> np.ndarray:
     """Scores of all documents by models that saw the other folds' ``use``."""
-    out = np.zeros(len(sets))
+    out = np.zeros(len(y))
     for k in range(folds):
-        seen = [i for i in use if i % folds != k]
-        m = _fit([sets[i] for i in seen], y[seen].tolist())
-        at = np.arange(k, len(sets), folds)
-        out[at] = _scores(m, [sets[i] for i in at])
+        m = _fit(p, y, use[use % folds != k])
+        at = np.arange(k, len(y), folds)
+        out[at] = (_worst(p.sums(m.w), p.docs, -30.0) + m.bias)[at]
     return out
 
 
+def best_threshold(scores: np.ndarray, y: np.ndarray, rate: float = 1.0) -> float:
+    """The middle of the longest run of thresholds with the best F1, with negatives weighed as if at most ``rate`` of all were positive."""
+    steps = np.arange(-60, 61) / 20
+    weight = max(1.0, (1 - rate) / rate * (y == 1).sum() / max(1, (y == 0).sum()))
+    caught = [((scores >= t) & (y == 1)).sum() for t in steps]
+    f1 = [2 * c / max(1, c + weight * ((scores >= t) & (y == 0)).sum() + (y == 1).sum()) for c, t in zip(caught, steps)]
+    runs, best = [], max(f1)
+    for t, f in zip(steps, f1):
+        if f == best:
+            if runs and t - runs[-1][1] < 0.06:
+                runs[-1][1] = t
+            else:
+                runs.append([t, t])
+    a, z = max(runs, key=lambda r: (r[1] - r[0], -abs(r[0])))
+    return float((a + z) / 2)
+
+
+def train(p: Passages, y: np.ndarray) -> Model:
+    held = _held_out(p, y, np.arange(len(y)))
+    kept = np.flatnonzero(~(((y == 1) & (held < DOUBT[0])) | ((y == 0) & (held > DOUBT[1]))))
+    threshold = best_threshold(_held_out(p, y, kept)[kept], y[kept], RATE)
+    m = _fit(p, y, kept)
+    on = np.flatnonzero(m.w)
+    return Model(p.index[on].astype(np.int32), m.w[on].astype(np.float32), m.bias, threshold)
+
+
+def _sample(labelled: DataFrame, text: str, label: str) -> DataFrame:
+    """(doc_id, text, label) of the labelled documents that the fit sees. Only ids and lengths pass through the one task that chooses."""
+    rows = labelled.where(F.col(label).isNotNull()).select("doc_id", F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    sizes = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "n").limit(MAX_LABELLED)
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "n").rowsBetween(Window.unboundedPreceding, 0))  # over the chosen few
+    chosen = sizes.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("doc_id").distinct()
+    return rows.join(F.broadcast(chosen), "doc_id")  # at most MAX_LABELLED ids
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "abusive") -> Model:
-    """A model from rows (doc_id, text, label 0 or 1), of which at most ``MAX_LABELLED`` are used."""
-    sample = labelled.select("doc_id", F.col(text).alias("text"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id")).limit(MAX_LABELLED)
+    """A model from rows (doc_id, text, label 0 or 1), one a document; those of ``_sample`` are used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer()
         for b in batches:
             feature, starts, docs = make.features(b.column(1).to_pylist())
             ends = np.append(starts[1:], len(feature))
-            sets = [[np.unique(feature[s:e]).tolist() for s, e in zip(starts[a:z], ends[a:z])] for a, z in zip(docs, docs[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.list_(pa.list_(pa.int32())))], ["doc_id", "label", "sets"])
-
-    rows = sorted(sample.repartition(max(1, sample.sparkSession.sparkContext.defaultParallelism), "doc_id").mapInArrow(run, "doc_id bigint, label int, sets array<array<int>>").toArrow().to_pydict().items())
-    got = dict(rows)
-    order = np.argsort(np.array(got["doc_id"], np.int64), kind="stable")
-    sets = [[np.array(f, np.int32) for f in got["sets"][i]] for i in order]
-    labels = [got["label"][i] for i in order]
-    del got, rows
-    if not any(labels):
+            sets = [[np.unique(feature[s:e]) for s, e in zip(starts[a:z], ends[a:z])] for a, z in zip(docs, docs[1:])]
+            sizes = pa.array([[len(x) for x in ss] for ss in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), sizes, pa.array([np.concatenate(ss) if ss else [] for ss in sets], pa.list_(pa.int32()))], ["doc_id", "label", "sizes", "features"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, sizes, features = [], [], [], []
+        for b in batches:
+            ids += b.column(0).to_pylist()
+            labels += b.column(1).to_pylist()
+            sizes += [np.array(x, np.int64) for x in b.column(2).to_pylist()]
+            features += [x.values.to_numpy() for x in b.column(3)]
+        order = np.argsort(np.array(ids, np.int64), kind="stable")
+        y = np.array(labels, np.int64)[order]
+        if y.any():
+            lengths = np.concatenate([sizes[i] for i in order])
+            docs = np.append(0, np.cumsum([len(sizes[i]) for i in order]))
+            m = train(Passages(np.concatenate([features[i] for i in order]), np.append(0, np.cumsum(lengths)[:-1]), docs), y)
+            yield pa.RecordBatch.from_arrays([pa.array([m.index], pa.list_(pa.int32())), pa.array([m.weight], pa.list_(pa.float32())), pa.array([m.bias]), pa.array([m.threshold])], ["index", "weight", "bias", "threshold"])
+
+    made = _sample(labelled, text, label).mapInArrow(run, "doc_id bigint, label int, sizes array<int>, features array<int>")
+    got = made.repartition(1).mapInArrow(learn, "index array<int>, weight array<float>, bias double, threshold double").toArrow()
+    if not got.num_rows:
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), -30.0, 0.0)
-    y = np.array(labels)
-    held = _held_out(sets, y, np.arange(len(y)))
-    kept = np.flatnonzero(~(((y == 1) & (held < DOUBT[0])) | ((y == 0) & (held > DOUBT[1]))))
-    held = _held_out(sets, y, kept)[kept]
-    best = max(np.arange(-60, 61) / 20, key=lambda t: (2 * ((held >= t) & (y[kept] == 1)).sum() / max(1, (held >= t).sum() + (y[kept] == 1).sum()), -abs(t)))
-    m = _fit([sets[i] for i in kept], y[kept].tolist())
-    w = m.weights(slice(None))
-    index = np.flatnonzero(w).astype(np.int32)
-    return Model(index, w[index].astype(np.float32), m.bias(), float(best))
+    return Model(got["index"][0].values.to_numpy(), got["weight"][0].values.to_numpy(), got["bias"][0].as_py(), got["threshold"][0].as_py())
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

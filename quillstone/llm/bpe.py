@@ -1,9 +1,11 @@
 """Token ids of whole texts by replaying the merges of a byte-level vocabulary over all words at once.
 
-A task keeps the differing words of its documents as one sequence of symbols. An inverted index leads from a
+``token_ids``: a task keeps the differing words of its documents as one sequence of symbols. An inverted index leads from a
 pair of symbols to the positions where it stands; merges are applied in rank order to all of these positions, and only
 the pairs at the two neighbours of a merged position are entered anew. Words met before keep their ids, so that
 the work follows the number of differing words. Documents are never cut, regrouped or exchanged for it.
+``corpus_token_ids`` replays each differing word of the whole corpus once and gives the same ids, but has to exchange every
+word of every text to bring them back (figures in the README).
 
 ``<|endoftext|>`` and the like inside a text are ordinary text. Null and empty texts have an empty list.
 """
@@ -20,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.hotkeys import join_hot
+from quillstone.session import Scratch
+
 TOKENIZERS = os.environ.get("QUILLSTONE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
 #: How byte-level vocabularies split text before merging (fixed value).
@@ -160,6 +165,34 @@ def token_ids(documents: DataFrame, id_column: str = "doc_id", text: str = "text
     return source.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
 
 
+def corpus_token_ids(documents: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """As ``token_ids``: the corpus's differing words, each in one task, are replayed once and joined to where they stand."""
+    path = path or f"{TOKENIZERS}/{BYTE_BPE}"
+    scratch = Scratch(documents.sparkSession)
+    rows = scratch.write(documents.select(id_column, text).withColumn("_row", F.monotonically_increasing_id()))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = replay_of(path).split
+        for b in batches:
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t:
+                    w = words(t)
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(w), pa.int64()), pa.array(range(len(w)), pa.int32()), pa.array(w, pa.string())], ["_row", "_at", "_word"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = replay_of(path)
+        for b in batches:
+            words = b.column(0).to_pylist()
+            replay.words = {}
+            replay.learn(words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([replay.words[w] for w in words], pa.list_(pa.int32()))], ["_word", "_ids"])
+
+    stand = scratch.write(rows.select("_row", text).mapInArrow(split, "_row bigint, _at int, _word string"))
+    known = scratch.write(stand.select("_word").distinct().mapInArrow(learn, "_word string, _ids array<int>"))
+    put = join_hot(stand, known, "_word").groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_ids"))), lambda x: x["_ids"])).alias("ids"))
+    return rows.select(id_column, "_row").join(put, "_row", "left").select(id_column, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
 def token_counts(documents: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``(id_column, n_tokens int)`` of every row."""
     path = path or f"{TOKENIZERS}/{BYTE_BPE}"

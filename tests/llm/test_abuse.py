@@ -70,3 +70,18 @@ def test_rates(spark):
     docs = spark.createDataFrame([(1, "s"), (2, "s"), (3, None)], "doc_id bigint, source string")
     scored = spark.createDataFrame([(1, 0.9, True), (2, 0.1, False), (3, 0.2, False)], "doc_id bigint, score double, abusive boolean")
     assert [(r["source"], r["n_docs"], r["n_abusive"], r["rate"]) for r in A.rates(docs, scored).orderBy("n_docs").collect()] == [(None, 1, 0, 0.0), ("s", 2, 1, 0.5)]
+
+
+def test_sample_keeps_whole_texts_within_its_bounds(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x" * 10, i % 2) for i in range(40)] + [(99, None, 1), (98, "y", None)], "doc_id bigint, text string, abusive int")
+    assert A._sample(df, "text", "abusive").count() == 41
+    monkeypatch.setattr(A, "MAX_CHARS", 95)
+    few = A._sample(df, "text", "abusive").where("text is not null")
+    assert few.count() == 9 and {r["text"] for r in few.collect()} == {"x" * 10}
+    monkeypatch.setattr(A, "MAX_LABELLED", 5)
+    assert A._sample(df, "text", "abusive").count() == 5
+
+
+def test_threshold_lies_between_the_classes():
+    scores, y = np.array([-2.5, -1.2, 1.4, 2.0]), np.array([0, 0, 1, 1])
+    assert -1.2 < A.best_threshold(scores, y) < 1.4 and abs(A.best_threshold(scores, y) - 0.1) < 0.1

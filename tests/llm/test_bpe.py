@@ -52,4 +52,5 @@ def test_tables(spark, library, monkeypatch):
     got = rows(bpe.token_ids(df))
     assert got == sorted(((i, library([t or ""])[0]) for i, t, _ in data), key=lambda r: tuple((v is None, str(v)) for v in r))
     assert rows(bpe.token_counts(df)) == sorted(((i, len(x)) for i, x in got), key=lambda r: tuple((v is None, str(v)) for v in r))
-    assert bpe.token_ids(df.where("doc_id > 9")).count() == 0
+    assert rows(bpe.corpus_token_ids(df)) == got
+    assert bpe.token_ids(df.where("doc_id > 9")).count() == 0 == bpe.corpus_token_ids(df.where("doc_id > 9")).count()
