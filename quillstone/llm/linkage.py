@@ -1,8 +1,10 @@
 """Matching registry entities with provider records that share no key, by soft logic.
 
-Candidate pairs share a rare key: a registration number, or a brand word along with the first or last letters of another
-one (so that a slip in either word leaves a key in common), or the run-together brand, or one of its halves (so that a slip
-anywhere in it does, wherever the blanks are), or halves of both of two words (slips in both). Each pair is a variable between 0 and 1. Weighted rules say how far evidence speaks for or against it, each rule a squared hinge:
+Candidate pairs share a key: a registration number; the run-together brand; two of its words, in either order and among others;
+or, where the brand has a slip, a part that the slip left whole along with the letters' number: either half of the run-together
+brand, or an end of each of two words. Keys of parts carry the brand, which is compared where the keys meet, so that no pair
+whose brands differ by more than slips goes any further. Each pair is a variable between 0 and 1. Weighted rules say how far
+evidence speaks for or against it, each rule a squared hinge:
 
     name(l, c) and place(l, c)        -> match(l, c)
     same_number(l, c) and support     -> match(l, c)
@@ -12,8 +14,10 @@ anywhere in it does, wherever the blanks are), or halves of both of two words (s
 
 The sum is convex. Alternating directions minimise it: the rules of single pairs, the exclusive rules by record and the
 transitive rules by entity and set of like records each keep copies of the variables with closed minima, and
-a consensus joins the copies. Every step is a few grouped sums over all pairs; nothing comes to the driver. The
-consensus value is the confidence.
+a consensus joins the copies, until no copy is further than ``RESIDUAL`` from it and it moves by no more. Rules bind only pairs
+whose records are alike, so that the problem falls apart into one for each class of like records. A task solves the classes that
+it holds, many at once; a class of more than ``LARGE`` pairs is solved by rounds of grouped sums over all tasks. The minimum is
+the same, and the driver sees only counts. The consensus value is the confidence.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from zlib import adler32, crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -34,73 +38,91 @@ from quillstone.llm.survivor import is_value
 from quillstone.operators.intervals import lei
 from quillstone.session import Scratch
 
-# Weights of the rules; the penalty, relaxation and number of the alternating rounds
+# Weights of the rules; the penalty and relaxation of the alternating rounds, the largest residual that ends them, and the rounds after which it raises
 W_NAME, W_NUMBER, W_PLACE_NOT, W_NUMBER_NOT, W_NAME_NOT, W_PRIOR = 3.0, 4.0, 2.0, 4.0, 1.0, 0.3
-W_EXCLUSIVE, W_TRANSITIVE, RHO, RELAX, STEPS = 20.0, 1.0, 4.0, 1.6, 6
+W_EXCLUSIVE, W_TRANSITIVE, RHO, RELAX, RESIDUAL, MOST_ROUNDS = 20.0, 1.0, 4.0, 1.8, 0.002, 500
+LARGE = 20_000  # pairs of a class of like records beyond which several tasks share it
 ACCEPT = 0.54  # two entities with the same evidence share a record at about 0.53 each
 
 _NAME = pa.struct([("brand", pa.string()), ("joined", pa.string()), ("business", pa.string()), ("ordinal", pa.string()), ("form", pa.string())])
+_KEY = pa.struct([("k", pa.int64()), ("brand", pa.string())])
+_KEY_SQL = "struct<k bigint, brand string>"
 _NAME_SQL = "struct<brand string, joined string, business string, ordinal string, form string>"
 
 
 _umlaut = re.compile("([aou])e")
 
 
-def _halves(word: str, sought: bool, ends: bool = False) -> set[str]:
-    """Marked parts that one slip leaves whole: either half, or, where the letters at the middle changed places, all with those two sorted.
+SHORT = 5  # letters of a word up to which its parts are all of it but one letter
 
-    ``sought``: instead of the word's own, the halves of all words that are as long or a letter longer or shorter, as they would stand in this one.
-    ``ends``: each half along with the first or the last two letters of a longer other half, as a slip there leaves one of the two.
+
+def _halves(word: str, sought: bool) -> set[str]:
+    """The word's length with its first and its last letters, of either one less than half: a slip, two letters that change places included, leaves one of them whole.
+
+    Of a short word, the word itself and without any one letter. ``sought``: instead of the word's own, the parts of all words
+    that are as long or a letter longer or shorter, as they would stand in this one.
     """
-    n, h = len(word), len(word) // 2
-    parts = {f"={word[: max(h - 1, 0)]}{''.join(sorted(word[max(h - 1, 0) : h + 1]))}{word[h + 1 :]}"}
-    for m in (n - 1, n, n + 1) if sought else (n,):
-        head, tail = m // 2, max(n - m + m // 2, 0)  # where the first half ends and the second begins, if the other one has the slip
-        for mark, half, other, size in (("<", word[:head], word[head:], m - head), (">", word[tail:], word[:tail], head)):
-            parts |= {f"{mark}{half}{x}" for x in ((f"|{other[:2]}", f"|-{other[-2:]}") if ends and size >= 5 else ("",))}
-    return parts
+    lengths = (len(word) - 1, len(word), len(word) + 1) if sought else (len(word),)
+    out = {f"{m}{x}" for m in lengths if m > SHORT for k in (m // 2 - 1,) for x in (f"<{word[:k]}", f">{word[-k:]}")}
+    if min(lengths) <= SHORT:
+        out |= {f"={word}", *(f"={word[:i]}{word[i + 1 :]}" for i in range(len(word)))}
+    return out
+
+
+def _ends(word: str) -> tuple[str, str]:
+    """The first and the last letters, three or, of a short word, two: a slip leaves one of them as it was."""
+    k = 3 if len(word) >= 6 else 2
+    return f"<{word[:k]}", f">{word[-k:]}"
 
 
-def _name_keys(brand: tuple[str, ...], joined: str, sought: bool) -> list[str]:
-    keys = [f"J|{joined}", *(f"H|{x}" for x in _halves(joined, sought, ends=True))] if joined else []
+def _name_keys(brand: tuple[str, ...], joined: str, sought: bool) -> tuple[set[str], set[str]]:
+    """(whole keys, keys of parts)."""
+    whole, parts = {f"J|{joined}"}, {f"H|{x}" for x in _halves(joined, sought)}
+    whole |= {f"P|{min(x, y)}|{max(x, y)}" for i, x in enumerate(brand) for y in brand[:i]}
     if len(brand) == 2:
-        keys += [f"B|{x}|{y}" for x in _halves(brand[0], sought) for y in _halves(brand[1], sought)]
-    for i, x in enumerate(brand):
-        for j, y in enumerate(brand):
-            if i != j:
-                for k in (2,) if len(y) < 6 else (2, 3) if len(y) < 8 else (3,):  # a slip leaves one end as it was, and the length about
-                    keys += [f"{x}|{y[:k]}", f"{x}|-{y[-k:]}"]
-    return keys
+        parts |= {f"B|{x}|{y}" for x in _ends(brand[0]) for y in _ends(brand[1])}
+        if sought:  # a letter more or less makes a short word of a long one
+            other = [[f"<{w[:k]}", f">{w[-k:]}"] for w in brand for k in (2 if len(w) == 6 else 3 if len(w) == 5 else 0,) if k]
+            ends = [[*_ends(w), *(o for o in other if len(w) in (5, 6) and o[0] == f"<{w[: len(o[0]) - 1]}" for o in o)] for w in brand]
+            parts |= {f"B|{x}|{y}" for x in ends[0] for y in ends[1]}
+    return whole, parts
+
+
+def _hashed(key: str) -> int:
+    """A collision only adds a pair to look at."""
+    return crc32(key.encode()) | adler32(key.encode()) << 31
 
 
 def _parse(batches: Iterator[pa.RecordBatch], sought: bool = True) -> Iterator[pa.RecordBatch]:
-    """(id, names, numbers, places, city, address) to the same, folded and split, and keys; names, numbers and places are arrays. ``sought``: as in ``_halves``."""
+    """(id, names, numbers, places, city, address) to the same, folded and split, and keys (k, brand), the brand empty for a whole key; names, numbers and places are arrays. ``sought``: as in ``_halves``."""
     plain = lambda t: _umlaut.sub(r"\1", "".join(c for c in fold(t) if c.isalnum())) if t else ""
     town = lambda t: plain(" ".join(w for w in re.sub(r",\s*[A-Za-z]{2}\s*$", "", t).split() if not any(c.isdigit() for c in w))) if t else ""
     for b in batches:
         ids, names, numbers, places, cities, lines = (c.to_pylist() for c in b.columns)
         split, keys, regs = [], [], []
         for ns, raw in zip(names, numbers):
-            row, ks = {}, set()
+            row, ks, ps = {}, set(), set()
             for n in ns or ():
                 brand, business, ordinal, form = parse_name(n) if n else ((), "", "", "")
                 if brand:
                     joined = "".join(brand)
                     row[joined, business, ordinal, form] = {"brand": " ".join(sorted(brand)), "joined": joined, "business": business, "ordinal": ordinal, "form": form}
-                    ks.update(_name_keys(brand, joined, sought))
+                    whole, parts = _name_keys(brand, joined, sought)
+                    ks |= whole
+                    ps |= {(k, joined) for k in parts}
             found = sorted({k for k in map(registration_key, raw or ()) if k})
             ks.update("R|" + k.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for k in found)
             split.append(list(row.values()))
-            keys.append(sorted({(crc32(k.encode()) | adler32(k.encode()) << 31) & -2 | (k[:2] in ("H|", "B|")) for k in ks}))  # a collision only adds a pair to look at; the last bit marks halves
+            keys.append([{"k": _hashed(k), "brand": j} for k, j in [*((k, "") for k in sorted(ks)), *sorted(ps)]])
             regs.append(found)
         codes = [sorted({c for c in map(place_code, ps or ()) if c}) for ps in places]
         text = pa.list_(pa.string())
-        out = [b.column(0), pa.array(split, pa.list_(_NAME)), pa.array(regs, text), pa.array(codes, text), pa.array([town(c) for c in cities], pa.string()), pa.array([plain(x) for x in lines], pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+        out = [b.column(0), pa.array(split, pa.list_(_NAME)), pa.array(regs, text), pa.array(codes, text), pa.array([town(c) for c in cities], pa.string()), pa.array([plain(x) for x in lines], pa.string()), pa.array(keys, pa.list_(_KEY))]
         yield pa.RecordBatch.from_arrays(out, ["id", "names", "numbers", "places", "city", "address", "keys"])
 
 
 def _parsed(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.mapInArrow(_parse, f"id {kind}, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, city string, address string, keys array<bigint>")
+    return rows.mapInArrow(_parse, f"id {kind}, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, city string, address string, keys array<{_KEY_SQL}>")
 
 
 def registry_side(lei_entities: DataFrame) -> DataFrame:
@@ -124,7 +146,7 @@ def _parsed_registry(rows: DataFrame) -> DataFrame:
             cities = [sorted({x for x in map(plain, cs or ()) if len(x) >= 4}) for cs in b.column(6).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(out.column(i) for i in (0, 1, 2, 3)), pa.array(cities, pa.list_(pa.string())), out.column(6)], ["id", "names", "numbers", "places", "cities", "keys"])
 
-    return rows.mapInArrow(run, f"id string, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, cities array<string>, keys array<bigint>")
+    return rows.mapInArrow(run, f"id string, names array<{_NAME_SQL}>, numbers array<string>, places array<string>, cities array<string>, keys array<{_KEY_SQL}>")
 
 
 def record_side(candidates: DataFrame) -> DataFrame:
@@ -139,9 +161,10 @@ def record_side(candidates: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(registry: DataFrame, records: DataFrame) -> DataFrame:
-    """(lei, candidate_id, halves) that share a key, each once; ``halves``: none but those of halves."""
-    keyed = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("k"))
-    return keyed(registry, "lei").join(keyed(records, "candidate_id"), "k").groupBy("lei", "candidate_id").agg((F.min(F.col("k").bitwiseAND(F.lit(1))) == 1).alias("halves"))
+    """(lei, candidate_id) that share a whole key, or one of a part with brands no more than slips apart; each once."""
+    keyed = lambda df, name, brand: df.select(F.col("id").alias(name), F.explode("keys").alias("x")).select(name, "x.k", F.col("x.brand").alias(brand))
+    met = keyed(registry, "lei", "brand").join(keyed(records, "candidate_id", "other"), "k")
+    return met.where((F.col("brand") == F.col("other")) | ((F.col("brand") != "") & (F.col("other") != "") & _slips(F.col("brand"), F.col("other")))).select("lei", "candidate_id").distinct()
 
 
 def _slips(x: Column, y: Column) -> Column:
@@ -175,7 +198,6 @@ def _evidence(pairs: DataFrame, registry: DataFrame, records: DataFrame) -> Data
     side = registry.select(F.col("id").alias("lei"), F.col("names").alias("l_names"), F.col("numbers").alias("l_numbers"), F.col("places").alias("l_places"), F.col("cities").alias("l_cities"))
     first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit("")).alias(c[:-1])
     both = pairs.join(records.select(F.col("id").alias("candidate_id"), F.col("names").alias("c_names"), first("numbers"), first("places"), "city", "address"), "candidate_id").join(side, "lei")
-    both = both.where(~F.col("halves") | F.exists("l_names", lambda x: F.exists("c_names", lambda y: _slips(x["joined"], y["joined"]))))
     name = F.coalesce(F.array_max(F.flatten(F.transform("l_names", lambda x: F.transform("c_names", lambda y: _name_score(x, y))))), F.lit(-1.0))
     digits = lambda c: F.regexp_replace(c, "^[A-Z]+", "")
     n = F.col("number")
@@ -207,14 +229,15 @@ def _rules(e: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def _single(v: pd.Series, rho: pd.Series, s_name: pd.Series, s_number: pd.Series, d_place: pd.Series, d_number: pd.Series, d_name: pd.Series) -> pd.Series:
+_RULES = ("s_name", "s_number", "d_place", "d_number", "d_name")
+
+
+def _least(v: np.ndarray, rho: float, s_name: np.ndarray, s_number: np.ndarray, d_place: np.ndarray, d_number: np.ndarray, d_name: np.ndarray) -> np.ndarray:
     """Minimum over y in [0, 1] of the rules of a pair plus rho/2 (y - v)^2: Newton's method on the active hinges, exact once they hold."""
-    v, rho = v.to_numpy(), rho.to_numpy()
-    for_ = [(s_name.to_numpy(), W_NAME), (s_number.to_numpy(), W_NUMBER)]
-    against = [(1 - d_place.to_numpy(), W_PLACE_NOT), (1 - d_number.to_numpy(), W_NUMBER_NOT), (1 - d_name.to_numpy(), W_NAME_NOT)]
+    for_ = [(s_name, W_NAME), (s_number, W_NUMBER)]
+    against = [(1 - d_place, W_PLACE_NOT), (1 - d_number, W_NUMBER_NOT), (1 - d_name, W_NAME_NOT)]
     y = np.clip(v, 0, 1)
-    for _ in range(6):
+    for _ in range(8):
         top, bottom = rho * v, rho + 2 * W_PRIOR
         for s, w in for_:
             on = 2 * w * (s > y)
@@ -222,34 +245,105 @@ def _single(v: pd.Series, rho: pd.Series, s_name: pd.Series, s_number: pd.Series
         for s, w in against:
             on = 2 * w * (y > s)
             top, bottom = top + on * s, bottom + on
-        y = np.clip(top / bottom, 0, 1)
-    return pd.Series(y)
+        before, y = y, np.clip(top / bottom, 0, 1)
+        if (np.abs(y - before) < 1e-12).all():
+            break
+    return y
+
+
+def _step(z: np.ndarray, u: list[np.ndarray], x: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(consensus, scaled multipliers, residual of each pair) after the copies ``x``, over-relaxed."""
+    apart = np.max([np.abs(c - z) for c in x], axis=0)
+    x = [RELAX * c + (1 - RELAX) * z for c in x]
+    after = np.clip(sum(c + w for c, w in zip(x, u)) / 3, 0, 1)
+    return after, [w + c - after for c, w in zip(x, u)], np.maximum(apart, np.abs(after - z))
+
+
+def solve(record: np.ndarray, group: np.ndarray, rules: list[np.ndarray]) -> np.ndarray:
+    """Confidences of pairs given by codes of their records and of their sets of (entity, like records): the minimum of all rules together."""
+    n_record, n_group = np.bincount(record)[record], np.bincount(group)[group]
+    out = _least(np.full(len(record), 0.5), 1e-9, *rules)
+    on = np.flatnonzero((n_record > 1) | (n_group > 1))  # the others are bound by their own rules only
+    if not len(on):
+        return out
+    rules, n = [r[on] for r in rules], n_record[on]
+    record, group = (np.unique(x[on], return_inverse=True)[1] for x in (record, group))
+    z, u, sizes = out[on], [np.zeros(len(on))] * 3, np.bincount(group)
+    for _ in range(MOST_ROUNDS):
+        v = [z - w for w in u]
+        over = np.maximum(np.bincount(record, v[1]) - 1, 0)[record]
+        mean = (np.bincount(group, v[2]) / sizes)[group]
+        x = [_least(v[0], RHO, *rules), v[1] - over * 2 * W_EXCLUSIVE / (RHO + 2 * W_EXCLUSIVE * n), mean + (v[2] - mean) * RHO / (RHO + 2 * W_TRANSITIVE)]
+        z, u, residual = _step(z, u, x)
+        if residual.max() <= RESIDUAL:
+            out[on] = z
+            return out
+    raise RuntimeError(f"{(residual > RESIDUAL).sum()} pairs are not settled after {MOST_ROUNDS} rounds")
+
+
+PAIRS_AT_ONCE = 40_000
+
+
+def _solve_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole classes of rows sorted by ``like``, at least ``PAIRS_AT_ONCE`` pairs of them at a time but at the end."""
+    held: list[pa.RecordBatch] = []
+
+    def solved(t: pa.Table) -> pa.RecordBatch:
+        like = t["like"].to_numpy()
+        leis, records = (t[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lei", "candidate_id"))
+        group = np.unique(np.stack([like, leis]), axis=1, return_inverse=True)[1].ravel()
+        z = solve(records, group, [t[r].to_numpy() for r in _RULES])
+        return pa.RecordBatch.from_arrays([t["lei"].combine_chunks(), t["candidate_id"].combine_chunks(), pa.array(z)], ["lei", "candidate_id", "confidence"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= PAIRS_AT_ONCE:
+            t = pa.Table.from_batches(held)
+            like = t["like"].to_numpy()
+            cut = int(np.searchsorted(like, like[-1]))  # the last class may go on
+            if cut:
+                yield solved(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+    if held:
+        yield solved(pa.Table.from_batches(held))
 
 
-_RULES = ("s_name", "s_number", "d_place", "d_number", "d_name")
+@F.pandas_udf(DoubleType())
+def _single(v: pd.Series, rho: pd.Series, s_name: pd.Series, s_number: pd.Series, d_place: pd.Series, d_number: pd.Series, d_name: pd.Series) -> pd.Series:
+    return pd.Series(_least(v.to_numpy(), rho.to_numpy(), *(x.to_numpy() for x in (s_name, s_number, d_place, d_number, d_name))))
+
+
+def _shared_rounds(rules: DataFrame, scratch: Scratch) -> DataFrame:
+    """As ``solve``, by grouped sums: no class, record or set is any single task's."""
+    zero = F.lit(0.0)
+    n = rules.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_record"))
+    state = scratch.write(rules.join(n, "candidate_id").withColumns({"z": _single(F.lit(0.5), F.lit(1e-9), *_RULES), "u1": zero, "u2": zero, "u3": zero}))
+    z = F.col("z")
+    for _ in range(MOST_ROUNDS):
+        total = state.groupBy("candidate_id").agg(F.sum(z - F.col("u2")).alias("total"))
+        mean = state.groupBy("lei", "like").agg(F.avg(z - F.col("u3")).alias("mean"))
+        x = state.join(total, "candidate_id").join(mean, ["lei", "like"]).withColumns({
+            "x1": _single(z - F.col("u1"), F.lit(RHO), *_RULES),
+            "x2": z - F.col("u2") - F.greatest(F.col("total") - 1, zero) * 2 * W_EXCLUSIVE / (RHO + 2 * W_EXCLUSIVE * F.col("n_record")),
+            "x3": F.col("mean") + (z - F.col("u3") - F.col("mean")) * RHO / (RHO + 2 * W_TRANSITIVE),
+        })
+        x = x.withColumn("apart", F.greatest(*(F.abs(F.col(f"x{i}") - z) for i in (1, 2, 3)))).withColumns({f"x{i}": RELAX * F.col(f"x{i}") + (1 - RELAX) * z for i in (1, 2, 3)})
+        x = x.withColumn("after", F.greatest(zero, F.least(F.lit(1.0), sum((F.col(f"x{i}") + F.col(f"u{i}") for i in (2, 3)), F.col("x1") + F.col("u1")) / 3)))
+        x = x.withColumns({**{f"u{i}": F.col(f"u{i}") + F.col(f"x{i}") - F.col("after") for i in (1, 2, 3)}, "apart": F.greatest("apart", F.abs(F.col("after") - z)), "z": F.col("after")})
+        after, (left,) = scratch.write_counting(x.select(*state.columns, "apart"), F.count_if(F.col("apart") > RESIDUAL))
+        scratch.drop(state)
+        state = after.drop("apart")
+        if not left:
+            return state.select("lei", "candidate_id", F.col("z").alias("confidence"))
+    raise RuntimeError(f"{left} pairs are not settled after {MOST_ROUNDS} rounds")
 
 
 def infer(rules: DataFrame, scratch: Scratch) -> DataFrame:
-    """(lei, candidate_id, confidence) by ``STEPS`` rounds of alternating directions from the single rules' minimum."""
-    base = rules.withColumn("z", _single(F.lit(0.5), F.lit(0.01), *_RULES))
-    base = base.where("z > 0.1")  # a pair that its own rules put there stays there: exclusion only lowers it, likeness can't lift it to acceptance
-    state = scratch.write(base.withColumns({"u1": F.lit(0.0), "u2": F.lit(0.0), "u3": F.lit(0.0)}))
-    by_record = Window.partitionBy("candidate_id")
-    for step in range(STEPS):
-        x = state.withColumn("x1", _single(F.col("z") - F.col("u1"), F.lit(RHO), *_RULES)).withColumn("v2", F.col("z") - F.col("u2")).withColumn("v3", F.col("z") - F.col("u3"))
-        total, n = F.sum("v2").over(by_record), F.count(F.lit(1)).over(by_record)
-        x = x.withColumn("x2", F.col("v2") - F.greatest(total - 1, F.lit(0.0)) * 2 * W_EXCLUSIVE / (RHO + 2 * W_EXCLUSIVE * n))
-        mean = x.groupBy("lei", "like").agg(F.avg("v3").alias("mean"))
-        x = x.join(mean, ["lei", "like"]).withColumn("x3", F.col("mean") + (F.col("v3") - F.col("mean")) * RHO / (RHO + 2 * W_TRANSITIVE))
-        x = x.withColumns({f"x{i}": RELAX * F.col(f"x{i}") + (1 - RELAX) * F.col("z") for i in (1, 2, 3)})  # over-relaxed: six rounds come within 0.005 of the minimum
-        z = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("x1") + F.col("u1") + F.col("x2") + F.col("u2") + F.col("x3") + F.col("u3")) / 3))
-        x = x.withColumn("z", z)
-        x = x.withColumns({f"u{i}": F.col(f"u{i}") + F.col(f"x{i}") - F.col("z") for i in (1, 2, 3)})
-        after = scratch.write(x.select(*state.columns)) if step < STEPS - 1 else x
-        if step < STEPS - 1:
-            scratch.drop(state)
-        state = after
-    return state.select("lei", "candidate_id", F.col("z").alias("confidence"))
+    """(lei, candidate_id, confidence): the minimum of all rules together. Rules not settled after ``MOST_ROUNDS`` rounds raise."""
+    large, (n,) = scratch.write_counting(rules.groupBy("like").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("like"), F.count(F.lit(1)))
+    small = rules if not n else rules.join(large, "like", "left_anti")
+    out = small.repartition("like").sortWithinPartitions("like").mapInArrow(_solve_classes, "lei string, candidate_id bigint, confidence double")
+    return out if not n else out.unionByName(_shared_rounds(rules.join(large, "like", "left_semi"), scratch))
 
 
 def link(lei_entities: DataFrame, candidates: DataFrame) -> DataFrame:
