@@ -1,8 +1,8 @@
 """Matching registry entities with provider records that share no key, by soft logic.
 
-Candidate pairs share a key: a registration number; the run-together brand; two of its words, in either order and among others;
-or, where the brand has a slip, a part that the slip left whole along with the letters' number: either half of the run-together
-brand, or an end of each of two words. Keys of parts carry the brand, which is compared where the keys meet, so that no pair
+Candidate pairs share a key: a registration number; two words of the brand, in either order and among others; or, slips and moved
+blanks included, a part that a slip leaves whole along with the letters' number: either half of the run-together brand, or an end
+of each of two words. Keys of parts carry the brand, which is compared where the keys meet, so that no pair
 whose brands differ by more than slips goes any further. Each pair is a variable between 0 and 1. Weighted rules say how far
 evidence speaks for or against it, each rule a squared hinge:
 
@@ -76,9 +76,8 @@ def _ends(word: str) -> tuple[str, str]:
 
 
 def _name_keys(brand: tuple[str, ...], joined: str, sought: bool) -> tuple[set[str], set[str]]:
-    """(whole keys, keys of parts)."""
-    whole, parts = {f"J|{joined}"}, {f"H|{x}" for x in _halves(joined, sought)}
-    whole |= {f"P|{min(x, y)}|{max(x, y)}" for i, x in enumerate(brand) for y in brand[:i]}
+    """(whole keys, keys of parts). An equal run-together brand shares its parts."""
+    whole, parts = {f"P|{min(x, y)}|{max(x, y)}" for i, x in enumerate(brand) for y in brand[:i]}, {f"H|{x}" for x in _halves(joined, sought)}
     if len(brand) == 2:
         parts |= {f"B|{x}|{y}" for x in _ends(brand[0]) for y in _ends(brand[1])}
         if sought:  # a letter more or less makes a short word of a long one
@@ -99,25 +98,34 @@ def _parse(batches: Iterator[pa.RecordBatch], sought: bool = True) -> Iterator[p
     town = lambda t: plain(" ".join(w for w in re.sub(r",\s*[A-Za-z]{2}\s*$", "", t).split() if not any(c.isdigit() for c in w))) if t else ""
     for b in batches:
         ids, names, numbers, places, cities, lines = (c.to_pylist() for c in b.columns)
-        split, keys, regs = [], [], []
+        split, regs, firsts, at, ends, hashes, brands = [], [], [], [0], [0], [], []
         for ns, raw in zip(names, numbers):
             row, ks, ps = {}, set(), set()
             for n in ns or ():
                 brand, business, ordinal, form = parse_name(n) if n else ((), "", "", "")
                 if brand:
                     joined = "".join(brand)
-                    row[joined, business, ordinal, form] = {"brand": " ".join(sorted(brand)), "joined": joined, "business": business, "ordinal": ordinal, "form": form}
+                    row[joined, business, ordinal, form] = " ".join(sorted(brand))
                     whole, parts = _name_keys(brand, joined, sought)
                     ks |= whole
                     ps |= {(k, joined) for k in parts}
             found = sorted({k for k in map(registration_key, raw or ()) if k})
             ks.update("R|" + k.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for k in found)
-            split.append(list(row.values()))
-            keys.append([{"k": _hashed(k), "brand": j} for k, j in [*((k, "") for k in sorted(ks)), *sorted(ps)]])
+            firsts += row.values()
+            split += row
+            at.append(len(split))
+            hashes += [_hashed(k) for k in ks]
+            brands += [""] * len(ks)
+            for k, joined in ps:
+                hashes.append(_hashed(k))
+                brands.append(joined)
+            ends.append(len(hashes))
             regs.append(found)
-        codes = [sorted({c for c in map(place_code, ps or ()) if c}) for ps in places]
         text = pa.list_(pa.string())
-        out = [b.column(0), pa.array(split, pa.list_(_NAME)), pa.array(regs, text), pa.array(codes, text), pa.array([town(c) for c in cities], pa.string()), pa.array([plain(x) for x in lines], pa.string()), pa.array(keys, pa.list_(_KEY))]
+        struct = pa.StructArray.from_arrays([pa.array(firsts, pa.string()), *(pa.array([x[i] for x in split], pa.string()) for i in range(4))], fields=list(_NAME))
+        keys = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(brands, pa.string())], fields=list(_KEY))
+        codes = [sorted({c for c in map(place_code, ps or ()) if c}) for ps in places]
+        out = [b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), struct), pa.array(regs, text), pa.array(codes, text), pa.array([town(c) for c in cities], pa.string()), pa.array([plain(x) for x in lines], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)]
         yield pa.RecordBatch.from_arrays(out, ["id", "names", "numbers", "places", "city", "address", "keys"])
 
 
@@ -160,17 +168,22 @@ def record_side(candidates: DataFrame) -> DataFrame:
     return _parsed(once.select("id", "r.*"), "bigint")
 
 
+def _met(registry: DataFrame, records: DataFrame) -> DataFrame:
+    """(l, candidate_id) that share a whole key, or one of a part with brands no more than slips apart, each once; ``l`` is a number that stands for the LEI."""
+    keyed = lambda df, key, name, brand: df.select(key.alias(name), F.explode("keys").alias("x")).select(name, "x.k", F.col("x.brand").alias(brand))
+    met = keyed(registry, F.xxhash64("id"), "l", "brand").join(keyed(records, F.col("id"), "candidate_id", "other"), "k")  # LEIs as numbers: keys are many
+    return met.where((F.col("brand") == F.col("other")) | ((F.col("brand") != "") & (F.col("other") != "") & _slips(F.col("brand"), F.col("other")))).select("l", "candidate_id").distinct()
+
+
 def candidate_pairs(registry: DataFrame, records: DataFrame) -> DataFrame:
-    """(lei, candidate_id) that share a whole key, or one of a part with brands no more than slips apart; each once."""
-    keyed = lambda df, name, brand: df.select(F.col("id").alias(name), F.explode("keys").alias("x")).select(name, "x.k", F.col("x.brand").alias(brand))
-    met = keyed(registry, "lei", "brand").join(keyed(records, "candidate_id", "other"), "k")
-    return met.where((F.col("brand") == F.col("other")) | ((F.col("brand") != "") & (F.col("other") != "") & _slips(F.col("brand"), F.col("other")))).select("lei", "candidate_id").distinct()
+    """(lei, candidate_id) that are compared."""
+    return registry.select(F.col("id").alias("lei"), F.xxhash64("id").alias("l")).join(_met(registry, records), "l").select("lei", "candidate_id")
 
 
 def _slips(x: Column, y: Column) -> Column:
     """No more apart than by a slip in each of two words; letters that changed places count as one slip."""
-    far = F.levenshtein(x, y)
-    return (far <= 3) | ((far == 4) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, ""))))
+    far = F.levenshtein(x, y, 4)  # -1 beyond
+    return far.between(0, 3) | ((far == 4) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, ""))))
 
 
 def _likeness(a: Column, b: Column) -> Column:
@@ -195,9 +208,9 @@ def _either(p: Column, q: Column) -> Column:
 
 def _evidence(pairs: DataFrame, registry: DataFrame, records: DataFrame) -> DataFrame:
     """Truth values of the rule bodies for every pair."""
-    side = registry.select(F.col("id").alias("lei"), F.col("names").alias("l_names"), F.col("numbers").alias("l_numbers"), F.col("places").alias("l_places"), F.col("cities").alias("l_cities"))
+    side = registry.select(F.xxhash64("id").alias("l"), F.col("id").alias("lei"), F.col("names").alias("l_names"), F.col("numbers").alias("l_numbers"), F.col("places").alias("l_places"), F.col("cities").alias("l_cities"))
     first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit("")).alias(c[:-1])
-    both = pairs.join(records.select(F.col("id").alias("candidate_id"), F.col("names").alias("c_names"), first("numbers"), first("places"), "city", "address"), "candidate_id").join(side, "lei")
+    both = pairs.join(side, "l").join(records.select(F.col("id").alias("candidate_id"), F.col("names").alias("c_names"), first("numbers"), first("places"), "city", "address"), "candidate_id")
     name = F.coalesce(F.array_max(F.flatten(F.transform("l_names", lambda x: F.transform("c_names", lambda y: _name_score(x, y))))), F.lit(-1.0))
     digits = lambda c: F.regexp_replace(c, "^[A-Z]+", "")
     n = F.col("number")
@@ -353,8 +366,7 @@ def link(lei_entities: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     scratch = Scratch(lei_entities.sparkSession)
     registry, records = scratch.write(registry_side(lei_entities)), scratch.write(record_side(candidates))
-    pairs = candidate_pairs(registry, records)
-    evidence = scratch.write(_evidence(pairs, registry, records))  # written, so that its long expressions run once
+    evidence = scratch.write(_evidence(_met(registry, records), registry, records))  # written, so that its long expressions run once
     return infer(_rules(evidence), scratch)
 
 

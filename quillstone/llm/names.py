@@ -50,7 +50,8 @@ PLACES = {
 
 _WORD = {w: k for k, v in BUSINESS_WORDS.items() for w in (k, *v.split())}
 _PLACE = {w: k for k, v in PLACES.items() for w in v.split()}
-_FORM = [(re.compile(rf"(?<= )(?:{w})(?= )"), k) for k, v in LEGAL_FORMS.items() for w in [v]]
+_FORM = {w: (i, k) for i, (k, v) in reversed(list(enumerate(LEGAL_FORMS.items()))) for w in v.split("|")}
+_LONGEST = max(len(w.split()) for w in _FORM)
 
 
 def fold(text: str) -> str:
@@ -63,24 +64,23 @@ def fold(text: str) -> str:
 def parse_name(name: str) -> tuple[tuple[str, ...], str, str, str]:
     """(brand words in order, business words, ordinal, legal form); empty strings where there are none."""
     t = fold(name).replace("’", "'")
-    t = re.sub(r"/\s*[a-z]{2,3}\s*/|\(dormant[^)]*\)|\((?:fka|formerly)[^)]*\)|\*", " ", t)
-    t = re.sub(r"\br\s*&\s*d\b|research (?:and|&) development", " rnd ", t)
-    t = re.sub(r"real[ -]estate|\br\.? ?e\.(?=[ ,])|(?<= )r ?e(?= )", " realestate ", t)
-    t = re.sub(r"\s-\s(?:main|head office)\s*$", " ", t)
+    if "/" in t or "(" in t or "*" in t:
+        t = re.sub(r"/\s*[a-z]{2,3}\s*/|\(dormant[^)]*\)|\((?:fka|formerly)[^)]*\)|\*", " ", t)
+    if "&" in t or "research" in t:
+        t = re.sub(r"\br\s*&\s*d\b|research (?:and|&) development", " rnd ", t)
+    if "real" in t or "e." in t or " re " in t or " r e " in t:
+        t = re.sub(r"real[ -]estate|\br\.? ?e\.(?=[ ,])|(?<= )r ?e(?= )", " realestate ", t)
+    if " main" in t or " head" in t:
+        t = re.sub(r"\s-\s(?:main|head office)\s*$", " ", t)
     t = t.replace("&", " and ").replace(".", " ").replace("int'l", "intl").replace("'", "")
     t = " " + re.sub(r"[^a-z0-9]+", " ", t).strip() + " "
     t = re.sub(r"^ the ", " ", t)
-    form = ""
-    tail = t.split(" ")
-    cut = " " + " ".join(tail[-8:]).strip() + " "
-    for pattern, kind in _FORM:
-        hits = [m for m in pattern.finditer(cut) if m.end() >= len(cut) - 1]
-        if hits:
-            form = kind
-            t = t[: len(t) - (len(cut) - hits[-1].start())] + " "
-            break
+    words, form = t.split(), ""
+    found = [(*_FORM[tail], n) for n in range(1, min(_LONGEST, len(words)) + 1) if (tail := " ".join(words[-n:])) in _FORM]
+    if found:
+        _, form, n = min(found)
+        words = words[:-n]
     brand, business, ordinal = [], [], ""
-    words = t.split()
     for i, w in enumerate(words):
         if w in ("no", "nr", "number", "and", "of") and brand:
             continue
