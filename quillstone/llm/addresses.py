@@ -1,24 +1,25 @@
-"""Address records that name the same place, however written: numbers first.
-
-An address is taken apart into house number, street name, kind of street, compass direction and town; what lies inside a
-building (floor, suite, room, its name, care-of lines) is dropped. Distinct forms are blocked on their house number,
-kind and direction plus a third of the street's name, so that any two slips leave a block in common. A pair is accepted
-when number, kind and direction agree and the overlap of street and town, weighted by the
-rarity of their words, is high, where unmatched words count by their Levenshtein likeness. Without a town on
-one side the postal code decides, else that no other town competes for the same number and street.
+"""Address records that name the same place, however written: numbers first, in SQL.
+
+An address becomes pieces, in lower case without accents; what lies inside a building (floor, suite, room, its name, care-of lines)
+is dropped. The first piece with a number at either end is the street's: its digit tokens, sorted, its kind and compass direction,
+and what is left, its name, run together; another piece is the town's. Distinct forms are blocked on their digit tokens, kind
+and direction plus one rare word: the street's name, the town or the postal code, where a word that is frequent in its block is
+made rarer by a third of the other one (two slips leave one third of three as it was); or, where no word is left whole, on an end
+of the street's name and one of the town. Of two forms that meet, the words in
+common are taken by ``array_intersect``, the others are compared by Levenshtein, and the overlap, weighted by the words' rarity
+in the corpus, decides. Without a town on one side the postal code decides, else that no other town competes for the same number
+and street.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.names import PLACES, fold, place_code
+from quillstone.functions.text import decomposed
+from quillstone.llm.names import PLACES
 from quillstone.session import Scratch
 
 # Kinds of streets by their ways of writing, as words and as endings of a compound
@@ -34,136 +35,92 @@ BUILDINGS = "house centre center tower towers building buildings hall mansion ma
 SMALL_WORDS = {"de", "du", "des", "d", "la", "le", "les", "l", "del", "della", "di", "da", "do", "dos", "der", "den", "dem", "van", "von", "zum", "zur", "am", "an", "the", "of"}
 TOWN_WORDS = {"saint": "st", "sankt": "st", "sint": "st", "mount": "mt", "fort": "ft", "upper": "upr", "lower": "lwr"}
 
-_NATIONS = {k[:2] for k in PLACES}
-_KIND = {w: k for k, v in KINDS.items() for w in v.split()}
-_ENDING = sorted(((e, k) for k, v in ENDINGS.items() for e in v.split()), key=lambda x: -len(x[0]))
-_INSIDE = re.compile(rf"^(?:{INSIDE}\b.*|.*\b\d+ ?(?:st|nd|rd|th|eme|er|e)? (?:floor|fl|flr|etage|stock)|(?:c ?/ ?o|attn|attention|care of|z ?hd|att)\b.*)$")
-_TRAIL = re.compile(rf"\b{INSIDE} ?(?:no )?[0-9]+ ?[a-z]?$|\b\d+(?:st|nd|rd|th) (?:floor|fl)$")
-
-
-def _clean(text: str) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9/,]+", " ", fold(text).replace("'", " ").replace("’", " "))).strip()
-
-
-def _street(words: list[str]) -> tuple[str, str, str, str] | None:
-    """(number, name, kind, direction) of the words of a street with a house number, else None."""
-    number = ""
-    for at in (0, -1):
-        if words and re.fullmatch(r"\d{1,5}[a-z]?(?:/\d+)?", words[at]):
-            number = words.pop(at)
-            break
-    direction = kind = ""
-    for at in (0, -1):
-        if len(words) > 1 and words[at] in DIRECTIONS and not direction:
-            direction = DIRECTIONS[words.pop(at)]
-    if len(words) > 1 and words[-1] in _KIND:
-        kind = _KIND[words.pop()]
-    elif len(words) > 1 and words[0] in _KIND and (words[0] not in ("r", "c", "la", "ch", "all") or words[1] in SMALL_WORDS):
-        kind = _KIND[words.pop(0)]
-    elif len(words) == 1:
-        for ending, k in _ENDING:
-            if words[0].endswith(ending) and len(words[0]) >= len(ending) + 3:
-                kind, words = k, [words[0][: -len(ending)]]
-                break
-    elif len(words) == 2 and words[1] in {e for e, _ in _ENDING}:
-        kind, words = dict(_ENDING)[words[1]], words[:1]
-    for at in (0, -1):
-        if len(words) > 1 and words[at] in DIRECTIONS and not direction:
-            direction = DIRECTIONS[words.pop(at)]
-    name = "".join(w for w in words if w not in SMALL_WORDS or len(words) == 1)
-    return (number, name, kind, direction) if name and not name.isdigit() else None
-
-
-def _town(text: str) -> tuple[str, str]:
-    """(town, postal code) of a piece of text without commas."""
-    words = text.split()
-    postal = "".join(w for w in words if any(c.isdigit() for c in w))
-    if len(words) > 1 and postal:  # a British code is written in two pieces, both with digits
-        words = [w for w in words if not any(c.isdigit() for c in w)]
-    elif postal:
-        words = []
-    if len(words) > 1 and words[-1] == "city":
-        words.pop()
-    return "".join(TOWN_WORDS.get(w, w) for w in words), postal
-
-
-@lru_cache(50_000)
-def parse_address(lines: tuple[str, ...], city: str, region: str, country: str, postal_code: str) -> tuple[str, str, str, str, str, str, str]:
-    """(number, street, kind, direction, town, postal code, country), '' for what isn't there."""
-    pieces = [p.strip() for line in lines for p in _clean(line).split(",") if p.strip()]
-    street, town, postal = None, "", ""
-    nation = place_code(country)[:2] if country else ""
-    rest: list[str] = []
-    i = 0
-    while i < len(pieces):
-        p = _TRAIL.sub("", pieces[i]).strip() if not _INSIDE.match(pieces[i]) else ""
-        i += 1
-        if not p:
-            continue
-        words = p.split()
-        if street is None:
-            if words[-1] in BUILDINGS and words[-1] not in _KIND and not any(c.isdigit() for c in p):
-                continue
-            if re.fullmatch(r"\d{1,5}[a-z]?", p) and i < len(pieces):  # "397, boulevard de X"
-                street = _street([p, *pieces[i].split()])
-                i += 1
-                continue
-            has_number = any(re.fullmatch(r"\d{1,5}[a-z]?", words[k]) for k in (0, -1)) and len(words) > 1
-            if not has_number and i < len(pieces) and re.fullmatch(r"\d{1,5}[a-z]?", pieces[i]):  # "X Street, 212"
-                street = _street([*words, pieces[i]])
-                i += 1
-                continue
-            if has_number and not (words[-1] in BUILDINGS and not words[0].isdigit()):
-                street = _street(words)
-                continue
-            if words[-1] in BUILDINGS or words[0] in BUILDINGS:
-                continue
-        rest.append(p)
-    region_code = re.sub(r"[^a-z]", "", fold(region)) if region else ""
-
-    def take(p: str) -> None:
-        nonlocal town, postal, nation
-        letters = re.sub(r"[^a-z]", "", p)
-        if not any(c.isdigit() for c in p):
-            if len(letters) <= 3 and (place_code(p) or letters == region_code or letters == region_code[2:] or len(letters) == 2):
-                nation = nation or (place_code(p)[:2] if place_code(p)[:2] in _NATIONS else "")
-                return
-            code = place_code(p) if place_code(p)[:2] in _NATIONS else ""
-            if code and (town or len(letters) <= 3 or letters not in ("singapore", "luxembourg", "newyork", "ontario", "wales")):
-                nation = nation or code[:2]
-                return
-        t, z = _town(p)
-        postal = postal or z
-        if t and not town and p.split()[-1] not in BUILDINGS[:6]:
-            town = t
-
-    for p in _clean(city).split(",") if city else ():
-        take(p.strip())
-    for p in rest:
-        take(p)
-    if postal_code:
-        postal = re.sub(r"[^a-z0-9]", "", fold(postal_code))
-    if street is None:
-        return "", "", "", "", town, postal, nation
-    town, name = re.sub(r"([aou])e", r"\1", town), re.sub(r"([aou])e", r"\1", street[1])
-    return street[0], name, street[2], street[3], town, postal, nation.rstrip("?")
-
-
-FIELDS = ("number", "street", "kind", "direction", "town", "postal", "nation")
+KIND_OF = {w: k for k, v in KINDS.items() for w in v.split()}
+ENDING_OF = {w: k for k, v in ENDINGS.items() for w in v.split()}
+NATION_OF = {w: k[:2] for k, v in PLACES.items() for w in v.split()}
+AMBIGUOUS = ("r", "c", "la", "ch", "all")  # short for kinds of streets only before a small word
+FIELDS = ("digits", "street", "kind", "direction", "town", "postal", "nation")
 
+_any = lambda words: "|".join(sorted(map(re.escape, words), key=lambda w: (-len(w), w)))
+NUMBER = r"\d{1,5}[a-z]?(?:/\d+)?"
+# Each piece stands between bars of its own: patterns of whole pieces never share one
+INSIDE_PIECE = rf"\|(?:{INSIDE}\b[^|]*|[^|]*\b\d+ ?(?:st|nd|rd|th|eme|er|e)? (?:floor|fl|flr|etage|stock)|(?:c ?/ ?o|attn|attention|care of|z ?hd|att)\b[^|]*|(?:[^|0-9]* )?(?:{_any([w for w in BUILDINGS if w not in KIND_OF])}))\|"
+INSIDE_END = rf" (?:{INSIDE} ?(?:no )?[0-9]+ ?[a-z]?|\d+(?:st|nd|rd|th) (?:floor|fl))\|"
+STREET_PIECE = rf"\|({NUMBER} [^|]*[a-z][^|]*|[^|0-9][^|]* {NUMBER})\|"
+COMPOUND = rf"^(.{{3,}}?)({_any(ENDING_OF)})$"
+LONE_NUMBER = r"\|(\d{1,5}[a-z]?)\|\|"  # "397, boulevard de X"
+NUMBER_AFTER = r"\|([^|0-9]+)\|\|(\d{1,5}[a-z]?)\|"  # "X Street, 212"
 
-def parsed_addresses(rows: DataFrame, id_column: str, address: str) -> DataFrame:
-    """(address_id, number, street, kind, direction, town, postal, nation) of rows with an address."""
-    a = F.col(address)
-    flat = rows.where(a.isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("address_id"), *(a[f].alias(f) for f in ("lines", "city", "region", "country", "postal_code")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, lines, *parts = (c.to_pylist() for c in b.columns)
-            got = [parse_address(tuple(x or "" for x in ls or ()), *(p or "" for p in ps)) for ls, *ps in zip(lines, *parts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.string()) for k in range(len(FIELDS)))], ["address_id", *FIELDS])
+def _map(values: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in values.items())))
+
+
+def _pieces(text: Column) -> Column:
+    """Pieces of a text with bars between them, each as ``|piece|``; '' for none."""
+    t = F.replace(F.replace(F.replace(decomposed(F.coalesce(text, F.lit(""))), F.lit("æ"), F.lit("ae")), F.lit("ø"), F.lit("o")), F.lit("ß"), F.lit("ss"))
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9/,|]+", " "), " *[,|][ ,|]*", "||"))
+    return F.regexp_replace(F.concat(F.lit("|"), t, F.lit("|")), r"\|\|\|+", "||")
+
+
+def _plain(words: Column) -> Column:
+    """Run together, with ae, oe and ue for a, o and u."""
+    return F.regexp_replace(F.replace(words, F.lit(" "), F.lit("")), "([aou])e", "$1")
+
+
+def _strip_bars(pieces: Column) -> Column:
+    """Without an empty piece at either end."""
+    return F.regexp_replace(F.regexp_replace(pieces, r"^\|\|(.)", "|$1"), r"(.)\|\|$", "$1|")
+
 
-    return flat.mapInArrow(run, "address_id string, " + ", ".join(f"{f} string" for f in FIELDS))
+def parsed_addresses(rows: DataFrame, id_column: str, address: str) -> DataFrame:
+    """(address_id, digits, street, kind, direction, town, postal, nation) of rows with an address; '' for what isn't there."""
+    a, c = F.col(address), F.col
+    t = rows.where(a.isNotNull() & F.col(id_column).isNotNull()).select(
+        F.col(id_column).alias("address_id"), _strip_bars(_pieces(F.array_join(a["lines"], "|"))).alias("lines"), _strip_bars(_pieces(a["city"])).alias("city"),
+        F.regexp_replace(decomposed(F.coalesce(a["country"], F.lit(""))), "[^a-z]+", "").alias("country"), F.regexp_replace(decomposed(F.coalesce(a["postal_code"], F.lit(""))), "[^a-z0-9]+", "").alias("code"),
+    )
+    t = t.withColumn("lines", F.regexp_replace(F.regexp_replace(F.regexp_replace("lines", INSIDE_PIECE, ""), INSIDE_END, "|"), INSIDE_PIECE, ""))
+    t = t.withColumn("lines", F.regexp_replace(F.regexp_replace("lines", NUMBER_AFTER, "|$1 $2|"), LONE_NUMBER, "|$1 "))
+    t = t.withColumn("s", F.regexp_extract("lines", STREET_PIECE, 1))
+    t = t.withColumn("rest", F.filter(F.split(F.concat("city", F.when(c("s") == "", c("lines")).otherwise(F.replace("lines", F.concat(F.lit("|"), c("s"), F.lit("|")), F.lit("")))), r"\|+"), lambda p: p != ""))
+    t = t.withColumn("number", F.coalesce(F.nullif(F.regexp_extract("s", f"^({NUMBER}) ", 1), F.lit("")), F.regexp_extract("s", f" ({NUMBER})$", 1)))
+    t = t.withColumn("n", F.trim(F.when(F.startswith("s", F.concat("number", F.lit(" "))), F.substr("s", F.length("number") + 1)).otherwise(F.substr("s", F.lit(1), F.length("s") - F.length("number")))))
+
+    def direction(name: str, before: Column | None) -> tuple[Column, Column]:
+        first, last = F.regexp_extract(name, rf"^({_any(DIRECTIONS)}) .", 1), F.regexp_extract(name, rf". ({_any(DIRECTIONS)})$", 1)
+        free = F.lit(True) if before is None else before == ""
+        return F.when(free & (first != ""), first).when(free, last).otherwise(F.lit("")), F.when(free & (first != ""), F.substr(name, F.length(first) + 2)).when(free & (last != ""), F.substr(name, F.lit(1), F.length(name) - F.length(last) - 1)).otherwise(F.col(name))
+
+    way, name = direction("n", None)
+    t = t.withColumns({"d1": way, "n": name})
+    last, first = F.regexp_extract("n", rf". ({_any(KIND_OF)})$", 1), F.regexp_extract("n", rf"^({_any([w for w in KIND_OF if w not in AMBIGUOUS])}) .|^({_any(AMBIGUOUS)}) (?:{_any(SMALL_WORDS)}) ", 0)
+    head = F.regexp_extract(first, "^[a-z]+", 0)
+    stem = F.when(~F.contains("n", F.lit(" ")), F.regexp_extract("n", COMPOUND, 1)).otherwise("")
+    t = t.withColumns({"k": F.when(last != "", F.element_at(_map(KIND_OF), last)).when(head != "", F.element_at(_map(KIND_OF), head)).when(stem != "", F.element_at(_map(ENDING_OF), F.regexp_extract("n", COMPOUND, 2))).otherwise(F.lit("")),
+                       "n": F.when(last != "", F.substr("n", F.lit(1), F.length("n") - F.length(last) - 1)).when(head != "", F.substr("n", F.length(head) + 2)).when(stem != "", stem).otherwise(c("n"))})
+    way, name = direction("n", c("d1"))
+    t = t.withColumns({"d2": way, "n": name})
+    long = F.replace(F.regexp_replace(F.concat(F.lit(" "), F.replace("n", F.lit(" "), F.lit("  ")), F.lit(" ")), f" (?:{_any(SMALL_WORDS)}) ", ""), F.lit(" "), F.lit(""))
+    street = F.when(long == "", F.replace("n", F.lit(" "), F.lit(""))).otherwise(long)
+
+    letters = lambda p: F.regexp_replace(p, "[^a-z]+", "")
+    has_digit = lambda p: p.rlike("[0-9]")
+    place = lambda p: F.coalesce(F.element_at(_map(NATION_OF), letters(p)), F.lit(""))
+    bare = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), F.replace(p, F.lit(" "), F.lit("  ")), F.lit(" ")), " [^ ]*[0-9][^ ]* ", " "), " +", " "))
+    t = t.withColumn("towns", F.filter(F.transform("rest", lambda p: F.when(has_digit(p) | ((F.length(letters(p)) > 3) & (place(p) == "") & ~p.rlike(rf"(?:^| )(?:{_any(BUILDINGS[:6])})$")), bare(p)).otherwise("")), lambda x: x != ""))
+    own = bare(F.regexp_extract("city", r"^\|([^|]*)\|", 1))  # a country's name in the town's place is the town
+    town = F.coalesce(F.try_element_at("towns", F.lit(1)), F.when((F.length(letters(own)) > 3) | ((F.length(letters(own)) == 3) & (place(own) == "")), own), F.lit(""))
+    town = F.concat(F.lit(" "), F.replace(F.regexp_replace(town, "(.) city$", "$1"), F.lit(" "), F.lit("  ")), F.lit(" "))
+    for word, short in TOWN_WORDS.items():
+        town = F.replace(town, F.lit(f" {word} "), F.lit(f" {short} "))
+    codes = F.filter(F.transform("rest", lambda p: F.when(has_digit(p), F.array_join(F.filter(F.split(p, " "), has_digit), "")).otherwise("")), lambda x: x != "")
+    nations = F.filter(F.transform("rest", lambda p: F.when(~has_digit(p), place(p)).otherwise("")), lambda x: x != "")
+    ok = (street != "") & ~street.rlike("^[0-9]+$")
+    way = F.coalesce(F.element_at(_map(DIRECTIONS), F.when(c("d1") != "", c("d1")).otherwise(c("d2"))), F.lit(""))
+    out = t.select("address_id", F.when(ok, F.array_join(F.array_sort(F.split("number", "/")), "/")).otherwise("").alias("digits"), F.when(ok, _plain(street)).otherwise("").alias("street"), F.when(ok, c("k")).otherwise("").alias("kind"), F.when(ok, way).otherwise("").alias("direction"),
+                    _plain(town).alias("town"), F.coalesce(F.nullif(c("code"), F.lit("")), F.try_element_at(codes, F.lit(1)), F.lit("")).alias("postal"), F.coalesce(F.element_at(_map(NATION_OF), c("country")), F.try_element_at(nations, F.lit(1)), F.lit("")).alias("nation"))
+    return out.select("address_id", F.explode(F.array(F.struct(*FIELDS))).alias("x")).select("address_id", "x.*")  # so that no filter is written out through all the steps above
 
 
 def _reached(towns: Column, start: Column) -> Column:
@@ -194,8 +151,7 @@ def _settled(near: DataFrame) -> DataFrame:
     return near.where("sure").select("form", "form_b").unionByName(alone.select("form", "form_b"))
 
 
-def _block(length: Column, piece: int, letters: Column) -> Column:
-    return F.xxhash64("number", "kind", "direction", length, F.lit(piece), letters)
+HOT_BLOCK = 1_000  # forms of a block from which on its word isn't rare enough
 
 
 def _piece(length: Column, i: int) -> tuple[Column, Column]:
@@ -204,48 +160,82 @@ def _piece(length: Column, i: int) -> tuple[Column, Column]:
     return 1 + i * base + F.greatest(F.lit(0), i - first_long), base + (i >= first_long).cast("int")
 
 
-# Where a third of a street may stand in one that is 0, 1 or 2 letters longer, by at most two edits, relative to its own place:
+# Where a third of a word may stand in one that is 0, 1 or 2 letters longer, by at most two edits, relative to its own place:
 # of three thirds two edits leave one as it was, moved by no more than the edits before it and so that those after it suffice
 MOVED = (((0,), (-1, 0, 1), (0,)), ((0,), (0, 1), (1,)), ((0,), (1,), (2,)))
 
 
-def kept_blocks() -> Column:
-    n = F.length("street")
-    return F.array_distinct(F.array(*(_block(n, i, F.substring("street", *_piece(n, i))) for i in range(3))))
+def kept_blocks(word: str = "street") -> Column:
+    """Hashes of the thirds of a word."""
+    n = F.length(word)
+    return F.array_distinct(F.array(*(F.xxhash64(n, F.lit(i), F.substring(word, *_piece(n, i))) for i in range(3))))
 
 
-def sought_blocks() -> Column:
-    """Blocks of all streets that are as long or up to two letters shorter and at most two edits away."""
-    n, keys = F.length("street"), []
+def sought_blocks(word: str = "street") -> Column:
+    """Thirds, as they would stand in this one, of all words that are as long or up to two letters shorter and at most two edits away."""
+    n, keys = F.length(word), []
     for shorter, by_piece in enumerate(MOVED):
         m = n - shorter
         for i, moves in enumerate(by_piece):
             start, long = _piece(m, i)
-            keys += [F.when((m >= 1) & (start + k >= 1) & (start + k + long <= n + 1), _block(m, i, F.substring("street", start + k, long))) for k in moves]
+            keys += [F.when((m >= 1) & (start + k >= 1) & (start + k + long <= n + 1), F.xxhash64(m, F.lit(i), F.substring(word, start + k, long))) for k in moves]
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def _met(forms: DataFrame, scratch: Scratch) -> DataFrame:
+    """(form, form_b), each once: equal digits, kind and direction and one rare word in common, or, where both street and town have a slip, an end of each, or where a town lacks, an end of the street.
+
+    A word with more than ``HOT_BLOCK`` forms in its block is made rarer by a third of the other word; forms without another word,
+    few as forms, meet the whole block.
+    """
+    base = ("digits", "kind", "direction")
+    word = lambda tag, own, other: F.when(F.col(own) != "", F.struct(F.xxhash64(*base, F.lit(tag), F.col(own)).alias("block"), F.col(other).alias("other")))
+    keyed = scratch.write(forms.select("form", F.explode(F.array_compact(F.array(word("s", "street", "town"), word("t", "town", "street"), word("p", "postal", "street")))).alias("x")).select("form", "x.*"))
+    hot, (n,) = scratch.write_counting(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BLOCK).select("block"), F.count(F.lit(1)))
+    rare = keyed.select("block", "form") if not n else keyed.join(hot, "block", "left_anti").select("block", "form")
+    ends = lambda c: F.array(F.substring(c, 1, 3), F.concat(F.lit("-"), F.substring(c, -3, 3)))
+    two = F.flatten(F.transform(ends("street"), lambda x: F.transform(ends("town"), lambda y: F.xxhash64(*base, x, y))))
+    rare = rare.unionByName(forms.where("town <> ''").select(F.explode(two).alias("block"), "form"))
+    pairs = rare.join(rare.select("block", F.col("form").alias("form_b")), "block").where("form < form_b").select("form", "form_b")
+    ended = forms.select("town", F.explode(F.transform(ends("street"), lambda x: F.xxhash64(*base, x))).alias("block"), F.col("form").alias("y"))  # forms without a town meet all with an end of their street
+    loose = ended.where("town = ''").select("block", F.col("y").alias("x")).join(ended.select("block", "y"), "block").where("x <> y")
+    pairs = pairs.unionByName(loose.select(F.least("x", "y").alias("form"), F.greatest("x", "y").alias("form_b")))
+    if n:
+        full = scratch.write(keyed.join(hot, "block", "left_semi"))
+        both, size = full.where("other <> ''"), F.length("other").alias("size")
+        kept = both.select("block", F.explode(kept_blocks("other")).alias("third"), F.col("form").alias("x"), size)
+        sought = both.select("block", F.explode(sought_blocks("other")).alias("third"), F.col("form").alias("y"), F.length("other").alias("size_y"))
+        close = kept.join(sought, ["block", "third"]).where("x <> y and (size < size_y or x < y)").select("x", "y")
+        lacking = full.where("other = ''").select("block", F.col("form").alias("x")).join(full.select("block", F.col("form").alias("y")), "block").where("x <> y").select("x", "y")
+        pairs = pairs.unionByName(close.unionByName(lacking).select(F.least("x", "y").alias("form"), F.greatest("x", "y").alias("form_b")))
+    return pairs.distinct()
+
+
+def place_groups(addresses: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """((form, address_id), (form, form_b)): which form each address has, and the pairs of forms that name the same place.
+
+    The links between differing forms with the membership of the addresses: as many rows as addresses and links, whatever the
+    number of copies. Addresses without a house number or street are in no form. Repeated rows count once.
+    """
+    scratch = scratch or Scratch(addresses.sparkSession)
+    known = scratch.write(addresses.where("digits <> '' and street <> ''").withColumn("form", F.xxhash64(*FIELDS)).distinct())
+    forms = scratch.write(known.select("form", *FIELDS).distinct())
+    words = forms.select(F.explode(F.array("street", "town")).alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    n = forms.count()
+    rarity = words.select("w", F.log(F.lit(float(max(n, 2))) / F.col("n") + 1).alias("r"))
+    a = forms.select("form", "street", "town", "postal", "nation").join(rarity.select(F.col("w").alias("street"), F.col("r").alias("street_rarity")), "street").join(rarity.select(F.col("w").alias("town"), F.col("r").alias("town_rarity")), "town", "left")
+    a = scratch.write(a.select("form", "street", "town", "postal", "nation", "street_rarity", F.coalesce("town_rarity", F.lit(0.0)).alias("town_rarity")))
+    b = a.select(*(F.col(c).alias(f"{c}_b") for c in a.columns))
+    near = scratch.write(_near(_met(forms, scratch).join(a, "form").join(b, "form_b")))
+    return known.select("form", "address_id"), scratch.write(_settled(near))
+
+
 def address_pairs(addresses: DataFrame) -> DataFrame:
     """``(address_id_a, address_id_b)``, smaller id first: pairs of ``parsed_addresses`` rows that name the same place.
 
-    Addresses without a house number or street match nothing. Repeated rows count once. All pairs of equal forms come
-    out, as the result is defined by pairs; comparison runs over the distinct forms only.
+    All pairs come out, those of equal forms included, as the result is defined by pairs; ``place_groups`` gives the same without them.
     """
-    scratch = Scratch(addresses.sparkSession)
-    known = scratch.write(addresses.where("number <> '' and street <> ''").withColumn("form", F.xxhash64(*FIELDS)).distinct())
-    forms = known.groupBy("form").agg(*(F.first(f).alias(f) for f in FIELDS))
-    towns = forms.groupBy("street").agg(F.count_distinct(F.when(F.col("town") != "", F.col("town"))).alias("street_towns"))
-    town_use = forms.groupBy("town").agg(F.count(F.lit(1)).alias("town_forms"))
-    forms, (n,) = scratch.write_counting(forms.join(towns, "street").join(town_use, "town"), F.count(F.lit(1)))
-    size = F.length("street").alias("size")
-    kept = forms.select(F.explode(kept_blocks()).alias("block"), F.col("form").alias("x"), size)
-    sought = forms.select(F.explode(sought_blocks()).alias("block"), F.col("form").alias("y"), size.alias("size_y"))
-    met = kept.join(sought, "block").where("x <> y and (size < size_y or x < y)").select(F.least("x", "y").alias("form"), F.greatest("x", "y").alias("form_b")).distinct()
-    a = forms.select("form", "street", "town", "postal", "nation", "street_towns", "town_forms")
-    b = a.select(*(F.col(c).alias(f"{c}_b") for c in a.columns))
-    near = scratch.write(_near(met.join(a, "form").join(b, "form_b"), n))
-    close = scratch.write(_settled(near))
-    ids = known.select("form", "address_id")
+    ids, close = place_groups(addresses)
     apart = close.join(ids, "form").select("form_b", F.col("address_id").alias("x")).join(ids.select(F.col("form").alias("form_b"), F.col("address_id").alias("y")), "form_b").select("x", "y")
     alike = ids.join(ids.select("form", F.col("address_id").alias("y")), "form").where("address_id < y").select(F.col("address_id").alias("x"), "y")
     return apart.where("x <> y").unionByName(alike).select(F.least("x", "y").alias("address_id_a"), F.greatest("x", "y").alias("address_id_b")).distinct()
@@ -261,23 +251,26 @@ def _slips(x: Column, y: Column) -> Column:
     return (far <= F.when(F.least(F.length(x), F.length(y)) >= 6, 2).otherwise(1)) | ((far == 2) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, ""))))
 
 
-def _near(pairs: DataFrame, n: int) -> DataFrame:
-    """(form, form_b, town, town_b, tier, sure) of pairs whose number, kind and direction agree by the block, and the street but for slips.
+def _near(pairs: DataFrame) -> DataFrame:
+    """(form, form_b, town, town_b, tier, sure) of pairs whose digits, kind and direction agree by the block, and the street but for slips.
 
-    With towns on both sides the rarity-weighted overlap of street and town decides; else an equal postal code (tier 0).
-    A code that is a slip away (tier 1) or lacks (tier 2) leaves a pair that isn't ``sure``.
+    With towns on both sides the rarity-weighted overlap of the words decides, where the words that aren't in common count by
+    their likeness; else an equal postal code (tier 0). A code that is a slip away (tier 1) or lacks (tier 2) leaves a pair that isn't ``sure``.
     """
     c = F.col
-    rare = lambda x: F.log(F.lit(float(max(n, 2))) / F.greatest(c(x), F.lit(1)) + 1)
-    street, town = _likeness(c("street"), c("street_b")), _likeness(c("town"), c("town_b"))
-    ws, wt = F.lit(0.5) * (rare("street_towns") + rare("street_towns_b")), F.lit(0.5) * (rare("town_forms") + rare("town_forms_b"))
-    overlap = (ws * street + wt * town) / (ws + wt)
+    one, two = F.array(F.concat(F.lit("s"), "street"), F.concat(F.lit("t"), "town")), F.array(F.concat(F.lit("s"), "street_b"), F.concat(F.lit("t"), "town_b"))
+    pairs = pairs.withColumn("common", F.array_intersect(one, two))
+    weight = lambda w: F.when(F.startswith(w, F.lit("s")), c("street_rarity") + c("street_rarity_b")).otherwise(c("town_rarity") + c("town_rarity_b"))
+    sum_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda got, x: got + x)
+    apart = F.arrays_zip(F.array_except(one, "common").alias("x"), F.array_except(two, "common").alias("y"))
+    overlap = (sum_of(F.transform("common", weight)) + sum_of(F.transform(apart, lambda p: weight(p["x"]) * _likeness(F.substr(p["x"], F.lit(2)), F.substr(p["y"], F.lit(2)))))) / sum_of(F.transform(one, weight))
     nation = (c("nation") == c("nation_b")) | (c("nation") == "") | (c("nation_b") == "")
     both = (c("town") != "") & (c("town_b") != "")
     postal = (c("postal") != "") & (c("postal_b") != "")
-    by_town = (_slips(c("town"), c("town_b")) & (overlap >= 0.7)) | (postal & (c("postal") == c("postal_b")) & (town >= 0.5))
-    tier = F.when(both, F.when(by_town & nation, 0)).when(postal & (c("postal") == c("postal_b")), 0).when(postal & nation & (F.levenshtein("postal", "postal_b") <= 1), 1).when(~postal & nation, 2)
-    return pairs.where(_slips(c("street"), c("street_b"))).select("form", "form_b", "town", "town_b", tier.alias("tier"), (tier == 0).alias("sure")).where("tier is not null")
+    by_town = ((c("town") == c("town_b")) | (_slips(c("town"), c("town_b")) & (overlap >= 0.7))) | (postal & (c("postal") == c("postal_b")) & (_likeness(c("town"), c("town_b")) >= 0.5))
+    tier = F.when(both, F.when(by_town & nation, 0)).when(postal & (c("postal") == c("postal_b")), 0).when(postal & nation & (F.levenshtein("postal", "postal_b", 1) >= 0), 1).when(~postal & nation, 2)
+    alike = (c("street") == c("street_b")) | _slips(c("street"), c("street_b"))
+    return pairs.where(alike).select("form", "form_b", "town", "town_b", tier.alias("tier"), (tier == 0).alias("sure")).where("tier is not null")
 
 
 def found_pairs(candidates: DataFrame, subsidiaries: DataFrame) -> DataFrame:

@@ -17,8 +17,9 @@ ADDR = "struct<lines array<string>, city string, region string, country string,
         ([], None, None, None, None, ("", "", "", "", "", "", "")),
     ],
 )
-def test_parse(lines, city, region, country, postal, parsed):
-    assert A.parse_address(tuple(lines), city or "", region or "", country or "", postal or "") == parsed
+def test_parse(spark, lines, city, region, country, postal, parsed):
+    df = spark.createDataFrame([("a", (lines, city, region, country, postal))], f"id string, address {ADDR}")
+    assert rows(A.parsed_addresses(df, "id", "address")) == [("a", *parsed)]
 
 
 def test_pairs(spark):
@@ -38,3 +39,34 @@ def test_all_copies_come_out_and_empty(spark):
     e = spark.createDataFrame([], f"address_id string, legal_address {ADDR}")
     assert A.found_pairs(a, e).count() == 190
     assert A.found_pairs(a.limit(0), e).count() == 0
+
+
+def test_hot_blocks_are_narrowed_and_lose_nothing(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    slip = lambda w, on: w[:on] + "x" + w[on + 1 :]
+    made = []
+    for town in ("zeiklyrt", "morvandel"):
+        for street in [word(rng.randrange(6, 12)) for _ in range(25)]:
+            made += [("5", street, "road", "", town, "", "GB"), ("5", slip(street, rng.randrange(len(street))), "road", "", town, "", "GB"), ("5", street, "road", "", slip(town, 3), "", "GB"), ("5", street, "road", "", "", f"{rng.randrange(9)}77", "GB")]
+    df = spark.createDataFrame([(f"a{i:03}", *x) for i, x in enumerate(made)], "address_id string, " + ", ".join(f"{f} string" for f in A.FIELDS))
+    want = rows(A.address_pairs(df))
+    assert len(want) > 100
+    for most in (0, 5, 40):
+        monkeypatch.setattr(A, "HOT_BLOCK", most)
+        assert rows(A.address_pairs(df)) == want
+
+
+def test_groups_hold_copies_once(spark):
+    x = ("5", "long", "road", "", "town", "", "GB")
+    df = spark.createDataFrame([(f"a{i}", *x) for i in range(50)] + [("b", "5", "lonq", "road", "", "town", "", "GB")], "address_id string, " + ", ".join(f"{f} string" for f in A.FIELDS))
+    members, links = A.place_groups(df)
+    assert members.count() == 51 and links.count() == 1
+
+
+def test_plan_has_no_python(spark):
+    df = spark.createDataFrame([("a", (["5 Long Road"], "Town", None, "GB", None))], f"address_id string, headquarters_address {ADDR}")
+    text = A.parsed_addresses(df, "address_id", "headquarters_address")._jdf.queryExecution().toString()
+    assert "Python" not in text and "MapInArrow" not in text
