@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstone.plans import data_queries, decision_queries, expansion_queries, name_queries, registry_queries, text_queries
+from quillstone.plans import data_queries, decision_queries, expansion_queries, graph_queries, name_queries, registry_queries, text_queries
 
-MODULES = (data_queries, name_queries, registry_queries, decision_queries, text_queries, expansion_queries)
+MODULES = (data_queries, name_queries, registry_queries, decision_queries, text_queries, expansion_queries, graph_queries)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import evaluation as E
 from quillstone.operators import extraction as X
+from quillstone.operators import passages as P
 from quillstone.operators import regions as R
 from quillstone.operators import registry
 from quillstone.plans.name_queries import sql_fold
@@ -60,7 +61,15 @@ def financing_only(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text").where("text is not null and source = 'official_site'").select("doc_id", F.md5(T.strip_html(F.col("text"))).alias("text_md5"))
+    """Every text as a page shows it, whatever its source."""
+    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.md5(T.strip_html(F.col("text"))).alias("text_md5"), F.md5(T.visible_text(F.col("text"))).alias("visible_md5"), T.html_title(F.col("text")).alias("title"))
+
+
+def company_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of an issuer's documents that name the issuer, with one sentence before and after."""
+    docs = table(spark, d, "documents", "doc_id", "cik", "text")
+    names = docs.join(table(spark, d, "study_companies", "cik", "company"), "cik").select("doc_id", F.lit("issuer").alias("name_id"), F.col("company").alias("name"))
+    return P.name_passages(docs.select("doc_id", R.ascii_text(F.col("text")).alias("text")), "text", names.distinct()).select("doc_id", "first", "last", F.md5("passage").alias("passage_md5"))
 
 
 def document_hosts(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +213,7 @@ def coverage_pivot(spark: SparkSession, d: str) -> DataFrame:
     return both.select("cik", *(F.coalesce(F.col(f"`{f}`"), F.lit(0)).cast("bigint").alias("n_" + f.lower().replace("-", "")) for f in forms))
 
 
-QUERIES = {f.__name__: f for f in (signal_hits, signal_windows_merged, region_split, section_slices, sentence_tense, explicit_changes, financing_only, html_text, document_hosts, certificate_fields, gazetteer_hits, organization_mentions, organization_vote, alias_vote, deal_events, completed_events, ensemble_vote, alias_argmax, prf_macro_micro, wilson_recall, stage_counts, deepest_stage, pipeline_rollup, saturation_curve, filing_disposition, coverage_grouping_sets, coverage_pivot)}
+QUERIES = {f.__name__: f for f in (signal_hits, signal_windows_merged, region_split, section_slices, sentence_tense, explicit_changes, financing_only, html_text, company_passages, document_hosts, certificate_fields, gazetteer_hits, organization_mentions, organization_vote, alias_vote, deal_events, completed_events, ensemble_vote, alias_argmax, prf_macro_micro, wilson_recall, stage_counts, deepest_stage, pipeline_rollup, saturation_curve, filing_disposition, coverage_grouping_sets, coverage_pivot)}
 
 _A = "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')"
 _HITS = "WITH t AS (SELECT doc_id, lower(" + _A + ") AS x FROM documents WHERE text IS NOT NULL), hs AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, length(x) AS n_chars, regexp_split_to_array(x, '{p}') AS pa, regexp_extract_all(x, '{p}', 0) AS ma FROM t" for k, p in R.SIGNALS.items()) + """),
@@ -227,6 +236,14 @@ _CERT = "WITH m AS (SELECT s_suppkey, 'SECOND: ' || replace(s_name, '#', ' ') ||
 _MERGE = "([A-Z][A-Za-z0-9&., -]+?) (?:will|shall) be merged with and into ([A-Z][A-Za-z0-9&. -]+)"
 _FORM_W = "CASE form_type WHEN '10-K' THEN 1.0 WHEN '10-K/A' THEN 0.5 WHEN '20-F' THEN 0.75 WHEN '20-F/A' THEN 0.25 ELSE 1.0 END::DOUBLE"
 
+
+
+def _undone(x: str) -> str:
+    for entity, char in {**T.ENTITIES, chr(160): " "}.items():
+        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
 ORACLE = {
     "signal_hits": _HITS + ' SELECT doc_id, kind, s AS "start", e AS "end" FROM h',
     "signal_windows_merged": _HITS + _windows(R.BEFORE, R.AFTER, R.GAP) + ' SELECT doc_id, s AS "start", e AS "end" FROM mw',
@@ -241,6 +258,16 @@ SELECT doc_id, regexp_extract(m, '(\\d\\.\\d{{2}})', 1) AS item, e AS "start", z
     "sentence_tense": f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array({_A}, '[.!?]+\\s+|[\\r\\n]+')) AS z FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, lower(trim(z, ' ')) AS f FROM s WHERE trim(z, ' ') <> '') SELECT {_TENSE} AS tense, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM q GROUP BY 1""",
     "explicit_changes": f"WITH t AS (SELECT doc_id, {_A} AS x FROM documents) SELECT doc_id, regexp_extract(x, '{_CONV}', 1) AS from_place, regexp_extract(x, '{_CONV}', 2) AS to_place, regexp_extract(x, '{_CONV}', 3) AS effective FROM t WHERE regexp_matches(x, '{_CONV}')",
     "financing_only": f"WITH t AS (SELECT doc_id, lower(left({_A}, 2200)) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, regexp_matches(h, 'credit agreement|senior notes|underwriting agreement|partial financing of the proposed acquisition|term loan|credit facility') AND NOT regexp_matches(h, 'agreement and plan of merger|business combination agreement') AS financing_only FROM t",
+    "html_text": f"""WITH u AS (SELECT doc_id, text, regexp_replace(text, '{T.UNSEEN_MARKUP}', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, {_undone("regexp_replace(regexp_replace(x, '" + T.LINE_MARKUP + "', chr(10), 'g'), '<[^>]+>', ' ', 'g')")} AS s, {_undone("regexp_replace(x, '<[^>]+>', ' ', 'g')")} AS o, {_undone("regexp_replace(regexp_replace(regexp_extract(text, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '" + T.UNSEEN_MARKUP + "', ' ', 'g'), '<[^>]+>', ' ', 'g')")} AS h FROM u)
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS text_md5, md5(trim(regexp_replace(o, '\\s+', ' ', 'g'), ' ')) AS visible_md5, nullif(trim(regexp_replace(h, '\\s+', ' ', 'g'), ' '), '') AS title FROM v""",
+    "company_passages": f"""WITH t AS (SELECT DISTINCT doc_id, {_A} AS x, lower(trim(company)) AS n FROM documents JOIN study_companies USING (cik) WHERE text IS NOT NULL AND trim(company) <> ''),
+s AS (SELECT doc_id, n, [z FOR z IN string_split(regexp_replace(x, '{P.SENTENCE_END}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) IF trim(z, ' ') <> ''] AS s FROM t),
+h AS (SELECT doc_id, len(s) AS m, unnest([i FOR i IN range(1, len(s) + 1) IF contains(lower(s[i]), n)]) AS i FROM s),
+w AS (SELECT *, max(least(m, i + 1)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
+k AS (SELECT *, sum(CASE WHEN greatest(1, i - 1) <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM w),
+g AS (SELECT doc_id, min(greatest(1, i - 1))::INT AS f, max(least(m, i + 1))::INT AS l FROM k GROUP BY doc_id, k)
+SELECT g.doc_id, f AS "first", l AS "last", md5(array_to_string([trim(z, ' ') FOR z IN s.s[f:l]], ' ')) AS passage_md5 FROM g JOIN s USING (doc_id)""",
     "document_hosts": r"""WITH t AS (SELECT doc_id, 'www.' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') || '.co.uk' AS h FROM documents WHERE title IS NOT NULL), u AS (SELECT doc_id, CASE WHEN regexp_matches(h, '^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z][a-z0-9-]{1,62}$') AND length(h) <= 253 THEN h END AS host FROM t)
 SELECT doc_id, host, regexp_replace(host, '^www\.', '') AS domain FROM u""",
     "certificate_fields": _CERT + f""" SELECT s_suppkey, regexp_extract(t, '{_MERGE}', 1) AS merging, trim(regexp_extract(t, '{_MERGE}', 2)) AS into_name, regexp_extract(t, 'name of the surviving corporation is ([A-Z][A-Za-z0-9&. -]+?), a', 1) AS survivor, strftime(strptime(regexp_extract(t, 'effective on ([A-Z][a-z]+ \\d{{1,2}}, \\d{{4}})', 1), '%B %d, %Y'), '%Y-%m-%d') AS effective_date FROM m""",

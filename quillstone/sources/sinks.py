@@ -28,7 +28,9 @@ def append_new_json(spark: SparkSession, target: str, rows: DataFrame, key: str)
     """JSON lines appended for keys that the queue lacks, the smallest row of a repeated key; the number written."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     at = fs.Path(target)
-    once = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    known = rows.where(F.col(key).isNotNull())
+    row = F.struct(*known.columns)
+    once = known.groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("_r")).select("_r.*")  # smallest as written
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         once = once.join(spark.read.json(target).select(key), key, "left_anti")
     once = once.cache()
@@ -40,12 +42,23 @@ def append_new_json(spark: SparkSession, target: str, rows: DataFrame, key: str)
 
 
 def move(spark: SparkSession, pending: str, done: str, decided: DataFrame, key: str) -> None:
-    """Decided rows leave the pending queue for the done one. Not a transaction: after a crash in between, a row is in both and moves again."""
+    """Decided rows leave the pending queue for the done one. Not a transaction, but nothing is lost: after a crash in between, a row is in both and moves again.
+
+    The new pending queue is written beside the old one and takes its place by renaming; a run that finds the old one set aside goes on from it.
+    """
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at, new, old = fs.Path(pending), fs.Path(pending + ".new"), fs.Path(pending + ".old")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at) and files.exists(old):
+        files.rename(old, at)
     queue = spark.read.json(pending)
     append_new_json(spark, done, queue.join(decided, key), key)
-    rest = queue.join(decided.select(key), key, "left_anti")
-    rest.write.mode("overwrite").json(pending + ".new")
-    spark.read.schema(queue.schema).json(pending + ".new").write.mode("overwrite").json(pending)
+    files.delete(new, True)
+    spark.read.schema(queue.schema).json(pending).join(decided.select(key), key, "left_anti").write.json(new.toString())
+    files.delete(old, True)
+    files.rename(at, old)
+    files.rename(new, at)
+    files.delete(old, True)
 
 
 def report(rows: DataFrame, title: str, limit: int = 50) -> str:
