@@ -52,17 +52,21 @@ def seeds(known: DataFrame, queries: DataFrame) -> DataFrame:
 def walk_upward(start: DataFrame, edges: DataFrame, scratch: Scratch, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(query_id, seed, node, depth, direct, ultimate, terminal) of everything reached from the seeds within ``max_depth`` links.
 
-    ``start``: (query_id, seed). All walks go on together, one round a depth; nodes already met aren't walked again, so that
-    cycles end. ``terminal``: no parent is known.
+    ``start``: (query_id, seed). Every differing seed walks once, all together, one round a depth; a round keeps the nodes at that
+    many links, each once a seed, and doesn't look back. The least depth of a node counts, so that a circle only goes on to the
+    last round. ``terminal``: no parent is known.
     """
-    seen = scratch.write(start.select("query_id", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
-    frontier, all_seen = seen, seen
+    asked = scratch.write(start.select("query_id", "seed").distinct())
+    frontier = asked.select("seed", F.col("seed").alias("node")).distinct()
+    rounds = frontier.withColumn("depth", F.lit(0))
+    up = edges.select(F.col("child").alias("node"), "parent")
     for depth in range(1, max_depth + 1):
-        step = frontier.select("query_id", "seed", F.col("node").alias("child")).join(edges.select("child", "parent"), "child").select("query_id", "seed", F.col("parent").alias("node")).distinct()
-        frontier, (n,) = scratch.write_counting(step.join(all_seen, ["query_id", "seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), F.count(F.lit(1)))
+        frontier, (n,) = scratch.write_counting(frontier.join(up, "node").select("seed", F.col("parent").alias("node")).distinct(), F.count(F.lit(1)))
         if not n:
             break
-        all_seen = all_seen.unionByName(frontier)
+        rounds = rounds.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    reached = scratch.write(rounds.groupBy("seed", "node").agg(F.min("depth").alias("depth")))
+    all_seen = asked.join(reached, "seed")
     walked = all_seen.where(F.col("depth") < max_depth)
     flags = walked.select("query_id", "seed", F.col("node").alias("child")).join(edges, "child").groupBy("query_id", "seed", F.col("parent").alias("node")).agg(F.bool_or("direct").alias("direct"), F.bool_or("ultimate").alias("ultimate"))
     parents = edges.select(F.col("child").alias("node")).distinct().withColumn("has_parent", F.lit(True))
@@ -106,9 +110,13 @@ def decide_roots(scores: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def touching(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links with a root at either end, as the union of two equi-joins; an OR condition would plan as a nested loop. ``roots``: (root)."""
+    """Links with a root at either end, as the union of two equi-joins; an OR condition would plan as a nested loop. ``roots``: (root).
+
+    The links are written once, as they are read and counted more than once.
+    """
+    edges, (n,) = Scratch(edges.sparkSession).write_counting(edges, F.count(F.lit(1)))
     as_child = edges.join(roots.withColumnRenamed("root", "child"), "child").select(F.col("child").alias("root"), "child", "parent", "direct", "ultimate")
-    as_parent = join_hot(edges, roots.withColumnRenamed("root", "parent"), "parent").select(F.col("parent").alias("root"), "child", "parent", "direct", "ultimate")
+    as_parent = join_hot(edges, roots.withColumnRenamed("root", "parent"), "parent", rows=n).select(F.col("parent").alias("root"), "child", "parent", "direct", "ultimate")
     return as_child.unionByName(as_parent).distinct()
 
 

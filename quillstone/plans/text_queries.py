@@ -260,7 +260,7 @@ SELECT doc_id, regexp_extract(m, '(\\d\\.\\d{{2}})', 1) AS item, e AS "start", z
     "financing_only": f"WITH t AS (SELECT doc_id, lower(left({_A}, 2200)) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, regexp_matches(h, 'credit agreement|senior notes|underwriting agreement|partial financing of the proposed acquisition|term loan|credit facility') AND NOT regexp_matches(h, 'agreement and plan of merger|business combination agreement') AS financing_only FROM t",
     "html_text": f"""WITH u AS (SELECT doc_id, text, regexp_replace(text, '{T.UNSEEN_MARKUP}', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL),
 v AS (SELECT doc_id, {_undone("regexp_replace(regexp_replace(x, '" + T.LINE_MARKUP + "', chr(10), 'g'), '<[^>]+>', ' ', 'g')")} AS s, {_undone("regexp_replace(x, '<[^>]+>', ' ', 'g')")} AS o, {_undone("regexp_replace(regexp_replace(regexp_extract(text, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '" + T.UNSEEN_MARKUP + "', ' ', 'g'), '<[^>]+>', ' ', 'g')")} AS h FROM u)
-SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS text_md5, md5(trim(regexp_replace(o, '\\s+', ' ', 'g'), ' ')) AS visible_md5, nullif(trim(regexp_replace(h, '\\s+', ' ', 'g'), ' '), '') AS title FROM v""",
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')) AS text_md5, md5(trim(regexp_replace(o, '[\\s\\x0b]+', ' ', 'g'), ' ')) AS visible_md5, nullif(trim(regexp_replace(h, '[\\s\\x0b]+', ' ', 'g'), ' '), '') AS title FROM v""",
     "company_passages": f"""WITH t AS (SELECT DISTINCT doc_id, {_A} AS x, lower(trim(company)) AS n FROM documents JOIN study_companies USING (cik) WHERE text IS NOT NULL AND trim(company) <> ''),
 s AS (SELECT doc_id, n, [z FOR z IN string_split(regexp_replace(x, '{P.SENTENCE_END}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) IF trim(z, ' ') <> ''] AS s FROM t),
 h AS (SELECT doc_id, len(s) AS m, unnest([i FOR i IN range(1, len(s) + 1) IF contains(lower(s[i]), n)]) AS i FROM s),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,10 +49,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: ``spark.checkpoint.dir`` of the session; only where that is unset, a folder of this process's own."""
+    """The folder that every executor shares: ``spark.checkpoint.dir`` of the session. Only a session of one machine may do without and gets a folder of this process's own; any other raises."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at:
         return at
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="quillstone-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(own)

@@ -59,3 +59,16 @@ def test_registry_names_vote_by_themselves(spark, tmp_path):
     got = rows(text_queries.organization_vote(spark, d))
     assert [(r[1], r[2]) for r in got] == [("Alpha & Beta's Gamma S.A.", 3.25), ("Delta Works Ltd.", 2.0), ("Epsilon Zeta", 1.5)]
     assert rows(text_queries.alias_vote(spark, d)) == [(1, "ABG", "Alpha & Beta's Gamma S.A.")]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillstone import session
+
+    conf = SimpleNamespace(get=lambda k, default=None: default)
+    context = lambda master: SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None, master=master)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(SimpleNamespace(sparkContext=context(master), conf=conf))
+    assert session.shared_dir(SimpleNamespace(sparkContext=context("local[4]"), conf=conf))
