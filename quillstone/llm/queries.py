@@ -96,6 +96,18 @@ ok AS (SELECT * FROM l WHERE w <> '' AND w NOT IN ({_VALUES}) AND NOT regexp_mat
 m AS (SELECT g.dup_group, ok.* FROM (SELECT DISTINCT dup_group, candidate_id FROM candidate_groups) g JOIN ok USING (candidate_id)),
 s AS (SELECT *, count(*) OVER w AS n, min(rk) OVER w AS best, max(dy) OVER w AS latest, count(*) OVER (PARTITION BY dup_group, field_name, dy) AS same FROM m WINDOW w AS (PARTITION BY dup_group, field_name))
 SELECT dup_group, field_name, candidate_id FROM s WHERE n >= 2 AND dy = latest AND same = 1 AND rk = best""",
+    "p4_survivors": f"""
+WITH t AS (SELECT lower(regexp_replace(provider, '[^a-zA-Z]+', '', 'g')) AS p, min(trust_rank) AS rk FROM provider_trust GROUP BY 1),
+r AS (SELECT c.candidate_id, coalesce(t.rk, 2147483647) AS rk, coalesce({_DAY.format(c="last_update_date")}, DATE '0001-01-01') AS dy,
+  unnest(['legal_name', 'registration_id', 'entity_status', 'legal_form', 'entity_creation_date']) AS f, unnest([legal_name, registration_id, entity_status, legal_form, entity_creation_date]) AS v
+ FROM entity_candidates c LEFT JOIN t ON t.p = lower(regexp_replace(c.provider, '[^a-zA-Z]+', '', 'g'))),
+l AS (SELECT *, lower(regexp_replace(v, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS w FROM r),
+x AS (SELECT *, coalesce(w <> '' AND w NOT IN ({_VALUES}) AND NOT regexp_matches(w, '^({_SAME_DIGIT})$')
+  AND (f <> 'entity_creation_date' OR ({_DAY.format(c="v")} IS NOT NULL AND strftime({_DAY.format(c="v")}, '%Y-%m-%d') NOT IN ('9999-12-31', '9999-01-01', '0001-01-01', '1900-01-01', '1970-01-01'))), false) AS ok FROM l),
+m AS (SELECT g.dup_group, x.*, count(*) FILTER (ok) OVER (PARTITION BY g.dup_group, x.candidate_id) AS full_ FROM (SELECT DISTINCT dup_group, candidate_id FROM candidate_groups WHERE dup_group IS NOT NULL) g JOIN x USING (candidate_id)),
+b AS (SELECT dup_group, candidate_id AS base_candidate_id, count(*) OVER (PARTITION BY dup_group) AS n_records FROM m WHERE f = 'legal_name' QUALIFY row_number() OVER (PARTITION BY dup_group ORDER BY full_ DESC, rk, dy DESC, candidate_id) = 1),
+k AS (SELECT dup_group, f, v, candidate_id AS c FROM m WHERE ok QUALIFY row_number() OVER (PARTITION BY dup_group, f ORDER BY rk, dy DESC, full_ DESC, candidate_id) = 1)
+SELECT b.dup_group, base_candidate_id, n_records, {", ".join(f"max(CASE WHEN f = '{x}' THEN v END) AS {x}, max(CASE WHEN f = '{x}' THEN c END) AS {x}_from" for x in survivor.FIELDS)} FROM b LEFT JOIN k ON k.dup_group = b.dup_group GROUP BY 1, 2, 3""",
     "p7_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(candidate_a.node_id)) AS a, lower(trim(candidate_b.node_id)) AS b FROM eval_packets
   WHERE upper(trim(deterministic_evaluation.decision)) = 'ACCEPT' AND trim(candidate_a.node_id) <> '' AND trim(candidate_b.node_id) <> '' AND lower(trim(candidate_a.node_id)) <> lower(trim(candidate_b.node_id))),

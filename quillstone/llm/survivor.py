@@ -1,8 +1,9 @@
 """One surviving record for each group of duplicates, field by field.
 
 Records are ranked by windows: a whole record by completeness, trust and recency; a field's value by trust, recency and
-completeness; the candidate id decides ties. A group may hold a third of all rows: ranks are first taken within
-``SALTS`` parts of a group and field, then among the few rows that each part keeps.
+completeness; the candidate id decides ties. A group may hold a third of all rows: the records of a group and field that were
+updated on one day are first reduced to the best of them, before they are exchanged, so that a window ranks as many rows as there
+are days, however many records there are.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from quillstone.functions.dates import calendar_day
 
 FIELDS = ("legal_name", "registration_id", "entity_status", "legal_form", "entity_creation_date")
-SALTS = 16
 UNTRUSTED = 2**31 - 1
 # Words that stand in for a missing value, letters only
 STAND_INS = ("unknown", "na", "none", "null", "nil", "tbd", "tba", "tbc", "notavailable", "notapplicable", "notknown", "notprovided", "notspecified", "unspecified", "undefined", "missing", "pending", "empty", "blank")
@@ -53,18 +53,14 @@ def ranked_members(groups: DataFrame, records: DataFrame, trust: DataFrame) -> D
     return groups.select("dup_group", "candidate_id").where("dup_group is not null and candidate_id is not null").distinct().join(named, "candidate_id")
 
 
-def _winners(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row a key in ``order``, with n (rows) and next_day (the latest day of the others)."""
-    best, late = (lambda *k: Window.partitionBy(*k).orderBy(*order)), (lambda *k: Window.partitionBy(*k).orderBy(F.desc("day"), "candidate_id"))
-    part = rows.withColumn("_salt", F.pmod(F.xxhash64("candidate_id"), F.lit(SALTS)).cast("int"))
-    k = [*keys, "_salt"]
-    part = part.withColumns({"_best": F.row_number().over(best(*k)), "_late": F.row_number().over(late(*k)), "_n": F.count(F.lit(1)).over(Window.partitionBy(*k))})
-    few = part.where("_best = 1 or _late <= 2").withColumn("_n", F.when(F.col("_best") == 1, F.col("_n")).otherwise(0))
+def _winners(rows: DataFrame, keys: list[str], order: list[tuple[str, int]]) -> DataFrame:
+    """The first row a key in ``order`` (numeric columns, 1 rising or -1 falling), with n (rows) and latest: its day is later than that of all others."""
+    rank = F.struct(*((F.col(c).cast("bigint") * sign).alias(f"_o{i}") for i, (c, sign) in enumerate(order)), *(c for c in rows.columns if c not in keys))
+    daily = rows.groupBy(*keys, "day").agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*keys)
-    few = few.withColumns({"_best": F.row_number().over(best(*keys)), "_late": F.row_number().over(late(*keys)), "n": F.sum("_n").over(group)})
-    days = few.withColumns({"_first": F.max(F.when(F.col("_late") == 1, F.struct("candidate_id", "day"))).over(group), "_second": F.max(F.when(F.col("_late") == 2, F.col("day"))).over(group)})
-    top = days.where("_best = 1").withColumn("next_day", F.when(F.col("_first.candidate_id") == F.col("candidate_id"), F.col("_second")).otherwise(F.col("_first.day")))
-    return top.select(*rows.columns, "n", "next_day")
+    few = daily.withColumns({"_place": F.row_number().over(group.orderBy("_best")), "n": F.sum("_n").over(group), "_last": F.max(F.struct(F.col("day").alias("d"), F.col("_n").alias("k"))).over(group)})
+    top = few.where("_place = 1").withColumn("latest", (F.col("day") == F.col("_last.d")) & (F.col("_last.k") == 1))
+    return top.select(*keys, *(F.col(f"_best.{c}") for c in rows.columns if c not in keys), "n", "latest")
 
 
 def field_survivors(members: DataFrame) -> DataFrame:
@@ -74,8 +70,8 @@ def field_survivors(members: DataFrame) -> DataFrame:
     trust first, so that no record of the group with a value of the field is trusted more.
     """
     long = members.select("dup_group", "candidate_id", "day", "trust_rank", "completeness", F.explode(F.create_map(*(x for f in FIELDS for x in (F.lit(f), F.col(f))))).alias("field_name", "value")).where("value is not null")
-    out = _winners(long, ["dup_group", "field_name"], [F.asc("trust_rank"), F.desc("day"), F.desc("completeness"), F.asc("candidate_id")])
-    return out.select("dup_group", "field_name", "value", "candidate_id", "trust_rank", "n", (F.col("day") > F.col("next_day")).alias("latest"))
+    out = _winners(long, ["dup_group", "field_name"], [("trust_rank", 1), ("day", -1), ("completeness", -1), ("candidate_id", 1)])
+    return out.select("dup_group", "field_name", "value", "candidate_id", "trust_rank", "n", "latest")
 
 
 def survivors(members: DataFrame) -> DataFrame:
@@ -83,7 +79,7 @@ def survivors(members: DataFrame) -> DataFrame:
 
     A group without any value keeps its base record and null fields.
     """
-    base = _winners(members, ["dup_group"], [F.desc("completeness"), F.asc("trust_rank"), F.desc("day"), F.asc("candidate_id")]).select("dup_group", F.col("candidate_id").alias("base_candidate_id"), F.col("n").alias("n_records"))
+    base = _winners(members, ["dup_group"], [("completeness", -1), ("trust_rank", 1), ("day", -1), ("candidate_id", 1)]).select("dup_group", F.col("candidate_id").alias("base_candidate_id"), F.col("n").alias("n_records"))
     kept = field_survivors(members).groupBy("dup_group").agg(*(F.max(F.when(F.col("field_name") == f, F.col(c))).alias(n) for f in FIELDS for c, n in (("value", f), ("candidate_id", f"{f}_from"))))
     return base.join(kept, "dup_group", "left")
 
