@@ -1,12 +1,13 @@
 """Registry files: level-1 records, level-2 relationships, summaries of the registry's interface.
 
 Leaves of the JSON are wrapped as ``{"$": value}``. JSON lines are read in splits of any size; a file that is one large JSON
-document or a zip of one is taken record by record in a single task, as neither can be split: convert it once.
+document or a zip of one is streamed record by record in a single task, as neither can be split: convert it once.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -33,60 +34,82 @@ def repaired(text: Column) -> Column:
     return F.replace(text, F.lit("},."), F.lit("},"))
 
 
+_TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*"|[{}\[]|"', re.S)
+
+
 def json_records(data: bytes | io.BufferedIOBase, chunk: int = 1 << 20) -> Iterator[str]:
-    """Objects one level below the outermost array or object's array, as text, by counting braces outside strings."""
+    """Objects one level below the outermost array or object's array, as text: braces are counted from token to token, strings are skipped whole.
+
+    No more than a record and a chunk is held; a string that a chunk cuts waits for the next one.
+    """
     stream = io.BytesIO(data) if isinstance(data, bytes) else data
-    depth, inside, escaped, held, base = 0, False, False, bytearray(), None
+    depth, base, rest, held, inside = 0, None, b"", [], False
     while block := stream.read(chunk):
-        for c in block:
-            ch = bytes((c,))
-            if held:
-                held += ch
-            if inside:
-                inside = not (ch == b'"' and not escaped)
-                escaped = ch == b"\\" and not escaped
-                continue
-            if ch == b'"':
-                inside = True
-            elif ch == b"[" and base is None:
-                base = depth  # records are the objects of the first array
-            elif ch == b"{":
+        block = rest + block
+        start, upto = 0, len(block)
+        for m in _TOKEN.finditer(block):
+            token = m.group()
+            if token == b'"':  # opens and doesn't end here
+                upto = m.start()
+                break
+            if token == b"[":
+                base = depth if base is None else base  # records are the objects of the first array
+            elif token == b"{":
                 if base is not None and depth == base:
-                    held = bytearray(ch)
+                    start, inside = m.start(), True
                 depth += 1
-            elif ch == b"}":
+            elif token == b"}":
                 depth -= 1
-                if held and depth == base:
-                    yield held.decode("utf-8")
-                    held = bytearray()
+                if inside and depth == base:
+                    yield (b"".join(held) + block[start : m.end()]).decode("utf-8")
+                    held, inside = [], False
+        if inside:
+            held.append(block[start:upto])
+        rest = block[upto:]
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, position, record) of files that each are one JSON document, or a zip of such; one task a file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """(path, position, record) of files that each are one JSON document, or a zip of such; one task a file, of any size.
+
+    Only the files' names pass through Spark; the task opens its file itself and reads it as a stream, so that neither the size
+    limit of a value nor the memory bounds it.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path").repartition("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if content[:4] == b"PK\x03\x04":
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    streams = [archive.open(n) for n in archive.namelist() if n.endswith(".json")]
-                else:
-                    streams = [io.BytesIO(content)]
+            for name in b.column(0).to_pylist():
                 out: list[str] = []
                 start = 0
-                for s in streams:
-                    for record in json_records(s):
-                        out.append(record)
-                        if len(out) >= 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array(range(start, start + len(out)), pa.int64()), pa.array(out)], ["path", "position", "record"])
-                            start, out = start + len(out), []
+                for record in _streamed(name):
+                    out.append(record)
+                    if len(out) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array(range(start, start + len(out)), pa.int64()), pa.array(out)], ["path", "position", "record"])
+                        start, out = start + len(out), []
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array(range(start, start + len(out)), pa.int64()), pa.array(out)], ["path", "position", "record"])
 
     return files.mapInArrow(run, "path string, position bigint, record string")
 
 
+def _streamed(path: str) -> Iterator[str]:
+    """Records of a file on any file system that the name tells, without holding the file."""
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    with files.open_input_file(at) as f:
+        if f.read(4) == b"PK\x03\x04":
+            f.seek(0)
+            with zipfile.ZipFile(f) as archive:
+                for n in archive.namelist():
+                    if n.endswith(".json"):
+                        with archive.open(n) as s:
+                            yield from json_records(s)
+            return
+        f.seek(0)
+        yield from json_records(f)
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, position, record) of JSON lines; positions grow along the file."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("position"), F.rtrim(F.col("value")).alias("record"))
@@ -139,3 +162,29 @@ def summary_links(records: DataFrame) -> DataFrame:
 def containing(rows: DataFrame, column: str, needles: list[str]) -> DataFrame:
     """Rows whose text holds one of the needles in any letter case."""
     return rows.where(F.exists(F.array(*(F.lit(n.lower()) for n in needles)), lambda n: F.contains(F.lower(F.col(column)), n)))
+
+
+_NAMES = "ARRAY<STRUCT<`$`: STRING, `@type`: STRING>>"
+RICH = f"""STRUCT<LEI: {_LEAF}, Entity: STRUCT<OtherEntityNames: STRUCT<OtherEntityName: {_NAMES}>, TransliteratedOtherEntityNames: STRUCT<TransliteratedOtherEntityName: {_NAMES}>,
+ SuccessorEntity: ARRAY<STRUCT<SuccessorLEI: {_LEAF}, SuccessorEntityName: {_LEAF}>>,
+ LegalEntityEvents: STRUCT<LegalEntityEvent: ARRAY<STRUCT<LegalEntityEventType: {_LEAF}, LegalEntityEventEffectiveDate: {_LEAF}, LegalEntityEventRecordedDate: {_LEAF}, `@event_status`: STRING, AffectedFields: STRUCT<AffectedField: ARRAY<{_LEAF}>>>>>>,
+ Extension: STRUCT<ConformityFlag: {_LEAF}>>"""
+
+
+def level1_rich(records: DataFrame) -> DataFrame:
+    """(position, lei, other_names, transliterated_names, successor_leis, successor_names, events, conformity): what a level-1 record tells besides its flat row.
+
+    A list of one that stands without its array counts as such. Names are each once, in order; empty ones are left out.
+    """
+    text = repaired(F.col("record"))
+    for name in ("OtherEntityName", "TransliteratedOtherEntityName", "SuccessorEntity", "LegalEntityEvent", "AffectedField"):
+        text = F.regexp_replace(text, rf'"{name}"\s*:\s*(\{{(?:[^{{}}]|\{{(?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\}})*\}})', f'"{name}": [$1]')
+    r = records.withColumn("r", F.from_json(text, RICH))
+    said = lambda path, f: F.array_distinct(F.filter(F.transform(F.coalesce(F.col(path), F.array()), lambda x: F.trim(f(x))), lambda v: v != ""))
+    e = "r.Entity"
+    event = lambda x: F.struct(F.trim(x["LegalEntityEventType"]["$"]).alias("type"), F.trim(x["LegalEntityEventEffectiveDate"]["$"]).alias("effective"), F.trim(x["LegalEntityEventRecordedDate"]["$"]).alias("recorded"), x["@event_status"].alias("status"), F.transform(x["AffectedFields"]["AffectedField"], lambda y: F.trim(y["$"])).alias("fields"))
+    return r.select(
+        "position", leaf("r.LEI").alias("lei"), said(f"{e}.OtherEntityNames.OtherEntityName", lambda x: x["$"]).alias("other_names"), said(f"{e}.TransliteratedOtherEntityNames.TransliteratedOtherEntityName", lambda x: x["$"]).alias("transliterated_names"),
+        said(f"{e}.SuccessorEntity", lambda x: x["SuccessorLEI"]["$"]).alias("successor_leis"), said(f"{e}.SuccessorEntity", lambda x: x["SuccessorEntityName"]["$"]).alias("successor_names"),
+        F.coalesce(F.transform(f"{e}.LegalEntityEvents.LegalEntityEvent", event), F.array()).alias("events"), leaf("r.Extension.ConformityFlag").alias("conformity"),
+    ).where("lei is not null")
