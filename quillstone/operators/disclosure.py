@@ -44,3 +44,14 @@ def changes(rows: DataFrame) -> DataFrame:
     came = back.join(snap.select("cik", "identity", F.col("day").alias("previous_day")), ["cik", "identity", "previous_day"], "left_anti").join(first, ["cik", "identity"])
     came = came.select("cik", "identity", "previous_day", F.col("day").alias("current_day"), F.when(F.col("first_day") < F.col("previous_day"), "REAPPEARED_IN_DISCLOSURE").otherwise("APPEARED_IN_DISCLOSURE").alias("change_type"))
     return gone.unionByName(renamed).unionByName(moved).unionByName(came)
+
+
+def missed_days(rows: DataFrame) -> DataFrame:
+    """(cik, identity, day): filing days of the issuer between a name's first and last where the name is absent. Absence proves nothing.
+
+    An issuer's filing days are one array, as long as its filings; names meet that, not one another.
+    """
+    days = rows.groupBy("cik").agg(F.array_sort(F.collect_set("day")).alias("days"))
+    own = rows.groupBy("cik", "identity").agg(F.collect_set("day").alias("own"))
+    between = F.filter(F.array_except("days", "own"), lambda d: (d > F.array_min("own")) & (d < F.array_max("own")))
+    return own.join(days, "cik").select("cik", "identity", F.explode(between).alias("day"))

@@ -141,3 +141,36 @@ def compare_snapshots(before: DataFrame, after: DataFrame, key: str, value: str)
     both = a.join(b, key, "full_outer")
     movement = F.when(F.col("_a").isNull(), "ADDED").when(F.col("_b").isNull(), "REMOVED").when(F.col("value_before").eqNullSafe(F.col("value_after")), "SAME").otherwise("CHANGED")
     return both.select(key, "value_before", "value_after", movement.alias("movement"))
+
+
+def top_names(found: DataFrame, most: int = 50) -> DataFrame:
+    """(query_id, lei, place): of each query's names the first ``most``, active ones before others, then by name and LEI. Parts of a query are cut first, as each can hold all of the first."""
+    order = [F.when(F.col("entity_status") == "ACTIVE", 0).otherwise(1), F.coalesce("legal_name", F.lit("")), F.col("lei")]
+    return _first_places(found, order, most).select("query_id", "lei", "place")
+
+
+def top_candidates(scores: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, lei, score, place): of each query's candidates for the root the best ``most``."""
+    order = [F.desc("score"), F.desc("coverage"), F.desc("ultimate_votes"), F.desc("terminal_votes"), F.coalesce("legal_name", F.lit("")), F.col("lei")]
+    return _first_places(scores, order, most).select("query_id", "lei", "score", "place")
+
+
+def _first_places(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    part = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", F.pmod(F.xxhash64("lei"), F.lit(PARTS))).orderBy(*order))).where(F.col("place") <= most)
+    return part.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= most)
+
+
+def named_ends(edges: DataFrame, known: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(child, parent, child_name, parent_name, child_source, parent_source): a name given by hand counts before the registry's, and that before the LEI itself.
+
+    ``overrides``: (lei, name); of several names for one LEI the smallest counts.
+    """
+    given = overrides.where("lei is not null and name is not null").groupBy("lei").agg(F.min("name").alias("given"))
+    both = known.select("lei", "legal_name").join(given, "lei", "full_outer")
+    out = edges
+    for end in ("child", "parent"):
+        side = both.select(F.col("lei").alias(end), F.col("legal_name").alias(f"_{end}n"), F.col("given").alias(f"_{end}g"))
+        out = join_hot(out, side, end, "left") if end == "parent" else out.join(side, end, "left")
+    name = lambda e: F.coalesce(f"_{e}g", f"_{e}n", e).alias(f"{e}_name")
+    source = lambda e: F.when(F.col(f"_{e}g").isNotNull(), "OVERRIDE").when(F.col(f"_{e}n").isNotNull(), "INDEX").otherwise("UNRESOLVED").alias(f"{e}_source")
+    return out.select("child", "parent", name("child"), name("parent"), source("child"), source("parent"))

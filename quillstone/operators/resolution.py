@@ -154,3 +154,21 @@ def only_match(rows: DataFrame, known: DataFrame, key: str, value: str) -> DataF
     both = rows.join(per, key, "left")
     why = F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("unknown: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("ambiguous: "), F.col(key).cast("string"))))
     return both.select(*rows.columns, F.coalesce(why.cast(known.schema[value].dataType), F.col(value)).alias(value))
+
+
+def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(host, domain, suffix) by a table of public suffixes (suffix): the longest that ends a host, its label before it included.
+
+    ``*.x`` stands for any one label before x, ``!a.x`` takes a.x out of it. A host without a known suffix counts its last label
+    as one; a host that is a suffix itself is its own domain. Private suffixes are rows like all others.
+    """
+    labels = F.split("host", r"\.")
+    tails = hosts.where("host is not null").distinct().select("host", F.size(labels).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".").alias("tail")))).alias("t")).select("host", "n", "t.*")
+    rules = suffixes.select(F.lower(F.trim("suffix")).alias("rule")).where("rule <> ''").distinct()
+    wild = F.concat(F.lit("*."), F.regexp_replace("tail", r"^[^.]+\.", ""))
+    asked = tails.select("host", "n", F.explode(F.array(F.struct(F.col("tail").alias("rule"), F.col("k")), F.struct(F.when(F.contains("tail", F.lit(".")), wild).alias("rule"), F.col("k")), F.struct(F.concat(F.lit("!"), "tail").alias("rule"), (F.col("k") - 1).alias("k")))).alias("x")).select("host", "n", "x.*")
+    best = asked.join(rules, "rule").groupBy("host").agg(F.max(F.when(F.startswith("rule", F.lit("!")), F.col("k"))).alias("out"), F.max("k").alias("k"))
+    length = F.coalesce("out", "k", F.lit(1))
+    parts = hosts.where("host is not null").distinct().join(best, "host", "left").withColumn("k", length).withColumn("l", labels)
+    tail = lambda n: F.array_join(F.slice("l", F.greatest(F.size("l") - n + 1, F.lit(1)), n), ".")
+    return parts.select("host", tail(F.col("k") + 1).alias("domain"), tail(F.col("k")).alias("suffix"))

@@ -126,6 +126,10 @@ def disclosure_change_counts(spark: SparkSession, d: str) -> DataFrame:
     return D.changes(_appearances(spark, d)).cube("cik", "change_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def disclosure_missed(spark: SparkSession, d: str) -> DataFrame:
+    return D.missed_days(_appearances(spark, d))
+
+
 def _registrants(spark: SparkSession, d: str) -> DataFrame:
     """Registration data's records against the registry."""
     c = table(spark, d, "entity_candidates", "candidate_id", "provider", "legal_name", "other_names", "legal_address", "jurisdiction").where("lower(provider) = 'rdap'")
@@ -142,7 +146,7 @@ def registrant_evidence(spark: SparkSession, d: str) -> DataFrame:
     return N.attribution_evidence(_registrants(spark, d)).groupBy("evidence_type", "supports").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (registrant_matches, registrant_evidence, pair_signals, pair_decision, decision_counts, evidence_bridge, evidence_unique, evidence_policy, shared_domain_conflict, evidence_gaps, temporal_nodes, temporal_edges, agreement_closure, temporal_asof_nodes, temporal_asof_edges, ledger_as_of, disclosure_timeline, disclosure_changes, disclosure_change_counts)}
+QUERIES = {f.__name__: f for f in (registrant_matches, registrant_evidence, pair_signals, pair_decision, decision_counts, evidence_bridge, evidence_unique, evidence_policy, shared_domain_conflict, evidence_gaps, temporal_nodes, temporal_edges, agreement_closure, temporal_asof_nodes, temporal_asof_edges, ledger_as_of, disclosure_timeline, disclosure_changes, disclosure_change_counts, disclosure_missed)}
 
 _ADDR = "array_to_string([CASE w WHEN 'street' THEN 'st' WHEN 'road' THEN 'rd' WHEN 'avenue' THEN 'ave' WHEN 'boulevard' THEN 'blvd' WHEN 'suite' THEN 'ste' WHEN 'floor' THEN 'fl' ELSE w END FOR w IN string_split(trim(regexp_replace(lower(coalesce(concat_ws(' ', array_to_string(legal_address.lines, ' '), legal_address.city), '')), '[^a-z0-9]+', ' ', 'g')), ' ')], ' ')"
 _SIGNALS = f"""WITH r AS (SELECT candidate_id, {sql_fold('legal_name')} AS name, {sql_place('jurisdiction')} AS place,
@@ -209,6 +213,7 @@ SELECT su.entity, su.domain, rq.capability, priority, CASE WHEN closed IS NULL T
     "temporal_asof_edges": _EVENTS + f" SELECT edge_type, edge_class, count(*) AS n FROM ed WHERE CASE WHEN edge_class = 'STATE' THEN (day IS NULL OR day <= '{AS_OF}') AND (end_day IS NULL OR end_day > '{AS_OF}') ELSE day <= '{AS_OF}' END GROUP BY 1, 2",
     "disclosure_timeline": _APP + """, pr AS (SELECT cik, identity, arg_max(name, (day, accession, name)) AS canonical_name, min(day) AS first_observed, max(day) AS last_observed, count(*) AS n_observed, count(DISTINCT day) AS n_dates FROM ap GROUP BY 1, 2)
 SELECT pr.*, b.k - a.k + 1 - n_dates AS n_missed, b.k = b.n AS current FROM pr JOIN dy a ON a.cik = pr.cik AND a.day = first_observed JOIN dy b ON b.cik = pr.cik AND b.day = last_observed""",
+    "disclosure_missed": _APP + """, iv AS (SELECT cik, identity, min(day) AS a, max(day) AS b FROM ap GROUP BY 1, 2) SELECT iv.cik, identity, dy.day FROM iv JOIN dy ON dy.cik = iv.cik AND dy.day > a AND dy.day < b WHERE NOT EXISTS (SELECT 1 FROM ap WHERE ap.cik = iv.cik AND ap.identity = iv.identity AND ap.day = dy.day)""",
     "disclosure_changes": _CHG + " SELECT * FROM ch",
     "disclosure_change_counts": _CHG + " SELECT cik, change_type, count(*) AS n FROM ch GROUP BY CUBE (cik, change_type)",
 }

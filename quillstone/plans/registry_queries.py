@@ -137,7 +137,26 @@ def filings_before_document(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.sum("n").alias("n_filings"))
 
 
-QUERIES = {f.__name__: f for f in (upsert_last_wins, relationship_upsert, relationship_load_counts, seed_phrase_match, upward_walk, root_vote_scores, root_resolution, or_endpoint_edges, relation_direction, company_expansion, endpoint_lookup, both_ends_known, not_in_groups, review_candidates_blocked, snapshot_movement, state_as_of, filings_before_document)}
+def seed_top(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty names of each query, a report."""
+    return R.top_names(R.seeds(_known(spark, d), _queries(spark, d)))
+
+
+def root_candidates_top(spark: SparkSession, d: str) -> DataFrame:
+    """The best twenty candidates for each query's root, a report."""
+    scratch = Scratch(spark)
+    known, _, walks = _walks(spark, d, scratch)
+    out = R.top_candidates(R.root_scores(scratch.write(walks), known, _queries(spark, d)))
+    return out.select("query_id", "lei", F.round("score", 6).alias("score"), "place")
+
+
+def endpoint_override(spark: SparkSession, d: str) -> DataFrame:
+    """Names of both ends of every link, those of the study before the registry's."""
+    given = table(spark, d, "study_companies", "lei", "company").select(lei("lei").alias("lei"), F.col("company").alias("name"))
+    return R.named_ends(_edges(spark, d), _known(spark, d), given)
+
+
+QUERIES = {f.__name__: f for f in (upsert_last_wins, relationship_upsert, relationship_load_counts, seed_phrase_match, upward_walk, root_vote_scores, root_resolution, or_endpoint_edges, relation_direction, company_expansion, endpoint_lookup, both_ends_known, not_in_groups, review_candidates_blocked, snapshot_movement, state_as_of, filings_before_document, seed_top, root_candidates_top, endpoint_override)}
 
 _KNOWN = f"""known AS (SELECT lei, legal_name, jurisdiction, entity_status, {sql_fold('legal_name')} AS name FROM (
  SELECT upper(trim(lei)) AS lei, trim(legal_name) AS legal_name, trim(legal_jurisdiction) AS jurisdiction, trim(entity_status) AS entity_status FROM lei_entities WHERE trim(lei) <> ''
@@ -180,6 +199,11 @@ z AS (SELECT rk.*, score - coalesce(second, 0.0) AS margin, coalesce(matched >=
  coalesce(n_exact = 1 AND lei = exact_lei AND (second IS NULL OR score - second >= 8), false) AS single, coalesce(n = 1 AND likeness >= 0.9 AND entity_status = 'ACTIVE', false) AS alone FROM rk LEFT JOIN ex USING (query_id) WHERE place = 1)
 SELECT query_id, lei, round(score, 6) AS score, round(margin, 6) AS margin, CASE WHEN strong OR single OR alone THEN 'AUTO_RESOLVED' ELSE 'REVIEW_REQUIRED' END AS status,
  CASE WHEN strong THEN 'HIGH' WHEN single OR alone OR coverage >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM z""",
+    "seed_top": f"WITH {_KNOWN} {_SEEDS.rstrip(',')} SELECT query_id, lei, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN entity_status = 'ACTIVE' THEN 0 ELSE 1 END, coalesce(legal_name, ''), lei) AS place FROM seeds) WHERE place <= 50",
+    "root_candidates_top": f"WITH RECURSIVE {_KNOWN} {_SCORES} SELECT query_id, lei, round(score, 6) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coverage DESC, ultimate_votes DESC, terminal_votes DESC, coalesce(legal_name, ''), lei) AS place FROM sc) WHERE place <= 20",
+    "endpoint_override": f"""WITH {_KNOWN} {_EDGES}, g AS (SELECT upper(trim(lei)) AS lei, min(company) AS name FROM study_companies WHERE company IS NOT NULL GROUP BY 1)
+SELECT child, parent, coalesce(g1.name, a.legal_name, child) AS child_name, coalesce(g2.name, b.legal_name, parent) AS parent_name, CASE WHEN g1.name IS NOT NULL THEN 'OVERRIDE' WHEN a.legal_name IS NOT NULL THEN 'INDEX' ELSE 'UNRESOLVED' END AS child_source, CASE WHEN g2.name IS NOT NULL THEN 'OVERRIDE' WHEN b.legal_name IS NOT NULL THEN 'INDEX' ELSE 'UNRESOLVED' END AS parent_source
+FROM edges LEFT JOIN known a ON a.lei = child LEFT JOIN known b ON b.lei = parent LEFT JOIN g g1 ON g1.lei = child LEFT JOIN g g2 ON g2.lei = parent""",
     "or_endpoint_edges": f"WITH {_TOUCH} SELECT * FROM t",
     "relation_direction": f"WITH {_TOUCH} SELECT root, {_RELATION} AS relation, count(*) AS n FROM t GROUP BY 1, 2",
     "company_expansion": f"""WITH {_KNOWN} {_TOUCH}, x AS (SELECT root, CASE WHEN child = root THEN parent ELSE child END AS lei, string_agg(DISTINCT {_RELATION}, ',' ORDER BY {_RELATION}) AS relations FROM t GROUP BY 1, 2)

@@ -119,3 +119,17 @@ def test_graph_over_time(spark):
     assert rows(G.find_nodes(nodes, q)) == [(1, "a"), (3, "c"), (6, "c")]
     act = G.activity(spark.createDataFrame([("a", "2001"), ("a", "2005"), ("b", None)], "entity_key string, day string"))
     assert rows(act) == [("a", "2001", "2005"), ("b", None, None)] and rows(G.active_as_of(act, "2005").select("entity_key")) == [("b",)] and G.active_as_of(act, "2003").count() == 2
+
+
+def test_registrable_domains_by_a_table_of_suffixes(spark):
+    suffixes = spark.createDataFrame([(x,) for x in ("com", "uk", "co.uk", "*.ck", "!www.ck", "github.io", "io")], "suffix string")
+    want = {"a.b.example.co.uk": "example.co.uk", "example.com": "example.com", "com": "com", "x.y.foo.ck": "y.foo.ck", "a.www.ck": "www.ck", "www.ck": "www.ck", "me.github.io": "me.github.io", "a.me.github.io": "me.github.io", "a.b.unknown": "b.unknown", "localhost": "localhost"}
+    got = {r["host"]: r["domain"] for r in R.registrable(spark.createDataFrame([(h,) for h in [*want, None, "com"]], "host string"), suffixes).collect()}
+    assert got == want
+
+
+def test_hosts_of_other_scripts(spark):
+    from quillstone.functions import text as T
+
+    df = spark.createDataFrame([("https://Bücher.example/x",), ("www.Example.com",), ("http://\u00ad..",), (None,)], "u string")
+    assert [r[0] for r in df.select(T.idna_host(F.col("u"))).collect()] == ["xn--bcher-kva.example", "www.example.com", None, None]
