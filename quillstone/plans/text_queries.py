@@ -61,7 +61,12 @@ def financing_only(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    """Every text as a page shows it, whatever its source."""
+    """The pages of official sites as they show their text; ``markup_text`` reads the texts of all sources."""
+    return table(spark, d, "documents", "doc_id", "text", "source").where("text is not null and source = 'official_site'").select("doc_id", F.md5(T.strip_html(F.col("text"))).alias("text_md5"))
+
+
+def markup_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as a page shows it, whatever its source, in lines and in one line, and its title."""
     return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.md5(T.strip_html(F.col("text"))).alias("text_md5"), F.md5(T.visible_text(F.col("text"))).alias("visible_md5"), T.html_title(F.col("text")).alias("title"))
 
 
@@ -213,7 +218,7 @@ def coverage_pivot(spark: SparkSession, d: str) -> DataFrame:
     return both.select("cik", *(F.coalesce(F.col(f"`{f}`"), F.lit(0)).cast("bigint").alias("n_" + f.lower().replace("-", "")) for f in forms))
 
 
-QUERIES = {f.__name__: f for f in (signal_hits, signal_windows_merged, region_split, section_slices, sentence_tense, explicit_changes, financing_only, html_text, company_passages, document_hosts, certificate_fields, gazetteer_hits, organization_mentions, organization_vote, alias_vote, deal_events, completed_events, ensemble_vote, alias_argmax, prf_macro_micro, wilson_recall, stage_counts, deepest_stage, pipeline_rollup, saturation_curve, filing_disposition, coverage_grouping_sets, coverage_pivot)}
+QUERIES = {f.__name__: f for f in (signal_hits, signal_windows_merged, region_split, section_slices, sentence_tense, explicit_changes, financing_only, html_text, markup_text, company_passages, document_hosts, certificate_fields, gazetteer_hits, organization_mentions, organization_vote, alias_vote, deal_events, completed_events, ensemble_vote, alias_argmax, prf_macro_micro, wilson_recall, stage_counts, deepest_stage, pipeline_rollup, saturation_curve, filing_disposition, coverage_grouping_sets, coverage_pivot)}
 
 _A = "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')"
 _HITS = "WITH t AS (SELECT doc_id, lower(" + _A + ") AS x FROM documents WHERE text IS NOT NULL), hs AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, length(x) AS n_chars, regexp_split_to_array(x, '{p}') AS pa, regexp_extract_all(x, '{p}', 0) AS ma FROM t" for k, p in R.SIGNALS.items()) + """),
@@ -244,6 +249,10 @@ def _undone(x: str) -> str:
     return x
 
 
+_PAGES = f"""WITH u AS (SELECT doc_id, source, text, regexp_replace(text, '{T.UNSEEN_MARKUP}', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, source, {_undone("regexp_replace(regexp_replace(x, '" + T.LINE_MARKUP + "', chr(10), 'g'), '<[^>]+>', ' ', 'g')")} AS s, {_undone("regexp_replace(x, '<[^>]+>', ' ', 'g')")} AS o, {_undone("regexp_replace(regexp_replace(regexp_extract(text, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '" + T.UNSEEN_MARKUP + "', ' ', 'g'), '<[^>]+>', ' ', 'g')")} AS h FROM u),
+pg AS (SELECT doc_id, source, md5(regexp_replace(regexp_replace(regexp_replace(s, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')) AS text_md5, md5(trim(regexp_replace(o, '[\\s\\x0b]+', ' ', 'g'), ' ')) AS visible_md5, nullif(trim(regexp_replace(h, '[\\s\\x0b]+', ' ', 'g'), ' '), '') AS title FROM v)"""
+
 ORACLE = {
     "signal_hits": _HITS + ' SELECT doc_id, kind, s AS "start", e AS "end" FROM h',
     "signal_windows_merged": _HITS + _windows(R.BEFORE, R.AFTER, R.GAP) + ' SELECT doc_id, s AS "start", e AS "end" FROM mw',
@@ -258,9 +267,8 @@ SELECT doc_id, regexp_extract(m, '(\\d\\.\\d{{2}})', 1) AS item, e AS "start", z
     "sentence_tense": f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array({_A}, '[.!?]+\\s+|[\\r\\n]+')) AS z FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, lower(trim(z, ' ')) AS f FROM s WHERE trim(z, ' ') <> '') SELECT {_TENSE} AS tense, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM q GROUP BY 1""",
     "explicit_changes": f"WITH t AS (SELECT doc_id, {_A} AS x FROM documents) SELECT doc_id, regexp_extract(x, '{_CONV}', 1) AS from_place, regexp_extract(x, '{_CONV}', 2) AS to_place, regexp_extract(x, '{_CONV}', 3) AS effective FROM t WHERE regexp_matches(x, '{_CONV}')",
     "financing_only": f"WITH t AS (SELECT doc_id, lower(left({_A}, 2200)) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, regexp_matches(h, 'credit agreement|senior notes|underwriting agreement|partial financing of the proposed acquisition|term loan|credit facility') AND NOT regexp_matches(h, 'agreement and plan of merger|business combination agreement') AS financing_only FROM t",
-    "html_text": f"""WITH u AS (SELECT doc_id, text, regexp_replace(text, '{T.UNSEEN_MARKUP}', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL),
-v AS (SELECT doc_id, {_undone("regexp_replace(regexp_replace(x, '" + T.LINE_MARKUP + "', chr(10), 'g'), '<[^>]+>', ' ', 'g')")} AS s, {_undone("regexp_replace(x, '<[^>]+>', ' ', 'g')")} AS o, {_undone("regexp_replace(regexp_replace(regexp_extract(text, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '" + T.UNSEEN_MARKUP + "', ' ', 'g'), '<[^>]+>', ' ', 'g')")} AS h FROM u)
-SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')) AS text_md5, md5(trim(regexp_replace(o, '[\\s\\x0b]+', ' ', 'g'), ' ')) AS visible_md5, nullif(trim(regexp_replace(h, '[\\s\\x0b]+', ' ', 'g'), ' '), '') AS title FROM v""",
+    "html_text": _PAGES + " SELECT doc_id, text_md5 FROM pg WHERE source = 'official_site'",
+    "markup_text": _PAGES + " SELECT doc_id, text_md5, visible_md5, title FROM pg",
     "company_passages": f"""WITH t AS (SELECT DISTINCT doc_id, {_A} AS x, lower(trim(company)) AS n FROM documents JOIN study_companies USING (cik) WHERE text IS NOT NULL AND trim(company) <> ''),
 s AS (SELECT doc_id, n, [z FOR z IN string_split(regexp_replace(x, '{P.SENTENCE_END}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) IF trim(z, ' ') <> ''] AS s FROM t),
 h AS (SELECT doc_id, len(s) AS m, unnest([i FOR i IN range(1, len(s) + 1) IF contains(lower(s[i]), n)]) AS i FROM s),
