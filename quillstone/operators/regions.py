@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import fold_name
+from quillstone.session import Scratch
 
 # Kinds of signals for mergers and acquisitions, on lower-case text
 SIGNALS = {
@@ -93,7 +94,7 @@ def tense(fragment: Column) -> Column:
     return F.when(has(PROPOSED), F.when(done, "COMPLETED").otherwise("PROPOSED")).when(has(COMPLETED), "COMPLETED").otherwise("UNKNOWN")
 
 
-MOST_KEYS = 4_000_000  # keys of eight bytes each that may be broadcast; more of them are met by an exchange
+MOST_KEYS = 500_000  # keys that may be broadcast, some 40 MB; more of them are met by an exchange
 
 
 def phrase_hits(docs: DataFrame, text: str, names: DataFrame) -> DataFrame:
@@ -103,12 +104,14 @@ def phrase_hits(docs: DataFrame, text: str, names: DataFrame) -> DataFrame:
     first two words, broadcast up to ``MOST_KEYS`` of them, so that only places where a name may begin are exchanged; names of
     any length are then compared with as many words of the text. Overlaps are settled within each run of overlapping hits.
     """
-    two = lambda at: F.xxhash64(F.array_join(F.slice("w", at, F.lit(2)), " "))
+    scratch = Scratch(docs.sparkSession)
+    two = lambda at: F.xxhash64(F.element_at("w", at), F.element_at("w", at + 1))
     keyed = names.withColumn("w", F.split("name", " ")).where(F.size("w") >= 2).select("name_id", "name", F.size("w").alias("n_words"), two(F.lit(1)).alias("two"))
     keys = keyed.select("two").distinct()
     if keys.count() <= MOST_KEYS:
         keys = F.broadcast(keys)
-    words = docs.where(F.col(text).isNotNull()).select("doc_id", F.split(fold_name(F.col(text)), " ").alias("w")).where(F.size("w") >= 2)
+    folded = scratch.write(docs.where(F.col(text).isNotNull()).select("doc_id", fold_name(F.col(text)).alias("t")).where("t is not null"))  # folding is dear and its result read twice
+    words = folded.select("doc_id", F.split("t", " ").alias("w")).where(F.size("w") >= 2)
     pairs = words.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), two)).alias("p", "two")).join(keys, "two", "left_semi")
     maybe = pairs.join(keyed, "two").select("doc_id", (F.col("p") + 1).alias("position"), "n_words", "name_id", "name")
     found = maybe.join(words, "doc_id").where(F.array_join(F.slice("w", F.col("position"), F.col("n_words")), " ") == F.col("name")).drop("w")
