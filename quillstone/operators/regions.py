@@ -110,8 +110,8 @@ def phrase_hits(docs: DataFrame, text: str, names: DataFrame) -> DataFrame:
     keys = keyed.select("two").distinct()
     if keys.count() <= MOST_KEYS:
         keys = F.broadcast(keys)
-    folded = scratch.write(docs.where(F.col(text).isNotNull()).select("doc_id", fold_name(F.col(text)).alias("t")).where("t is not null"))  # folding is dear and its result read twice
-    words = folded.select("doc_id", F.split("t", " ").alias("w")).where(F.size("w") >= 2)
+    folded = scratch.write(docs.where(F.col(text).isNotNull()).select("doc_id", fold_name(F.col(text)).alias("t")))  # folding is dear: once, not again in a filter or for the second reading
+    words = folded.where("t is not null").select("doc_id", F.split("t", " ").alias("w")).where(F.size("w") >= 2)
     pairs = words.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), two)).alias("p", "two")).join(keys, "two", "left_semi")
     maybe = pairs.join(keyed, "two").select("doc_id", (F.col("p") + 1).alias("position"), "n_words", "name_id", "name")
     found = maybe.join(words, "doc_id").where(F.array_join(F.slice("w", F.col("position"), F.col("n_words")), " ") == F.col("name")).drop("w")
