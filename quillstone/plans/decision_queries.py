@@ -130,20 +130,21 @@ def disclosure_missed(spark: SparkSession, d: str) -> DataFrame:
     return D.missed_days(_appearances(spark, d))
 
 
-def _registrants(spark: SparkSession, d: str) -> DataFrame:
-    """Registration data's records against the registry."""
+def _registrants(spark: SparkSession, d: str, least: dict[float | None, float] | None) -> DataFrame:
+    """Registration data's records against the registry, from a name score by country score on."""
     c = table(spark, d, "entity_candidates", "candidate_id", "provider", "legal_name", "other_names", "legal_address", "jurisdiction").where("lower(provider) = 'rdap'")
     left = c.select(F.col("candidate_id").cast("string").alias("resource"), F.array_compact(F.concat(F.array("legal_name"), F.coalesce("other_names", F.array().cast("array<string>")))).alias("names"), F.concat_ws(" ", F.array_join("legal_address.lines", " "), "legal_address.city").alias("address"), T.jurisdiction_code(F.col("jurisdiction")).alias("country"))
     known = R.entities(table(spark, d, "lei_entities", "record_id", "lei", "legal_name", "legal_jurisdiction", "entity_status"))
-    return N.match(left, known.select(F.col("lei").alias("entity_id"), F.array("legal_name").alias("names"), F.lit(None).cast("string").alias("address"), "jurisdiction"))
+    return N.match(left, known.select(F.col("lei").alias("entity_id"), F.array("legal_name").alias("names"), F.lit(None).cast("string").alias("address"), "jurisdiction"), least=least)
 
 
 def registrant_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _registrants(spark, d).where("decision <> 'reject'").select("resource", "entity_id", F.round("name_score", 6).alias("name_score"), "country_score", "decision")
+    return _registrants(spark, d, None).where("decision <> 'reject'").select("resource", "entity_id", F.round("name_score", 6).alias("name_score"), "country_score", "decision")
 
 
 def registrant_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return N.attribution_evidence(_registrants(spark, d)).groupBy("evidence_type", "supports").agg(F.count(F.lit(1)).alias("n"))
+    telling = _registrants(spark, d, {1.0: 0.9, 0.0: 0.65})  # all others are no evidence
+    return N.attribution_evidence(telling).groupBy("evidence_type", "supports").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (registrant_matches, registrant_evidence, pair_signals, pair_decision, decision_counts, evidence_bridge, evidence_unique, evidence_policy, shared_domain_conflict, evidence_gaps, temporal_nodes, temporal_edges, agreement_closure, temporal_asof_nodes, temporal_asof_edges, ledger_as_of, disclosure_timeline, disclosure_changes, disclosure_change_counts, disclosure_missed)}
