@@ -130,7 +130,7 @@ def disclosure_missed(spark: SparkSession, d: str) -> DataFrame:
     return D.missed_days(_appearances(spark, d))
 
 
-def _registrants(spark: SparkSession, d: str, least: dict[float | None, float] | None) -> DataFrame:
+def _registrants(spark: SparkSession, d: str, least: dict[float | None, float]) -> DataFrame:
     """Registration data's records against the registry, from a name score by country score on."""
     c = table(spark, d, "entity_candidates", "candidate_id", "provider", "legal_name", "other_names", "legal_address", "jurisdiction").where("lower(provider) = 'rdap'")
     left = c.select(F.col("candidate_id").cast("string").alias("resource"), F.array_compact(F.concat(F.array("legal_name"), F.coalesce("other_names", F.array().cast("array<string>")))).alias("names"), F.concat_ws(" ", F.array_join("legal_address.lines", " "), "legal_address.city").alias("address"), T.jurisdiction_code(F.col("jurisdiction")).alias("country"))
@@ -139,7 +139,8 @@ def _registrants(spark: SparkSession, d: str, least: dict[float | None, float] |
 
 
 def registrant_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _registrants(spark, d, None).where("decision <> 'reject'").select("resource", "entity_id", F.round("name_score", 6).alias("name_score"), "country_score", "decision")
+    kept = _registrants(spark, d, {1.0: 0.65, None: 0.65})  # all others are rejected
+    return kept.where("decision <> 'reject'").select("resource", "entity_id", F.round("name_score", 6).alias("name_score"), "country_score", "decision")
 
 
 def registrant_evidence(spark: SparkSession, d: str) -> DataFrame:

@@ -76,6 +76,13 @@ def test_evidence_exchanges_names_not_pairs(spark, tmp_path):
     assert {tuple(r) for r in df.collect()} == {("RDAP_ATTRIBUTION_CONFLICT", False, conflicts), ("RDAP_ATTRIBUTION_MATCH", True, matches)} and matches
 
 
+def test_matches_exchange_names_not_pairs(spark, tmp_path):
+    df = decision_queries.registrant_matches(spark, saved(spark, tmp_path, 60, 100))
+    assert exchanged(df) < 60 * 100 / 3
+    score = {(str(i), f"LEI{j:05}"): brute([f"word{i} real estate"], [f"wards{j} real estate"]) for i in range(60) for j in range(100) if i % 3 == 2 or i % 3 == j % 2}
+    assert {(r["resource"], r["entity_id"]): r["name_score"] for r in df.collect()} == {k: round(v, 6) for k, v in score.items() if v >= 0.65}
+
+
 def test_all_pairs_once_however_they_are_dealt(spark, monkeypatch):
     left, right = many(spark, 40, 60)
     whole = R.match(left, right)
