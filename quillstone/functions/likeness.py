@@ -6,18 +6,20 @@ from difflib import SequenceMatcher
 
 import numpy as np
 
-WIDTH = 64  # longest string in ASCII that is compared in numpy, one bit a character; others go to difflib
+WIDTH = 192  # longest string in ASCII that is compared in numpy (difflib treats those from 200 on otherwise); others go to difflib
+BITS = 64  # longest string whose places are bits of a number: one of two must be no longer
 CHUNK = 1024  # windows compared at once: their characters stay in a core's cache
 
 
 class Strings:
-    """Strings as rows of characters, filled up with 0; ``fits`` tells those in ASCII of at most ``WIDTH``."""
+    """Strings as rows of characters, filled up with 0; ``fits`` tells those in ASCII of at most ``WIDTH``, ``narrow`` of at most ``BITS``."""
 
     def __init__(self, texts: list[str]):
         self.texts = texts
         raw = [t.encode() if len(t) <= WIDTH and t.isascii() and "\0" not in t else None for t in texts]
         self.fits = np.array([r is not None for r in raw], dtype=bool)
         self.length = np.array([len(t) for t in texts], dtype=np.int64)
+        self.narrow = self.fits & (self.length <= BITS)
         self.chars = np.frombuffer(b"".join((r or b"").ljust(WIDTH, b"\0") for r in raw), dtype=np.uint8).reshape(-1, WIDTH)
         self._columns = self._places = None
 
@@ -30,17 +32,17 @@ class Strings:
 
     @property
     def places(self) -> np.ndarray:
-        """For each string and character a bit for each place where it stands."""
+        """For each narrow string and character a bit for each place where it stands."""
         if self._places is None:
             self._places = np.zeros((len(self.texts), 128), dtype=np.uint64)
-            for p in range(int(self.length[self.fits].max(initial=0))):
-                rows = np.flatnonzero(self.fits & (self.length > p))
+            for p in range(int(self.length[self.narrow].max(initial=0))):
+                rows = np.flatnonzero(self.narrow & (self.length > p))
                 self._places[rows, self.chars[rows, p]] |= np.uint64(1 << p)
         return self._places
 
 
 def most_common(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of ``a[i]`` and ``b[j]``, which fit: no fewer characters than likeness matches, as its blocks stand in the same order in both."""
+    """Length of the longest common subsequence of ``a[i]``, narrow, and ``b[j]``: no fewer characters than likeness matches, as its blocks stand in the same order in both."""
     table, left = a.places.reshape(-1), i * 128
     v = np.full(len(i), 2**64 - 1, dtype=np.uint64)
     for column in b.columns[: int(b.length[j].max(initial=0))]:
@@ -49,14 +51,14 @@ def most_common(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray) -> np.ndar
     return np.bitwise_count(~v).astype(np.int64)
 
 
-def _longest(a: Strings, b: Strings, i, j, alo, ahi, blo, bhi) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Last places in ``a`` and ``b``, from the windows' starts, and lengths of the windows' longest common blocks: of several the first in ``a``, then in ``b``.
+def _longest(a: Strings, b: Strings, i, j, alo, ahi, blo, bhi, b_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Last places in ``a`` and ``b``, from the windows' starts, and lengths of the windows' longest common blocks: of several the first in ``a``, then in ``b``, or with ``b_first`` in ``b``, then in ``a``.
 
     A bit stands for a place in ``b``; blocks of 1, 2, 4 ... characters that end at a row's place in ``a`` are put together to the longest.
     """
     wa = ahi - alo
     r = np.arange(wa.max())[:, None]
-    window = (np.uint64(2**64 - 1) >> (WIDTH - (bhi - blo)).astype(np.uint64)) << blo.astype(np.uint64)
+    window = (np.uint64(2**64 - 1) >> (BITS - (bhi - blo)).astype(np.uint64)) << blo.astype(np.uint64)
     ends = b.places.reshape(-1).take(a.chars.reshape(-1).take(i * WIDTH + alo + r, mode="clip") + j * 128)
     ends &= window
     if wa.min() < len(r):
@@ -77,13 +79,16 @@ def _longest(a: Strings, b: Strings, i, j, alo, ahi, blo, bhi) -> tuple[np.ndarr
         some = np.bitwise_or.reduce(longer, axis=0) != 0
         best = np.where(some, longer, best)
         size += some.astype(np.int64) << t
+    place = lambda bits: np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+    if b_first:
+        end_b = place(np.bitwise_or.reduce(best, axis=0))
+        return (best >> np.minimum(end_b, BITS - 1).astype(np.uint64) & np.uint64(1)).argmax(axis=0), end_b - blo, size
     end_a = (best != 0).argmax(axis=0)
-    first = best[end_a, np.arange(len(i))]
-    return end_a, np.bitwise_count((first & (~first + np.uint64(1))) - np.uint64(1)).astype(np.int64) - blo, size
+    return end_a, place(best[end_a, np.arange(len(i))]) - blo, size
 
 
-def _matched(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Characters that likeness matches; of a pair that can't come to ``need`` perhaps fewer."""
+def _matched(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray, need: np.ndarray, b_first: bool) -> np.ndarray:
+    """Characters that likeness matches, ``b`` narrow; of a pair that can't come to ``need`` perhaps fewer."""
     total = np.zeros(len(i), dtype=np.int64)
     p, alo, ahi, blo, bhi = np.arange(len(i)), np.zeros(len(i), np.int64), a.length[i], np.zeros(len(i), np.int64), b.length[j]
     while True:
@@ -94,7 +99,7 @@ def _matched(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray, need: np.ndar
             return total
         left = left[np.argsort((ahi - alo)[left] * (WIDTH + 1) + (bhi - blo)[left])]  # windows of a size together
         p, alo, ahi, blo, bhi = (x[left] for x in (p, alo, ahi, blo, bhi))
-        found = [_longest(a, b, i[p[s]], j[p[s]], alo[s], ahi[s], blo[s], bhi[s]) for s in (slice(k, k + CHUNK) for k in range(0, len(p), CHUNK))]
+        found = [_longest(a, b, i[p[s]], j[p[s]], alo[s], ahi[s], blo[s], bhi[s], b_first) for s in (slice(k, k + CHUNK) for k in range(0, len(p), CHUNK))]
         end_a, end_b, size = (np.concatenate(x) for x in zip(*found))
         total += np.bincount(p, size, len(i)).astype(np.int64)
         some = np.flatnonzero(size)
@@ -107,17 +112,18 @@ def ratios(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray, least: np.ndarr
     both = a.length[i] + b.length[j]
     reach = lambda common, at: 2.0 * common >= least[at] * both[at] * (1 - 1e-12)
     at = np.flatnonzero(reach(np.minimum(a.length[i], b.length[j]), slice(None)))
-    fit = a.fits[i[at]] & b.fits[j[at]]
-    short, long = at[fit], at[~fit]
-    few = least[short] > 0
-    known = short[few][reach(most_common(a, b, i[short[few]], j[short[few]]), short[few])]
-    short = np.concatenate([short[~few], known])
-    score = np.zeros(len(i))
-    need = np.ceil(least[short] * both[short] / 2 - 1e-6).astype(np.int64)
-    score[short] = 2.0 * _matched(a, b, i[short], j[short], need) / np.maximum(both[short], 1)
-    for k in long:
+    swap = ~b.narrow[j[at]]
+    score, kept = np.zeros(len(i)), []
+    for x, y, p, q, few, b_first in ((a, b, i, j, at[a.fits[i[at]] & ~swap], False), (b, a, j, i, at[b.fits[j[at]] & a.narrow[i[at]] & swap], True)):  # y is narrow
+        if (least[few] > 0).all():
+            few = few[reach(most_common(y, x, q[few], p[few]), few)]
+        need = np.ceil(least[few] * both[few] / 2 - 1e-6).astype(np.int64)
+        score[few] = 2.0 * _matched(x, y, p[few], q[few], need, b_first) / np.maximum(both[few], 1)
+        kept.append(few)
+    for k in at[~np.where(swap, b.fits[j[at]] & a.narrow[i[at]], a.fits[i[at]])]:
         x, y = a.texts[i[k]], b.texts[j[k]]
         score[k] = SequenceMatcher(None, x, y).ratio() if x and y else 0.0
-    at = np.sort(np.concatenate([short, long]))
+        kept.append([k])
+    at = np.sort(np.concatenate(kept).astype(np.int64))
     at = at[score[at] >= least[at]]
     return at, score[at]
