@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators.hotkeys import join_hot
+from quillstone.operators.hotkeys import hot_keys, join_hot
 from quillstone.session import Scratch
 
 RATE = 0.4  # of the exponential shifts: smaller clusters and more levels with a higher rate
@@ -28,14 +28,25 @@ def _shift(vertex: str, level: int):
     return -F.log(u) / F.lit(RATE)
 
 
+def _label(cost, centre: str):
+    return F.struct(cost.alias("cost"), F.col(centre).alias("centre"))
+
+
 def _clusters(links: DataFrame, level: int, rows: int) -> DataFrame:
-    """(v, label) of all ends of ``links`` (a, b)."""
-    both = links.select(F.col("a").alias("v"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("to")))
-    label = both.select("v").distinct().select("v", F.struct((-_shift("v", level)).alias("cost"), F.col("v").alias("centre")).alias("l"))
-    for _ in range(ROUNDS):
-        sent = join_hot(both, label, "v", rows=2 * rows).select(F.col("to").alias("v"), F.struct((F.col("l.cost") + 1).alias("cost"), F.col("l.centre").alias("centre")).alias("l"))
-        label = label.unionByName(sent).groupBy("v").agg(F.min("l").alias("l"))
-    return label.select("v", F.col("l.centre").alias("label"))
+    """(v, label) of all ends of ``links`` (a, b).
+
+    A round names the labels of the one before once (twice at a level with hot vertices): plans that double with every
+    round took the driver's memory.
+    """
+    two = lambda a, b, *names: F.inline(F.array(*(F.struct(*(c.alias(n) for c, n in zip(x, names, strict=True))) for x in (a, b))))
+    both = links.select(two((F.col("a"), F.col("b")), (F.col("b"), F.col("a")), "v", "to"))
+    hot = hot_keys(both, "v", 2 * rows)
+    both = both if hot else both.repartition("v")  # one exchange for all rounds
+    labels = both.groupBy("v").agg(F.min(_label(1 - _shift("to", level), "to")).alias("l")).select("v", F.least("l", _label(-_shift("v", level), "v")).alias("l"))
+    for _ in range(ROUNDS - 1):
+        kept, sent = (F.col("v"), F.col("l")), (F.col("to"), _label(F.col("l.cost") + 1, "l.centre"))
+        labels = join_hot(both, labels, "v", hot=hot).select(two(kept, sent, "v", "l")).groupBy("v").agg(F.min("l").alias("l"))
+    return labels.select("v", F.col("l.centre").alias("label"))
 
 
 def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:

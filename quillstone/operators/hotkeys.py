@@ -9,19 +9,25 @@ HOT_KEYS = 1_000  # at most so many keys can each hold more than a thousandth of
 HOT_ROWS = 250_000  # fewer rows of a key than this fit one task well
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+def hot_keys(left: DataFrame, key: str, rows: int | None = None) -> list:
+    """Keys with more than ``HOT_ROWS`` rows of ``left`` and more than a thousandth of all, so at most ``HOT_KEYS``. ``rows``: the row count if known."""
+    if rows is None:
+        rows = left.count()
+    if rows <= HOT_ROWS:
+        return []
+    limit = max(HOT_ROWS, rows // HOT_KEYS)
+    return [r[0] for r in left.groupBy(key).count().where(F.col("count") > limit).select(key).collect()]
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, hot: list | None = None) -> DataFrame:
     """``left`` joined with ``right`` (one row a key) on ``key``; rows of hot keys of ``left`` stay where they are.
 
     A key is hot with more than ``HOT_ROWS`` rows and more than a thousandth of all; so at most ``HOT_KEYS`` rows of
     ``right`` are broadcast, however large the tables. All other rows take a shuffle join. ``rows``: the row count of
-    ``left`` if known; below ``HOT_ROWS`` no key can be hot.
+    ``left`` if known; below ``HOT_ROWS`` no key can be hot. ``hot``: the hot keys if known.
     """
-    if rows is None:
-        rows = left.count()
-    if rows <= HOT_ROWS:
-        return left.join(right, key, how)
-    limit = max(HOT_ROWS, rows // HOT_KEYS)
-    hot = [r[0] for r in left.groupBy(key).count().where(F.col("count") > limit).select(key).collect()]
+    if hot is None:
+        hot = hot_keys(left, key, rows)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)

@@ -56,3 +56,11 @@ def test_packets(spark):
     s = "struct<node_id string, canonical_name string, jurisdiction string>"
     df = spark.createDataFrame(data, f"packet_id string, candidate_a {s}, candidate_b {s}, deterministic_evaluation struct<decision string, resolution_reason string, score double>")
     assert rows(C.found_groups(df)) == [("a", "a"), ("b", "a"), ("c", "a")]
+
+
+def test_a_round_adds_one_join_to_the_plan(spark, monkeypatch):
+    links = spark.createDataFrame(some_links(random.Random(4)), SCHEMA)
+    for rounds in (3, 5):
+        monkeypatch.setattr(C, "ROUNDS", rounds)
+        plan = C._clusters(links, 0, 1)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") <= rounds
