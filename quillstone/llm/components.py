@@ -7,6 +7,8 @@ the next level, links between clusters its links, until no link is left. Long ch
 at once. A label always comes from the same component, so that cutting a round short costs another
 level, never a link. The assignments of the levels are composed from the last to the first.
 
+Nodes pass through all levels as numbers of eight bytes, checked to be one a node, and get their names back at the end.
+
 A vertex may have a third of all links: labels of such vertices are joined apart (``join_hot``), what arrives at them
 is aggregated before the exchange. Links are never brought to the driver; it sees row counts.
 """
@@ -21,6 +23,7 @@ from quillstone.session import Scratch
 
 RATE = 0.4  # of the exponential shifts: smaller clusters and more levels with a higher rate
 ROUNDS = 3  # of label passing in a level
+SEEDS = 3  # tried for numbers that tell all nodes apart
 
 
 def _shift(vertex: str, level: int):
@@ -49,15 +52,37 @@ def _clusters(links: DataFrame, level: int, rows: int) -> DataFrame:
     return labels.select("v", F.col("l.centre").alias("label"))
 
 
+def _number(node: str, seed: int):
+    return F.xxhash64(F.col(node), F.lit(seed))
+
+
+def _numbered(ends: DataFrame, scratch: Scratch):
+    """A table of v and name of all nodes of ``ends`` (a, b), and the function from a column of nodes to their v.
+
+    v is a hash of the node of which it is known that no other node has it: if two share one, another seed is taken. Where
+    none of ``SEEDS`` tells all nodes apart (many billions of them), v is the node itself.
+    """
+    nodes = ends.select(F.explode(F.array("a", "b")).alias("name"))
+    for seed in range(SEEDS):
+        names = nodes.groupBy(_number("name", seed).alias("v")).agg(F.min("name").alias("name"), F.max("name").alias("other"))
+        written, (shared,) = scratch.write_counting(names.select("v", "name", (F.col("name") != F.col("other")).alias("shared")), F.count_if("shared"))
+        if not shared:
+            return written, lambda c: _number(c, seed)
+        scratch.drop(written)
+    return scratch.write(nodes.distinct().select(F.col("name").alias("v"), "name")), F.col
+
+
 def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     """``(node string, group string)``: every node with at least one link to another node; group is the smallest node of its component.
 
     Links have no direction; repeated ones count once. Rows with a null end and links of a node to itself link nothing.
-    No rows give no groups. Other columns play no part.
+    No rows give no groups. Other columns play no part. ``links`` is read twice.
     """
     scratch = Scratch(links.sparkSession)
     ends = links.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where("a <> b")
-    level_links, (rows,) = scratch.write_counting(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), F.count(F.lit(1)))
+    names, number = _numbered(ends, scratch)
+    pairs = ends.select(number("a").alias("a"), number("b").alias("b"))
+    level_links, (rows,) = scratch.write_counting(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), F.count(F.lit(1)))
     assignments: list[tuple[DataFrame, int]] = []
     while rows:
         mapped, (vertices,) = scratch.write_counting(_clusters(level_links, len(assignments), rows), F.count(F.lit(1)))
@@ -67,14 +92,18 @@ def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
         after, (rows,) = scratch.write_counting(joined.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), F.count(F.lit(1)))
         scratch.drop(level_links)
         level_links = after
+    scratch.drop(level_links)
     if not assignments:
-        return level_links.select(F.col("a").alias("node"), F.col("b").alias("group"))
+        return names.select(F.col("name").alias("node"), F.col("name").alias("group"))
     top = assignments[-1][0]
-    scratch.drop(level_links)
     for mapped, vertices in reversed(assignments[:-1]):
-        top = scratch.write(join_hot(mapped, top.select(F.col("v").alias("label"), F.col("label").alias("last")), "label", "left", rows=vertices).select("v", F.coalesce("last", "label").alias("label")))
-    names = top.groupBy("label").agg(F.min("v").alias("group"))
-    return join_hot(top, names, "label", rows=assignments[0][1]).select(F.col("v").alias("node"), "group")
+        whole = scratch.write(join_hot(mapped, top.select(F.col("v").alias("label"), F.col("label").alias("last")), "label", "left", rows=vertices).select("v", F.coalesce("last", "label").alias("label")))
+        scratch.drop(mapped, top)
+        top = whole
+    named = scratch.write(top.join(names, "v").select("label", "name"))
+    scratch.drop(top, names)
+    groups = named.groupBy("label").agg(F.min("name").alias("group"))
+    return join_hot(named, groups, "label", rows=assignments[0][1]).select(F.col("name").alias("node"), "group")
 
 
 def accepted_links(packets: DataFrame) -> DataFrame:

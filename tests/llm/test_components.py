@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quillstone.llm import components as C
 from quillstone.operators import hotkeys
 from tests.conftest import rows
@@ -64,3 +66,21 @@ def test_a_round_adds_one_join_to_the_plan(spark, monkeypatch):
         monkeypatch.setattr(C, "ROUNDS", rounds)
         plan = C._clusters(links, 0, 1)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join ") <= rounds
+
+
+def test_nodes_of_one_number_stay_apart(spark, monkeypatch):
+    """Hashes that two nodes share are never taken: another seed is, or in the end the node itself."""
+    links = some_links(random.Random(8))
+    number = C._number
+    for good in (1, 99):
+        monkeypatch.setattr(C, "_number", lambda c, seed: number(c, seed) if seed == good else F.pmod(number(c, seed), F.lit(5)))  # noqa: B023
+        assert rows(C.connected_groups(spark.createDataFrame(links, SCHEMA), "a", "b")) == brute(links)
+
+
+def test_levels_hold_numbers_for_long_names(spark, monkeypatch):
+    kinds = []
+    clusters = C._clusters
+    monkeypatch.setattr(C, "_clusters", lambda links, *x: kinds.append(dict(links.dtypes)) or clusters(links, *x))
+    links = [(f"{'long name ' * 20}{i}", f"{'long name ' * 20}{i + 1}") for i in range(20)]
+    assert rows(C.connected_groups(spark.createDataFrame(links, SCHEMA), "a", "b")) == brute(links)
+    assert kinds and all(k == {"a": "bigint", "b": "bigint"} for k in kinds)
